@@ -23,9 +23,11 @@ def _lexemes(field: str, text: Column) -> Column:
 
 def search_vector(members: DataFrame) -> Column:
     """The weighted lexemes of a member as an array of (lexeme, weight), without duplicates."""
-    parts = [F.transform(_lexemes(f, F.col(f)), lambda t, w=w: F.struct(t.alias("lexeme"), F.lit(w).alias("weight")))
-             for f, w in FIELD_WEIGHTS.items() if f in members.columns]
-    return F.array_distinct(F.concat(*parts))
+    def weighted(field: str, weight: str) -> Column:
+        return F.transform(_lexemes(field, F.col(field)),
+                           lambda t: F.struct(t.alias("lexeme"), F.lit(weight).alias("weight")))
+
+    return F.array_distinct(F.concat(*[weighted(f, w) for f, w in FIELD_WEIGHTS.items() if f in members.columns]))
 
 
 def member_search_terms(members: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stayledger.plans import reports  # noqa: F401  (registers its queries)
+from stayledger.plans import engagement, loyalty, platform, reports, stays  # noqa: F401  (register their queries)
 from stayledger.plans.registry import ORACLES, QUERIES, runnable
 
 
