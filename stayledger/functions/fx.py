@@ -53,10 +53,13 @@ class RateBook:
 
     @classmethod
     def of(cls, rates: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> "RateBook":
-        """Reads one summary row of ``rates``: the day range and the number of pairs."""
+        """Reads one summary row of ``rates``: the day range and the number of pairs.
+
+        The pairs seen are bounded by the square of the number of currencies.
+        """
         known = rates.where(F.col("from_ccy") != F.col("to_ccy"))
         seen = known.agg(F.min("rate_date").alias("lo"), F.max("rate_date").alias("hi"),
-                         F.count_distinct("from_ccy", "to_ccy").alias("pairs")).first()
+                         F.size(F.collect_set(F.concat("from_ccy", "to_ccy"))).alias("pairs")).first()
         last_day = seen["hi"]
         bound = 0 if last_day is None else 2 * seen["pairs"] * ((last_day - seen["lo"]).days + 1)
         until = F.coalesce(F.date_sub("next_date", 1), F.lit(last_day).cast("date"))

@@ -8,6 +8,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stayledger.functions.scalars import day, later, month_of
+from stayledger.functions.sizing import small
 
 # --- audience rules ---------------------------------------------------------------
 
@@ -73,6 +74,7 @@ def audience_sample(members: DataFrame, campaigns: DataFrame, k: int = 200) -> D
     # Compare the first 15 hex digits as a number below 2^60.
     share = F.least(F.lit(1.0), (4 * F.col("_k") + 64) / F.col("_n"))
     asked = asked.withColumn("_limit", (share * F.lit(float(2 ** 60))).cast("bigint"))
+    asked = small(asked)
     people = members.select(F.col("id").alias("member_id"), F.col("chain_group_id").alias("_chain"))
 
     def digest() -> Column:
@@ -151,7 +153,7 @@ def localized_templates(templates: DataFrame, languages: DataFrame) -> DataFrame
 
 def pick_template(queue: DataFrame, templates: DataFrame, code: str) -> DataFrame:
     """Add the template of ``code`` in the language of each queued message, NULL if there is none."""
-    texts = templates.where(F.col("code") == code).select("language", F.col("id").alias("template_id"))
+    texts = small(templates.where(F.col("code") == code).select("language", F.col("id").alias("template_id")))
     return queue.join(texts, "language", "left")
 
 
@@ -188,7 +190,7 @@ def booking_confirmation_queue(bookings: DataFrame, members: DataFrame, hotels:
     booked = bookings.where(F.col("channel").isin("direct", "corporate") & F.col("member_id").isNotNull()) \
         .select(F.col("id").alias("booking_id"), "chain_group_id", "hotel_id", "member_id", "booked_at",
                 "pms_confirmation_code")
-    houses = hotels.select(F.col("id").alias("hotel_id"), F.col("name").alias("hotel_name"))
+    houses = small(hotels.select(F.col("id").alias("hotel_id"), F.col("name").alias("hotel_name")))
     key = F.col("booking_id").cast("string")
     return booked.join(houses, "hotel_id").join(people, "member_id").select(
         "booking_id", "chain_group_id", "hotel_id", "member_id", F.lit("email").alias("channel"),
@@ -204,34 +206,33 @@ def booking_confirmation_queue(bookings: DataFrame, members: DataFrame, hotels:
 def attribute_bookings(recipients: DataFrame, bookings: DataFrame, window_days: int = 30) -> DataFrame:
     """Credit each booking to the last campaign message its member got within the window before it.
 
-    Both sides are cut into spans of the window length; a message is entered in its own
-    span and the next one, which covers every booking it can reach. Within a member and
-    span the messages are reduced to the last one per day, and the last message before a
-    booking is carried forward over the days, so messages and bookings are never paired
-    up and a member with very many of them spreads over all spans.
+    Messages and bookings are never paired up. The last message so far is carried forward
+    within a member and day, and over the days of a member on one row per day, so a
+    member with very many rows still spreads over all days. Of messages sent at the same
+    moment the one of the highest campaign id counts.
     """
-    def span(c: str) -> Column:
-        return F.floor(F.datediff(F.col(c), F.lit(date(1970, 1, 1))) / window_days)
-
     touches = recipients.where(F.col("sent_at").isNotNull()).select(
-        "member_id", F.col("sent_at").alias("at"), F.struct("sent_at", "campaign_id").alias("touch"),
-        span("sent_at").alias("_own"))
-    touches = touches.select("member_id", "at", "touch",
-                             F.explode(F.array(F.col("_own"), F.col("_own") + 1)).alias("span"))
-    # Of messages sent to a member at the same moment only the greatest campaign id can win.
-    touches = touches.groupBy("member_id", "span", "at").agg(F.max("touch").alias("touch"))
+        "member_id", F.col("sent_at").alias("at"), F.struct("sent_at", "campaign_id").alias("touch"))
     booked = bookings.where(F.col("member_id").isNotNull() & F.col("booked_at").isNotNull()
                             & (F.col("status") != "cancelled")) \
-        .select("member_id", F.col("booked_at").alias("at"), span("booked_at").alias("span"),
+        .select("member_id", F.col("booked_at").alias("at"),
                 F.struct(F.col("id").alias("booking_id"), "total_amount", "currency").alias("booking"))
-    events = touches.unionByName(booked, allowMissingColumns=True)
-    order = Window.partitionBy("member_id", "span").orderBy("at", F.col("booking").isNotNull()) \
+    events = touches.unionByName(booked, allowMissingColumns=True) \
+        .withColumn("day", F.datediff("at", F.lit(date(1970, 1, 1))))
+
+    # A message precedes the bookings of its moment; the greatest so far is the last.
+    in_day = Window.partitionBy("member_id", "day").orderBy("at", F.col("booking").isNotNull()) \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # Messages precede bookings of the same moment; they arrive in time order, so the
-    # greatest one seen so far is the last.
-    seen = events.withColumn("last", F.max("touch").over(order)).where(F.col("booking").isNotNull())
+    seen = events.withColumn("last", F.max("touch").over(in_day)).where(F.col("booking").isNotNull())
+
+    days = events.groupBy("member_id", "day").agg(F.max("touch").alias("touch"), F.count("booking").alias("n"))
+    before = Window.partitionBy("member_id").orderBy("day").rangeBetween(-window_days, -1)
+    carried = days.withColumn("carried", F.max("touch").over(before)).where(F.col("n") > 0) \
+        .select("member_id", "day", "carried")
+
+    found = seen.join(carried, ["member_id", "day"]).withColumn("last", F.coalesce("last", "carried"))
     recent = F.col("last.sent_at") >= F.col("at") - F.make_dt_interval(F.lit(window_days))
-    return seen.where(recent).select(
+    return found.where(recent).select(
         F.col("last.campaign_id").alias("campaign_id"), "member_id", F.col("booking.booking_id").alias("booking_id"),
         F.col("booking.total_amount").alias("attributed_revenue"), F.col("booking.currency").alias("attributed_currency"))
 

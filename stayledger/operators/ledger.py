@@ -7,6 +7,7 @@ from datetime import date, datetime
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stayledger.functions.scalars import at_midnight, later, moment, whole
+from stayledger.functions.sizing import small
 
 LEDGER_COLUMNS = [
     "chain_group_id", "program_id", "member_id", "type", "status", "points_delta",
@@ -48,7 +49,7 @@ def _padded(df: DataFrame) -> DataFrame:
 
 
 def _member_side(members: DataFrame, tiers: DataFrame) -> DataFrame:
-    multipliers = tiers.select(F.col("id").alias("current_tier_id"), "multiplier_default")
+    multipliers = small(tiers.select(F.col("id").alias("current_tier_id"), "multiplier_default"))
     return members.select(F.col("id").alias("member_id"), "program_id", "current_tier_id") \
         .join(multipliers, "current_tier_id", "left") \
         .select("member_id", "program_id", F.col("current_tier_id").alias("applied_tier_id"),
@@ -79,7 +80,7 @@ def post_earnings(transactions: DataFrame, members: DataFrame, programs: DataFra
     if bookings is not None:
         staying = bookings.where(F.col("status") == "in_house").select(F.col("id").alias("booking_id"))
         earned = earned.join(staying, "booking_id", "left_anti")
-    months = programs.select(F.col("id").alias("program_id"), "points_expiry_months")
+    months = small(programs.select(F.col("id").alias("program_id"), "points_expiry_months"))
     rows = _earning(earned, members, tiers).join(months, "program_id")
     expiry = F.col("_posted") + F.make_ym_interval(F.lit(0), F.col("points_expiry_months"))
     return _padded(rows.select(
@@ -103,8 +104,8 @@ def post_redemptions(redemptions: DataFrame, members: DataFrame, rewards: DataFr
     """A posted debit per redemption, linked to it by id."""
     people = members.select(F.col("id").alias("member_id"), "program_id",
                             F.col("current_tier_id").alias("applied_tier_id"))
-    offers = rewards.select(F.col("id").alias("reward_id"), F.col("name").alias("reward_name"),
-                            F.col("code").alias("reward_code"))
+    offers = small(rewards.select(F.col("id").alias("reward_id"), F.col("name").alias("reward_name"),
+                                  F.col("code").alias("reward_code")))
     rows = redemptions.join(offers, "reward_id").join(people, "member_id")
     return _padded(rows.select(
         "chain_group_id", "program_id", "member_id", "applied_tier_id",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stayledger.functions.scalars import at_midnight, excel_serial, later
+from stayledger.functions.sizing import small
 from stayledger.sources.tables import insert_ignore
 
 # Names of external id systems in feeds and in the tables.
@@ -94,21 +95,22 @@ def normalize_payloads(raw: DataFrame) -> DataFrame:
 
 def pms_property_lookup(reservations: DataFrame, connections: DataFrame) -> DataFrame:
     """Add ``hotel_id`` by the active connection of the reservation's external property; NULL if unknown."""
-    active = connections.where(F.col("is_active")).select("pms_code", "external_property_id", "hotel_id")
+    active = small(connections.where(F.col("is_active")).select("pms_code", "external_property_id", "hotel_id"))
     return reservations.join(active, ["pms_code", "external_property_id"], "left")
 
 
 def sync_errors(reservations: DataFrame, hotels: DataFrame, need_email: bool = True) -> DataFrame:
     """Add ``error_codes``: what keeps each reservation from being taken over.
 
-    Expects ``hotel_id`` from the property lookup. Of several rows with one reservation
+    Expects ``hotel_id`` from the property lookup. The rows are read twice, so pass a
+    table in which the payloads are already parsed. Of several rows with one reservation
     number the lowest id is kept; counting copies is a partial aggregate, so a number
     that fills a large part of a feed collapses before the shuffle.
     """
     key = ["pms_code", "pms_reservation_no"]
-    copies = reservations.where(F.col("pms_reservation_no").isNotNull()).groupBy(*key) \
-        .agg(F.count("*").alias("_n"), F.min("id").alias("_first")).where(F.col("_n") > 1).drop("_n")
-    local = hotels.select(F.col("id").alias("hotel_id"), F.col("default_currency").alias("_ccy"))
+    copies = reservations.groupBy(*key).agg(F.count("*").alias("_n"), F.min("id").alias("_first")) \
+        .where(F.col("_n") > 1).drop("_n")
+    local = small(hotels.select(F.col("id").alias("hotel_id"), F.col("default_currency").alias("_ccy")))
     rows = reservations.join(copies, key, "left").join(local, "hotel_id", "left")
     tests = {
         "MAP_MISSING": F.col("hotel_id").isNull() | F.col("pms_reservation_no").isNull(),
@@ -161,7 +163,7 @@ def segment_from_channel(bookings: DataFrame, mapping: DataFrame) -> DataFrame:
     """Market segment, source and origin of each booking by its channel; unlisted channels count as walk-in."""
     names = [c for c in mapping.columns if c != "channel"]
     rows = bookings.select(F.col("id").alias("booking_id"), "channel") \
-        .join(mapping.withColumn("_listed", F.lit(True)), "channel", "left")
+        .join(small(mapping).withColumn("_listed", F.lit(True)), "channel", "left")
     listed = F.col("_listed").isNotNull()
     filled = [F.when(listed, F.col(c)).otherwise(F.lit(v)).alias(c) for c, v in zip(names, _OTHER_SEGMENT)]
     return rows.select("booking_id", "channel", *filled, F.lit("Accommodation").alias("service_name"))

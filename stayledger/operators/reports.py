@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stayledger.functions.fx import RateBook
 from stayledger.functions.scalars import day, month_of, months_before, percent
+from stayledger.functions.sizing import small
 from stayledger.operators.ledger import balance_by_member
 
 AsOf = date | datetime
@@ -24,7 +25,7 @@ def _chains(chains: DataFrame, *extra: str) -> DataFrame:
 
 
 def _in_reporting_currency(transactions: DataFrame, chains: DataFrame, fx: RateBook) -> DataFrame:
-    with_ccy = transactions.join(_chains(chains, "reporting_currency"), "chain_group_id")
+    with_ccy = transactions.join(small(_chains(chains, "reporting_currency")), "chain_group_id")
     return fx.convert(with_ccy, "posted_amount", "posted_currency", "reporting_currency", "posting_date", "reporting")
 
 
@@ -71,8 +72,8 @@ def member_360(members: DataFrame, chains: DataFrame, tiers: DataFrame, ledger:
         "recruited_via_ota", "current_tier_id")
     wide = people.join(points, "member_id", "left").join(stays, "member_id", "left") \
         .join(revenue, "member_id", "left") \
-        .join(_chains(chains, "reporting_currency"), "chain_group_id", "left") \
-        .join(levels, "current_tier_id", "left")
+        .join(small(_chains(chains, "reporting_currency")), "chain_group_id", "left") \
+        .join(small(levels), "current_tier_id", "left")
 
     cutoff = months_before(as_of, 12)
     quiet = F.col("points_last_activity_at").isNull() | (F.col("points_last_activity_at") < cutoff)
@@ -176,7 +177,7 @@ def clv(members: DataFrame, chains: DataFrame, transactions: DataFrame, redempti
         F.min("arrival_date").alias("first_booking_at"), F.max("arrival_date").alias("last_booking_at"))
     rows = members.select(F.col("id").alias("member_id"), "chain_group_id", "full_name") \
         .join(gross, "member_id", "left").join(spent, "member_id", "left").join(stays, "member_id", "left") \
-        .join(_chains(chains, "reporting_currency"), "chain_group_id") \
+        .join(small(_chains(chains, "reporting_currency")), "chain_group_id") \
         .fillna(0, ["gross_revenue", "redemption_value", "bookings_completed", "nights_total"])
     return rows.select("member_id", "chain_group_id", "chain_name", "full_name", "reporting_currency",
                        "gross_revenue", "redemption_value",
@@ -194,9 +195,9 @@ def campaign_performance(campaigns: DataFrame, recipients: DataFrame, chains: Da
 
     Revenue is converted at the start date of the campaign.
     """
-    terms = campaigns.select(F.col("id").alias("campaign_id"), "chain_group_id", "start_date") \
-        .join(_chains(chains, "reporting_currency"), "chain_group_id") \
-        .select("campaign_id", "start_date", "reporting_currency")
+    terms = small(campaigns.select(F.col("id").alias("campaign_id"), "chain_group_id", "start_date")
+                  .join(_chains(chains, "reporting_currency"), "chain_group_id")
+                  .select("campaign_id", "start_date", "reporting_currency"))
     valued = fx.convert(recipients.join(terms, "campaign_id"), "attributed_revenue", "attributed_currency",
                         "reporting_currency", "start_date", "revenue")
     measured = valued.groupBy("campaign_id").agg(

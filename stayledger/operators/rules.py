@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from stayledger.functions.fx import RateBook
 from stayledger.functions.scalars import day, hash_number, hash_share
+from stayledger.functions.sizing import small
 
 # Bonus percent by tier and channel. Every other pair earns nothing.
 BONUS_PERCENT = [
@@ -26,7 +27,7 @@ def in_force(on_date: Column, valid_from: Column, valid_to: Column) -> Column:
 def valid_range_join(facts: DataFrame, config: DataFrame, keys: list[str], on_date: str,
                      how: str = "left") -> DataFrame:
     """Join facts to configuration rows that share ``keys`` and are valid on the fact's date."""
-    terms = config.withColumnsRenamed({"valid_from": "_from", "valid_to": "_to"})
+    terms = small(config).withColumnsRenamed({"valid_from": "_from", "valid_to": "_to"})
     for k in keys:
         terms = terms.withColumnRenamed(k, f"_{k}")
     match = in_force(facts[on_date], F.col("_from"), F.col("_to"))
@@ -71,8 +72,8 @@ def resolve_points_rule(bookings: DataFrame, rules: DataFrame, on_date: str = "a
     per program and per hotel, met by key, and the first match is taken within the row.
     """
     live = rules.where(F.col("is_active"))
-    at_hotel = _rule_lists(live.where(F.col("hotel_id").isNotNull()), ["program_id", "hotel_id"], "_hotel_rules")
-    anywhere = _rule_lists(live.where(F.col("hotel_id").isNull()), ["program_id"], "_program_rules")
+    at_hotel = small(_rule_lists(live.where(F.col("hotel_id").isNotNull()), ["program_id", "hotel_id"], "_hotel_rules"))
+    anywhere = small(_rule_lists(live.where(F.col("hotel_id").isNull()), ["program_id"], "_program_rules"))
     args = (F.col(on_date), F.col("market_segment_code"), F.col("rate_group_code"), F.col("channel"))
     rows = bookings.join(at_hotel, ["program_id", "hotel_id"], "left").join(anywhere, "program_id", "left")
     chosen = F.coalesce(_first_match(F.col("_hotel_rules"), *args), _first_match(F.col("_program_rules"), *args))
@@ -98,8 +99,8 @@ def earn_points(transactions: DataFrame, bookings: DataFrame, members: DataFrame
                             "market_segment_code", "rate_group_code")
     levels = tiers.select(F.col("id").alias("current_tier_id"), F.col("code").alias("tier_code"), "multiplier_default")
     people = members.select(F.col("id").alias("member_id"), "program_id", "current_tier_id") \
-        .join(levels, "current_tier_id", "left") \
-        .join(programs.select(F.col("id").alias("program_id"), "points_currency"), "program_id")
+        .join(small(levels), "current_tier_id", "left") \
+        .join(small(programs.select(F.col("id").alias("program_id"), "points_currency")), "program_id")
     rows = paid.join(stays, "booking_id").join(people, "member_id")
     ruled = fx.convert(resolve_points_rule(rows, rules), "posted_amount", "posted_currency", "points_currency",
                        "posting_date", "payment")
@@ -126,10 +127,10 @@ def bonus_from_lookup(bookings: DataFrame, members: DataFrame, tiers: DataFrame,
     """
     # Bookings without a member skip the join, so they do not meet on one NULL key.
     levels = members.select(F.col("id").alias("member_id"), "current_tier_id") \
-        .join(tiers.select(F.col("id").alias("current_tier_id"), F.col("code").alias("tier_code")), "current_tier_id") \
-        .select("member_id", "tier_code")
+        .join(small(tiers.select(F.col("id").alias("current_tier_id"), F.col("code").alias("tier_code"))),
+              "current_tier_id").select("member_id", "tier_code")
     known = bookings.where(F.col("member_id").isNotNull()).join(levels, "member_id", "left") \
-        .join(lookup, ["tier_code", "channel"], "left").drop("tier_code")
+        .join(small(lookup), ["tier_code", "channel"], "left").drop("tier_code")
     guests = bookings.where(F.col("member_id").isNull()).withColumn("pct", F.lit(None).cast("decimal(5,2)"))
     rows = known.unionByName(guests)
 
@@ -228,8 +229,9 @@ def eligible_rewards(members: DataFrame, rewards: DataFrame, tiers: DataFrame, b
         .join(order.withColumnRenamed("sort_order", "min_order"), F.col("min_tier_id") == F.col("_tier"), "left") \
         .select("program_id", F.col("id").alias("reward_id"), F.col("code").alias("reward_code"), "cost_points",
                 "min_tier_id", "min_order")
+    offers = small(offers)
     people = members.select(F.col("id").alias("member_id"), "program_id", "current_tier_id") \
-        .join(order, F.col("current_tier_id") == F.col("_tier"), "left") \
+        .join(small(order), F.col("current_tier_id") == F.col("_tier"), "left") \
         .select("member_id", "program_id", "sort_order") \
         .join(balances.select("member_id", "balance_posted"), "member_id")
     fits = (F.col("cost_points") <= F.col("balance_posted")) \

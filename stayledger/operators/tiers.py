@@ -7,7 +7,8 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stayledger.functions.fx import RateBook
-from stayledger.functions.scalars import day, later, at_midnight
+from stayledger.functions.scalars import at_midnight, day, later
+from stayledger.functions.sizing import small
 from stayledger.operators.rules import in_force
 
 
@@ -27,12 +28,12 @@ def qualifying_metrics(thresholds: DataFrame, ledger: DataFrame, bookings: DataF
         F.col("arrival_date").alias("on_date"))
     spend = transactions.where(F.col("member_id").isNotNull() & (F.col("status") == "posted")
                                & F.col("transaction_type").isin("charge", "adjustment")) \
-        .join(chains.select(F.col("id").alias("chain_group_id"), "reporting_currency"), "chain_group_id")
+        .join(small(chains.select(F.col("id").alias("chain_group_id"), "reporting_currency")), "chain_group_id")
     revenue = fx.convert(spend, "posted_amount", "posted_currency", "reporting_currency", "posting_date", "value") \
         .select("member_id", F.lit("revenue").alias("metric"), F.col("value").cast("decimal(24,2)"),
                 F.col("posting_date").alias("on_date"))
     facts = points.unionByName(nights).unionByName(revenue)
-    windows = thresholds.select("metric", F.col("qualifying_period_months").alias("months")).distinct()
+    windows = small(thresholds.select("metric", F.col("qualifying_period_months").alias("months")).distinct())
     since = F.add_months(day(as_of), -F.col("months"))
     within = (F.col("on_date") > since) & (F.col("on_date") <= day(as_of))
     sums = facts.join(windows, "metric").where(within).groupBy("member_id", "metric", "months") \
@@ -47,7 +48,7 @@ def _tier_tests(members: DataFrame, tiers: DataFrame, thresholds: DataFrame, met
     """Every member against every threshold of the member's program that is valid on ``as_of``."""
     rules = thresholds.where(in_force(day(as_of), F.col("valid_from"), F.col("valid_to"))) \
         .select("tier_id", F.concat_ws("/", "metric", "qualifying_period_months").alias("_key"), "min_value")
-    levels = tiers.select("program_id", F.col("id").alias("tier_id"), "sort_order").join(rules, "tier_id")
+    levels = small(tiers.select("program_id", F.col("id").alias("tier_id"), "sort_order").join(rules, "tier_id"))
     people = members.select(F.col("id").alias("member_id"), "program_id", "current_tier_id") \
         .join(metrics, "member_id", "left")
     reached = F.coalesce(F.try_element_at(F.col("metrics"), F.col("_key")), F.lit(0).cast("decimal(34,2)"))
@@ -73,7 +74,8 @@ def qualify_tiers(members: DataFrame, tiers: DataFrame, thresholds: DataFrame, m
         "program_id", F.col("_id").alias("initial_id"), F.col("sort_order").alias("initial_order"))
     current = levels.select(F.col("_id").alias("current_tier_id"), F.col("sort_order").alias("current_order"))
     rows = members.select(F.col("id").alias("member_id"), "program_id", "current_tier_id") \
-        .join(best, "member_id", "left").join(initial, "program_id", "left").join(current, "current_tier_id", "left")
+        .join(best, "member_id", "left").join(small(initial), "program_id", "left") \
+        .join(small(current), "current_tier_id", "left")
     order = F.coalesce(F.col("best.sort_order"), F.col("initial_order"))
     change = F.when(F.col("current_order").isNull() & order.isNotNull(), "initial") \
         .when(order > F.col("current_order"), "promote").when(order < F.col("current_order"), "demote") \
@@ -91,7 +93,7 @@ def tier_progress_pct(members: DataFrame, tiers: DataFrame, thresholds: DataFram
     where there is no next tier or it has no thresholds. Members without a tier stand
     before the first one.
     """
-    order = tiers.select(F.col("id").alias("current_tier_id"), F.col("sort_order").alias("_current"))
+    order = small(tiers.select(F.col("id").alias("current_tier_id"), F.col("sort_order").alias("_current")))
     tests = _tier_tests(members, tiers, thresholds, metrics, as_of).join(order, "current_tier_id", "left")
     nxt = tests.where((F.col("sort_order") == F.coalesce("_current", F.lit(0)) + 1) & (F.col("min_value") > 0))
     ratio = F.round(F.col("reached") * F.lit(100).cast("decimal(3,0)") / F.col("min_value"), 2).cast("decimal(24,2)")
@@ -111,7 +113,7 @@ def tier_history(members: DataFrame, tiers: DataFrame, promoted: Column | None =
     """
     step = tiers.select(F.col("id").alias("current_tier_id"), "program_id", "sort_order")
     below = tiers.select("program_id", (F.col("sort_order") + 1).alias("sort_order"), F.col("id").alias("prev_tier_id"))
-    levels = step.join(below, ["program_id", "sort_order"], "left").select("current_tier_id", "prev_tier_id")
+    levels = small(step.join(below, ["program_id", "sort_order"], "left").select("current_tier_id", "prev_tier_id"))
     chosen = F.lit(True) if promoted is None else promoted
     rows = members.where(F.col("current_tier_id").isNotNull()) \
         .withColumn("_chosen", chosen).join(levels, "current_tier_id", "left")
@@ -127,7 +129,7 @@ def tier_history(members: DataFrame, tiers: DataFrame, promoted: Column | None =
 
 def flag_attributes(members: DataFrame, tiers: DataFrame, as_of: date, min_order: int = 4) -> DataFrame:
     """VIP and high-value attributes for members on the upper tiers."""
-    upper = tiers.where(F.col("sort_order") >= min_order).select(F.col("id").alias("current_tier_id"))
+    upper = small(tiers.where(F.col("sort_order") >= min_order).select(F.col("id").alias("current_tier_id")))
     flags = F.array(F.struct(F.lit("vip").alias("attr_key"), F.lit("true").alias("attr_value")),
                     F.struct(F.lit("high_value_flag").alias("attr_key"), F.lit('"watchlist"').alias("attr_value")))
     return members.join(upper, "current_tier_id", "left_semi") \

@@ -257,7 +257,8 @@ def qualify_tiers_all(f):
 
 
 @query("tier_progress", _METRICS + """,
-p AS (SELECT x.member_id, min(x.tier_id) AS tier_id, max(round(CAST(x.reached AS DECIMAL(24,2)) * 100 / x.min_value, 2)) AS pct
+p AS (SELECT x.member_id, min(x.tier_id) AS tier_id, max(((20000 * CAST(x.reached * 100 AS BIGINT) + CAST(x.min_value * 100 AS BIGINT))
+    // (2 * CAST(x.min_value * 100 AS BIGINT))) / 100.0) AS pct
   FROM tests x LEFT JOIN {tiers} c ON c.id = x.current_tier_id WHERE x.sort_order = coalesce(c.sort_order, 0) + 1 GROUP BY 1)
 SELECT m.id AS member_id, CAST(m.current_tier_id AS BIGINT) AS current_tier_id, CAST(p.pct AS DOUBLE) AS tier_progress_pct,
   CAST(p.tier_id AS BIGINT) AS next_tier_id FROM {members} m LEFT JOIN p ON p.member_id = m.id""")

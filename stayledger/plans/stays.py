@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from stayledger.operators import pms
 from stayledger.plans.registry import query
 from stayledger.functions.scalars import excel_serial
+from stayledger.sources.tables import materialize
 
 
 @query("explode_external_ids", """
@@ -64,8 +65,8 @@ def pms_property_lookup(f):
 
 
 def checked(f):
-    rows = pms.pms_property_lookup(pms.normalize_payloads(f.pms_raw_payloads), f.hotel_pms_connections)
-    return pms.sync_errors(rows, f.hotels)
+    parsed = materialize(pms.normalize_payloads(f.pms_raw_payloads), "reservations")
+    return pms.sync_errors(pms.pms_property_lookup(parsed, f.hotel_pms_connections), f.hotels)
 
 
 @query("valid_reservations", _NORMAL + """ SELECT id, import_id, pms_code, pms_reservation_no, hotel_id, arrival_date, departure_date,

@@ -7,6 +7,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from stayledger.functions.scalars import month_of
+from stayledger.session import fresh_path
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -39,6 +40,17 @@ def reload(df: DataFrame, path: str, business_date: str | None = None) -> None:
     rows.write.mode("overwrite").partitionBy(*folders).parquet(path)
 
 
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared work folder and read it back.
+
+    For a result that several steps read and that is costly to form, such as parsed
+    feeds. The written table also ends the lineage: a lost executor repeats no parsing.
+    """
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def insert_ignore(batch: DataFrame, target: DataFrame | None, keys: list[str], order: list[str]) -> DataFrame:
     """Rows of ``batch`` to add to ``target`` when the first writer of a key wins.
 
