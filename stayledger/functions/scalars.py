@@ -92,6 +92,11 @@ def at_midnight(c: Column | str) -> Column:
     return col(c).cast("timestamp_ntz")
 
 
+def hotel_local_date(c: Column | str, timezone: Column | str) -> Column:
+    """Calendar day of a UTC time at the hotel, whose zone is a column."""
+    return F.convert_timezone(F.lit("UTC"), col(timezone), col(c).cast("timestamp_ntz")).cast("date")
+
+
 def excel_serial(c: Column | str) -> Column:
     """Spreadsheet serial day number to a timestamp, exact to the second."""
     serial = col(c).cast("double")

@@ -330,3 +330,27 @@ def anniversary_candidates(members: DataFrame, as_of: date) -> DataFrame:
     same_day = (F.month(joined) == as_of.month) & (F.dayofmonth(joined) == as_of.day) & (F.year(joined) < as_of.year)
     return members.where((F.col("status") == "active") & same_day) \
         .select(F.col("id").alias("member_id"), (F.lit(as_of.year) - F.year(joined)).alias("years"))
+
+
+def automation_candidates(trigger: str, frames: dict[str, DataFrame], as_of: date, **config) -> DataFrame:
+    """Who a flow applies to, by the name of its trigger.
+
+    ``frames`` names what the trigger reads: members, bookings, balances, status_history
+    or tier_changes. ``config`` goes to the trigger, e.g. ``days_inactive``.
+    """
+    entered = {"booking_cancelled": "cancelled", "check_in": "in_house", "check_out": "checked_out"}
+    if trigger in entered:
+        return status_candidates(frames["status_history"], entered[trigger])
+    triggers = {
+        "ota_booking_received": lambda: ota_booking_candidates(frames["bookings"], **config),
+        "direct_booking_received": lambda: ota_booking_candidates(frames["bookings"], channel="direct", **config),
+        "tier_upgrade": lambda: tier_change_candidates(frames["tier_changes"], "promote"),
+        "tier_downgrade": lambda: tier_change_candidates(frames["tier_changes"], "demote"),
+        "birthday": lambda: birthday_candidates(frames["members"], as_of),
+        "anniversary": lambda: anniversary_candidates(frames["members"], as_of),
+        "points_expiring": lambda: expiring_candidates(frames["balances"], **config),
+        "inactive_member": lambda: inactive_candidates(frames["members"], frames["bookings"], as_of, **config),
+    }
+    if trigger not in triggers:
+        raise ValueError(f"unknown trigger {trigger!r}")
+    return triggers[trigger]()

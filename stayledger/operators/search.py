@@ -42,14 +42,16 @@ def member_search(terms: DataFrame, query: str) -> DataFrame:
     lexeme is read only where they occur.
     """
     words = sorted({w for w in query.lower().split() if w})
+    if not words:
+        raise ValueError("the query has no words")
     score = F.lit(0.0)
     for weight, value in WEIGHT_SCORES.items():
         score = F.when(F.col("weight") == weight, F.lit(value)).otherwise(score)
-    hits = terms.where(F.col("lexeme").isin(words)).groupBy("member_id", "chain_group_id", "lexeme") \
-        .agg(F.max(score).alias("score"))
-    return hits.groupBy("member_id", "chain_group_id").agg(
-        F.count("*").alias("words_found"), F.round(F.sum("score"), 4).alias("score")) \
-        .where(F.col("words_found") == len(words))
+    # The best score per word in one aggregation; a member that lacks a word has no sum.
+    best = [F.max(F.when(F.col("lexeme") == w, score)) for w in words]
+    return terms.where(F.col("lexeme").isin(words)).groupBy("member_id", "chain_group_id") \
+        .agg(F.round(sum(best[1:], best[0]), 4).alias("score")).where(F.col("score").isNotNull()) \
+        .select("member_id", "chain_group_id", F.lit(len(words)).alias("words_found"), "score")
 
 
 def trigrams(text: Column | str) -> Column:

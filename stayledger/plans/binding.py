@@ -337,6 +337,16 @@ class Frames:
         self._built: dict[str, DataFrame] = {}
         self._rates = None
 
+    _open: dict[tuple[int, str], "Frames"] = {}
+
+    @classmethod
+    def of(cls, spark: SparkSession, folder: str) -> "Frames":
+        """The frames over a folder, shared by the queries of a session (plans only, no data)."""
+        known = cls._open.get((id(spark), folder))
+        if known is None or known.spark is not spark:
+            known = cls._open[(id(spark), folder)] = cls(spark, folder)
+        return known
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or (name not in FRAMES and name not in RAW_TABLES):
             raise AttributeError(name)

@@ -35,7 +35,7 @@ def plain(df: DataFrame) -> DataFrame:
 
 
 def runnable(build: Query) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, folder: plain(build(Frames(spark, folder)))
+    return lambda spark, folder: plain(build(Frames.of(spark, folder)))
 
 
 def fx_sql(source: str, amount: str, from_ccy: str, to_ccy: str, on_date: str, out: str) -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
@@ -121,11 +122,18 @@ def months_between(spark: SparkSession, first: date, last: date) -> DataFrame:
 
 
 def save_snapshot(df: DataFrame, folder: str, as_of: date) -> str:
-    """Write a dated snapshot, e.g. of the balances; replacing a day replaces only that folder."""
-    path = f"{folder.rstrip('/')}/as_of={as_of.isoformat()}"
-    df.hint("rebalance").write.mode("overwrite").parquet(path)
+    """Write a dated snapshot, e.g. of the balances.
+
+    Each refresh of a day gets a version of its own, which appears when it is complete, so
+    readers keep the version they started with. Old versions are left to the caller.
+    """
+    path = f"{folder.rstrip('/')}/as_of={as_of.isoformat()}/version={time.time_ns()}"
+    df.hint("rebalance").write.mode("errorifexists").parquet(path)
     return path
 
 
 def load_snapshot(spark: SparkSession, folder: str, as_of: date) -> DataFrame:
-    return spark.read.parquet(f"{folder.rstrip('/')}/as_of={as_of.isoformat()}")
+    """The newest version of the snapshot of a day; only that version's files are read."""
+    versions = spark.read.parquet(f"{folder.rstrip('/')}/as_of={as_of.isoformat()}")
+    newest = versions.agg(F.max("version")).first()[0]
+    return versions.where(F.col("version") == newest).drop("version")

@@ -106,3 +106,19 @@ def test_ota_to_direct(spark):
                                   (7, None, "ota", date(2024, 1, 1), "checked_out"), (8, None, "direct", date(2024, 3, 1), "checked_out")],
                                  "id int, member_id int, channel string, arrival_date date, status string")
     assert [r["member_id"] for r in engage.ota_to_direct_converts(rows).collect()] == [1]
+
+
+def test_every_trigger_of_the_model_has_candidates(frames):
+    from stayledger import schemas
+    from stayledger.operators import ledger, pms
+    from stayledger.plans.binding import EVENT_START, STAY_DAY
+    given = {"members": frames.members, "bookings": frames.bookings, "status_history": pms.status_history_from_bookings(frames.bookings),
+             "balances": ledger.points_balances(frames.members, frames.event_ledger, EVENT_START),
+             "tier_changes": frames.members.selectExpr("id AS member_id", "current_tier_id", "current_tier_id AS qualified_tier_id", "'keep' AS change")}
+    counts = {t: engage.automation_candidates(t, given, STAY_DAY).count() for t in schemas.ENUMS[("automations", "trigger_type")]}
+    assert counts["booking_cancelled"] == frames.bookings.where("status = 'cancelled'").count() > 0
+    # The derived history enters completed stays straight from upcoming, at check-in and at check-out.
+    assert counts["check_out"] == frames.bookings.where("status = 'checked_out'").count()
+    assert counts["tier_upgrade"] == 0 and counts["inactive_member"] > 0
+    with pytest.raises(ValueError):
+        engage.automation_candidates("full_moon", given, STAY_DAY)

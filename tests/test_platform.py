@@ -139,6 +139,9 @@ def test_scalars(spark):
     assert one(scalars.excel_serial(lit("46112.53056"))) == datetime(2026, 3, 31, 12, 44)
     assert one(scalars.plain_ascii(lit("Søren Þórðardóttir Ångström Æbler"))) == "Soren THordardottir Angstrom AEbler"
     assert one(scalars.percent(lit(201), lit(4000))) == D("5.03") and one(scalars.percent(lit(1), lit(0))) is None
+    late = lit("2024-06-01 23:30:00").cast("timestamp_ntz")
+    assert one(scalars.hotel_local_date(late, lit("Europe/Oslo"))) == date(2024, 6, 2)
+    assert one(scalars.hotel_local_date(late, lit("Atlantic/Reykjavik"))) == date(2024, 6, 1)
     assert one(scalars.months_before(date(2024, 2, 29), 12)) == date(2023, 2, 28)
     assert one(scalars.months_before(datetime(2024, 3, 31, 5), 1)) == datetime(2024, 2, 29, 5)
 
