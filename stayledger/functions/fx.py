@@ -10,7 +10,7 @@ one popular pair still spreads over all its days.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -68,6 +68,10 @@ class RateBook:
             F.explode(F.sequence("rate_date", until)).alias("_day"), F.col("rate").alias("_rate"))
         return cls(daily, last_day, bound, broadcast_rows)
 
+    def persisted(self) -> "RateBook":
+        """Keep the spread table in memory for several reports; a lost part is formed again."""
+        return replace(self, daily=self.daily.persist())
+
     def convert(self, df: DataFrame, amount: Column | str, from_ccy: Column | str, to_ccy: Column | str,
                 on_date: Column | str, out: str) -> DataFrame:
         """Add ``out``: ``amount`` in ``to_ccy``, rounded to two decimals per row.

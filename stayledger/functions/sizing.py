@@ -14,7 +14,12 @@ from pyspark.sql import DataFrame, functions as F
 MAX_ROWS = 200_000
 
 
+def is_small(df: DataFrame, max_rows: int | None = None) -> bool:
+    """Whether ``df`` has at most ``max_rows`` rows; no more than that are counted."""
+    limit = MAX_ROWS if max_rows is None else max_rows
+    return df.limit(limit + 1).count() <= limit
+
+
 def small(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``max_rows`` rows, else unchanged."""
-    limit = MAX_ROWS if max_rows is None else max_rows
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    return F.broadcast(df) if is_small(df, max_rows) else df

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from stayledger.functions.fx import RateBook
 from stayledger.functions.scalars import day, hash_number, hash_share
-from stayledger.functions.sizing import small
+from stayledger.functions.sizing import is_small, small
 
 # Bonus percent by tier and channel. Every other pair earns nothing.
 BONUS_PERCENT = [
@@ -41,43 +41,74 @@ def valid_range_join(facts: DataFrame, config: DataFrame, keys: list[str], on_da
 _FIELDS = {"market_segment_code": 4, "rate_group_code": 2, "channel": 1}
 
 
-def _rule_lists(rules: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """The rules of each key as one array, best first, so that the first match is the answer."""
+def _rule_entry() -> Column:
+    """A rule as a struct that sorts best first: specificity, then priority, then the lowest id."""
     rank = sum((F.when(F.col(f).isNotNull(), F.lit(w)).otherwise(F.lit(0)) for f, w in _FIELDS.items()), F.lit(0))
-    entry = F.struct((-rank).alias("rank"), (-F.col("priority")).alias("turn"), F.col("id"), *_FIELDS,
-                     "valid_from", "valid_to", "percent_of_payment",
-                     F.map_entries("tier_multiplier_override").alias("overrides"))
-    return rules.groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias(name))
+    return F.struct((F.col("hotel_id").isNull()).alias("anywhere"), (-rank).alias("rank"), (-F.col("priority")).alias("turn"),
+                    F.col("id"), *_FIELDS, "valid_from", "valid_to", "percent_of_payment",
+                    F.map_entries("tier_multiplier_override").alias("overrides"))
 
 
-def _first_match(rules: Column, on_date: Column, segment: Column, rate_group: Column, channel: Column) -> Column:
-    actual = {"market_segment_code": segment, "rate_group_code": rate_group, "channel": channel}
-
+def _first_match(rules: Column, on_date: Column) -> Column:
     def matches(rule: Column) -> Column:
         ok = in_force(on_date, rule["valid_from"], rule["valid_to"])
-        for field, value in actual.items():
-            ok = ok & (rule[field].isNull() | F.coalesce(rule[field] == value, F.lit(False)))
+        for field in _FIELDS:
+            ok = ok & (rule[field].isNull() | F.coalesce(rule[field] == F.col(field), F.lit(False)))
         return ok
 
     return F.get(F.filter(rules, matches), F.lit(0))
 
 
-def resolve_points_rule(bookings: DataFrame, rules: DataFrame, on_date: str = "arrival_date") -> DataFrame:
+def _rule_by_lists(bookings: DataFrame, live: DataFrame, on_date: str) -> DataFrame:
+    """Few rules: one sorted array per program and per hotel, the first match taken within the row."""
+    def lists(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+        return F.broadcast(rows.groupBy(*keys).agg(F.sort_array(F.collect_list(_rule_entry())).alias(name)))
+
+    at_hotel = lists(live.where(F.col("hotel_id").isNotNull()), ["program_id", "hotel_id"], "_hotel_rules")
+    anywhere = lists(live.where(F.col("hotel_id").isNull()), ["program_id"], "_program_rules")
+    rows = bookings.join(at_hotel, ["program_id", "hotel_id"], "left").join(anywhere, "program_id", "left")
+    on = F.col(on_date)
+    return rows.withColumn("_rule", F.coalesce(_first_match(F.col("_hotel_rules"), on),
+                                               _first_match(F.col("_program_rules"), on)))
+
+
+def _rule_by_lookup(bookings: DataFrame, live: DataFrame, on_date: str, key: str) -> DataFrame:
+    """Many rules: each booking asks for every combination of its value or "any" by an equi-join.
+
+    At most sixteen lookups per booking with spread-out keys, and the best answer by a
+    partial aggregate, whatever the number of rules in a program.
+    """
+    fields = ["hotel_id", *_FIELDS]
+    any_value = F.lit(None).cast("string")
+
+    def text(c: str) -> Column:
+        return F.col(c).cast("string")
+
+    choices = [F.array_distinct(F.array(text(f), any_value)) for f in fields]
+    asked = bookings.select(key, "program_id", F.col(on_date).alias("_on"), *[c.alias(f"_{f}s") for f, c in zip(fields, choices)])
+    for f in fields:
+        asked = asked.withColumn(f"_{f}", F.explode(f"_{f}s")).drop(f"_{f}s")
+    coded = [F.coalesce(F.concat(F.lit("="), F.col(f"_{f}")), F.lit("any")).alias(f"_{f}") for f in fields]
+    offered = live.select(F.col("program_id"), _rule_entry().alias("_rule"),
+                          *[F.coalesce(F.concat(F.lit("="), text(f)), F.lit("any")).alias(f"_{f}") for f in fields])
+    met = asked.select(key, "program_id", "_on", *coded).join(offered, ["program_id", *[f"_{f}" for f in fields]]) \
+        .where(in_force(F.col("_on"), F.col("_rule.valid_from"), F.col("_rule.valid_to")))
+    return bookings.join(met.groupBy(key).agg(F.min("_rule").alias("_rule")), key, "left")
+
+
+def resolve_points_rule(bookings: DataFrame, rules: DataFrame, on_date: str = "arrival_date", key: str = "id") -> DataFrame:
     """Add the one earning rule that applies to each booking; NULLs where none does.
 
     A NULL field of a rule matches anything, a filled one must agree. The most specific
     rule wins (hotel, then segment, rate group, channel), then the higher priority, then
     the lower id. ``bookings`` needs program_id, hotel_id, channel, market_segment_code,
-    rate_group_code and ``on_date``. The bookings are not shuffled: rules are collected
-    per program and per hotel, met by key, and the first match is taken within the row.
+    rate_group_code and ``on_date``, and a unique ``key``. The rules are counted first: up
+    to the limit they are sorted into arrays and bookings are not shuffled at all, beyond
+    it they are looked up by an equi-join.
     """
     live = rules.where(F.col("is_active"))
-    at_hotel = small(_rule_lists(live.where(F.col("hotel_id").isNotNull()), ["program_id", "hotel_id"], "_hotel_rules"))
-    anywhere = small(_rule_lists(live.where(F.col("hotel_id").isNull()), ["program_id"], "_program_rules"))
-    args = (F.col(on_date), F.col("market_segment_code"), F.col("rate_group_code"), F.col("channel"))
-    rows = bookings.join(at_hotel, ["program_id", "hotel_id"], "left").join(anywhere, "program_id", "left")
-    chosen = F.coalesce(_first_match(F.col("_hotel_rules"), *args), _first_match(F.col("_program_rules"), *args))
-    return rows.withColumn("_rule", chosen).select(
+    rows = _rule_by_lists(bookings, live, on_date) if is_small(live) else _rule_by_lookup(bookings, live, on_date, key)
+    return rows.select(
         *bookings.columns, F.col("_rule.id").alias("rule_id"),
         F.col("_rule.percent_of_payment").alias("percent_of_payment"),
         F.map_from_entries("_rule.overrides").alias("tier_multiplier_override"))
@@ -102,7 +133,7 @@ def earn_points(transactions: DataFrame, bookings: DataFrame, members: DataFrame
         .join(small(levels), "current_tier_id", "left") \
         .join(small(programs.select(F.col("id").alias("program_id"), "points_currency")), "program_id")
     rows = paid.join(stays, "booking_id").join(people, "member_id")
-    ruled = fx.convert(resolve_points_rule(rows, rules), "posted_amount", "posted_currency", "points_currency",
+    ruled = fx.convert(resolve_points_rule(rows, rules, key="transaction_id"), "posted_amount", "posted_currency", "points_currency",
                        "posting_date", "payment")
     override = F.try_element_at(F.col("tier_multiplier_override"), F.col("tier_code"))
     multiplier = F.coalesce(override, F.col("multiplier_default"), F.lit(1)).cast("decimal(8,4)")

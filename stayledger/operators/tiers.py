@@ -12,13 +12,17 @@ from stayledger.functions.sizing import small
 from stayledger.operators.rules import in_force
 
 
+_MEMBER = ["member_id", "program_id", "current_tier_id"]
+
+
 def qualifying_metrics(thresholds: DataFrame, ledger: DataFrame, bookings: DataFrame, transactions: DataFrame,
                        chains: DataFrame, fx: RateBook, as_of: date) -> DataFrame:
     """Points, nights and revenue per member over every rolling window the thresholds use.
 
     Points are posted earn credits, nights are those of completed stays by arrival date,
     revenue is posted charges and adjustments in the reporting currency. One row per
-    member with a map from (metric, months) to the sum.
+    member with a column such as ``points_12`` per metric and number of months; the few
+    distinct pairs of the configuration are read first, so that one aggregation does.
     """
     points = ledger.where((F.col("status") == "posted") & (F.col("type") == "earn_release")).select(
         "member_id", F.lit("points").alias("metric"), F.col("points_delta").cast("decimal(24,2)").alias("value"),
@@ -33,26 +37,34 @@ def qualifying_metrics(thresholds: DataFrame, ledger: DataFrame, bookings: DataF
         .select("member_id", F.lit("revenue").alias("metric"), F.col("value").cast("decimal(24,2)"),
                 F.col("posting_date").alias("on_date"))
     facts = points.unionByName(nights).unionByName(revenue)
-    windows = small(thresholds.select("metric", F.col("qualifying_period_months").alias("months")).distinct())
-    since = F.add_months(day(as_of), -F.col("months"))
-    within = (F.col("on_date") > since) & (F.col("on_date") <= day(as_of))
-    sums = facts.join(windows, "metric").where(within).groupBy("member_id", "metric", "months") \
-        .agg(F.sum("value").alias("value"))
-    key = F.concat_ws("/", "metric", "months")
-    return sums.groupBy("member_id").agg(
-        F.map_from_entries(F.collect_list(F.struct(key, F.coalesce("value", F.lit(0))))).alias("metrics"))
+    pairs = thresholds.select("metric", F.col("qualifying_period_months").alias("months")).distinct() \
+        .orderBy("metric", "months").collect()
+    longest = max((p["months"] for p in pairs), default=0)
+
+    def total(metric: str, months: int) -> Column:
+        counted = (F.col("metric") == metric) & (F.col("on_date") > F.add_months(day(as_of), -months))
+        return F.coalesce(F.sum(F.when(counted, F.col("value"))), F.lit(0)).alias(f"{metric}_{months}")
+
+    recent = (F.col("on_date") > F.add_months(day(as_of), -longest)) & (F.col("on_date") <= day(as_of))
+    sums = [total(p["metric"], p["months"]) for p in pairs] or [F.lit(0).alias("points_0")]
+    return facts.where(recent).groupBy("member_id").agg(*sums)
 
 
 def _tier_tests(members: DataFrame, tiers: DataFrame, thresholds: DataFrame, metrics: DataFrame,
                 as_of: date) -> DataFrame:
-    """Every member against every threshold of the member's program that is valid on ``as_of``."""
+    """Every member against every threshold of the member's program that is valid on ``as_of``.
+
+    Members of a program without thresholds keep one row with an empty tier. The rows stay
+    partitioned by member, so what follows groups them without another shuffle.
+    """
     rules = thresholds.where(in_force(day(as_of), F.col("valid_from"), F.col("valid_to"))) \
-        .select("tier_id", F.concat_ws("/", "metric", "qualifying_period_months").alias("_key"), "min_value")
+        .select("tier_id", F.concat_ws("_", "metric", "qualifying_period_months").alias("_key"), "min_value")
     levels = small(tiers.select("program_id", F.col("id").alias("tier_id"), "sort_order").join(rules, "tier_id"))
     people = members.select(F.col("id").alias("member_id"), "program_id", "current_tier_id") \
         .join(metrics, "member_id", "left")
-    reached = F.coalesce(F.try_element_at(F.col("metrics"), F.col("_key")), F.lit(0).cast("decimal(34,2)"))
-    return people.join(levels, "program_id").withColumn("reached", reached).drop("metrics", "_key")
+    sums = [c for c in metrics.columns if c != "member_id"]
+    reached = F.coalesce(*[F.when(F.col("_key") == c, F.col(c)) for c in sums], F.lit(0).cast("decimal(34,2)"))
+    return people.join(levels, "program_id", "left").withColumn("reached", reached).drop(*sums, "_key")
 
 
 def qualify_tiers(members: DataFrame, tiers: DataFrame, thresholds: DataFrame, metrics: DataFrame, as_of: date,
@@ -62,20 +74,16 @@ def qualify_tiers(members: DataFrame, tiers: DataFrame, thresholds: DataFrame, m
     ``combine`` says whether one threshold of a tier is enough ("any") or all must hold
     ("all"). Members who reach no threshold fall to the program's initial tier.
     """
-    tests = _tier_tests(members, tiers, thresholds, metrics, as_of)
     holds = F.col("reached") >= F.col("min_value")
     passed = (F.bool_or if combine == "any" else F.bool_and)(holds)
-    # Grouping by member and tier keeps the member partitioning of the join.
-    per_tier = tests.groupBy("member_id", "tier_id", "sort_order").agg(passed.alias("passed")).where("passed")
-    best = per_tier.groupBy("member_id").agg(
-        F.max(F.struct("sort_order", "tier_id")).alias("best"))
-    levels = tiers.select("program_id", F.col("id").alias("_id"), "sort_order", "is_default_initial")
+    best = F.max(F.when(F.col("passed"), F.struct("sort_order", "tier_id"))).alias("best")
+    rated = _tier_tests(members, tiers, thresholds, metrics, as_of) \
+        .groupBy(*_MEMBER, "tier_id", "sort_order").agg(passed.alias("passed")).groupBy(*_MEMBER).agg(best)
+    levels = small(tiers.select("program_id", F.col("id").alias("_id"), "sort_order", "is_default_initial"))
     initial = levels.where("is_default_initial").select(
         "program_id", F.col("_id").alias("initial_id"), F.col("sort_order").alias("initial_order"))
     current = levels.select(F.col("_id").alias("current_tier_id"), F.col("sort_order").alias("current_order"))
-    rows = members.select(F.col("id").alias("member_id"), "program_id", "current_tier_id") \
-        .join(best, "member_id", "left").join(small(initial), "program_id", "left") \
-        .join(small(current), "current_tier_id", "left")
+    rows = rated.join(initial, "program_id", "left").join(current, "current_tier_id", "left")
     order = F.coalesce(F.col("best.sort_order"), F.col("initial_order"))
     change = F.when(F.col("current_order").isNull() & order.isNotNull(), "initial") \
         .when(order > F.col("current_order"), "promote").when(order < F.col("current_order"), "demote") \
@@ -95,12 +103,11 @@ def tier_progress_pct(members: DataFrame, tiers: DataFrame, thresholds: DataFram
     """
     order = small(tiers.select(F.col("id").alias("current_tier_id"), F.col("sort_order").alias("_current")))
     tests = _tier_tests(members, tiers, thresholds, metrics, as_of).join(order, "current_tier_id", "left")
-    nxt = tests.where((F.col("sort_order") == F.coalesce("_current", F.lit(0)) + 1) & (F.col("min_value") > 0))
+    is_next = (F.col("sort_order") == F.coalesce("_current", F.lit(0)) + 1) & (F.col("min_value") > 0)
     ratio = F.round(F.col("reached") * F.lit(100).cast("decimal(3,0)") / F.col("min_value"), 2).cast("decimal(24,2)")
-    progress = nxt.groupBy("member_id").agg(
-        (F.max if combine == "any" else F.min)(ratio).alias("tier_progress_pct"),
-        F.first("tier_id").alias("next_tier_id"))
-    return members.select(F.col("id").alias("member_id"), "current_tier_id").join(progress, "member_id", "left")
+    return tests.groupBy(*_MEMBER).agg(
+        (F.max if combine == "any" else F.min)(F.when(is_next, ratio)).alias("tier_progress_pct"),
+        F.max(F.when(is_next, F.col("tier_id"))).alias("next_tier_id")).drop("program_id")
 
 
 def tier_history(members: DataFrame, tiers: DataFrame, promoted: Column | None = None,

@@ -375,5 +375,5 @@ class Frames:
         """The conversion book of the frame's currency rates, built once."""
         if self._rates is None:
             from stayledger.functions.fx import RateBook
-            self._rates = RateBook.of(self.frame("currency_rates"))
+            self._rates = RateBook.of(self.frame("currency_rates")).persisted()
         return self._rates

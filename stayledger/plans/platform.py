@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from stayledger import schemas
 from stayledger.functions.scalars import hash_number, hash_share, plain_ascii, weighted_pick
 from stayledger.operators import access, audit, pms, quality, reports
 from stayledger.operators.access import PLATFORM_ADMIN, Principal
@@ -11,7 +12,7 @@ from stayledger.plans.binding import EVENT_START, Frames
 from stayledger.plans import reports as report_queries
 from stayledger.plans.registry import ORACLES, pct_sql, query
 from stayledger.session import fresh_path
-from stayledger.sources import tables
+from stayledger.sources import feeds, tables
 from stayledger.streaming import streams
 
 # --- data quality -----------------------------------------------------------------
@@ -251,6 +252,50 @@ def append_by_month(f):
         F.count("*").alias("row_count"), F.sum("total_amount").alias("amount"))
 
 
+@query("csv_feed", """
+SELECT hotel_id, count(*) AS reservations, CAST(sum(total_amount) AS DOUBLE) AS amount, min(pms_reservation_no) AS first_no,
+  sum((member_id IS NULL)::INT)::BIGINT AS guests FROM {bookings} GROUP BY 1""")
+def csv_feed(f):
+    path = fresh_path(f.spark, "csv-feed")
+    f.bookings.select("pms_reservation_no", "hotel_id", "member_id", "total_amount") \
+        .write.options(sep=";", header=True).csv(path)
+    rows = feeds.read_csv_feed(f.spark, path, "pms_reservation_no string, hotel_id int, member_id bigint, total_amount decimal(14,2)",
+                               "import-1", "other", "pms_reservation_no")
+    return _by_hotel(rows)
+
+
+@query("json_feed", ORACLES["csv_feed"])
+def json_feed(f):
+    path = fresh_path(f.spark, "json-feed")
+    f.bookings.select("pms_reservation_no", "hotel_id", "member_id", "total_amount").write.json(path)
+    rows = feeds.read_json_feed(f.spark, path, "pms_reservation_no string, hotel_id int, member_id bigint, total_amount decimal(14,2)",
+                                "import-2", "other", "pms_reservation_no")
+    return _by_hotel(rows)
+
+
+def _by_hotel(landed):
+    """What the landed payloads of a feed add up to, read back from their JSON."""
+    p = landed.select("source_id", F.from_json("payload", "hotel_id int, member_id bigint, total_amount decimal(14,2)").alias("p"))
+    return p.groupBy("p.hotel_id").agg(F.count("*").alias("reservations"), F.sum("p.total_amount").alias("amount"),
+                                       F.min("source_id").alias("first_no"), F.count_if(F.col("p.member_id").isNull()).alias("guests"))
+
+
+@query("data_dictionary", """
+WITH d(position, column_name, data_type, is_nullable, foreign_table) AS (VALUES (1, 'id', 'bigint', false, NULL),
+  (2, 'chain_group_id', 'bigint', false, 'chain_groups'), (3, 'program_id', 'bigint', false, 'loyalty_programs'),
+  (4, 'member_id', 'bigint', false, 'members'), (5, 'type', 'string', false, NULL), (6, 'status', 'string', false, NULL),
+  (7, 'points_delta', 'int', false, NULL), (14, 'occurred_at', 'timestamp_ntz', false, NULL), (16, 'expires_at', 'timestamp_ntz', true, NULL)),
+n AS (SELECT count(*) AS every, count(expires_at) AS expiring FROM {event_ledger})
+SELECT CAST(position AS BIGINT) AS ordinal_position, column_name, data_type, is_nullable, column_name = 'id' AS is_primary_key, foreign_table,
+  CASE column_name WHEN 'expires_at' THEN every - expiring ELSE 0 END AS nulls FROM d, n""")
+def data_dictionary(f):
+    words = schemas.data_dictionary(f.spark, ["point_transactions"], "bigint")
+    present = [c for c in f.event_ledger.columns if c in {w.name for w in schemas.columns_of("point_transactions")}]
+    nulls = quality.check_not_null(f.event_ledger, present)
+    return words.where(F.col("column_name").isin(present)).join(nulls, "column_name", "left").fillna(0, ["nulls"]) \
+        .select("ordinal_position", "column_name", "data_type", "is_nullable", "is_primary_key", "foreign_table", "nulls")
+
+
 @query("hash_sample", """
 SELECT id AS booking_id FROM {bookings} WHERE CAST('0x' || left(md5(CAST(id AS VARCHAR) || 'segment'), 8) AS BIGINT) < 3221225472""")
 def hash_sample(f):

@@ -99,3 +99,34 @@ def test_refund_is_half_of_the_payment(spark):
     assert set(got) == {1, 4}                                        # nothing paid, nothing posted
     assert (got[1]["transaction_type"], got[1]["posted_amount"], got[1]["posting_date"]) == ("refund", D("-5.01"), date(2023, 12, 24))
     assert (got[4]["posted_amount"], got[4]["bonus_earned_amount"]) == (D("6.00"), D("0.00"))
+
+
+def test_both_ways_to_find_a_rule_agree(frames, monkeypatch):
+    from stayledger.functions import sizing
+    from stayledger.plans.loyalty import _rules
+
+    def found():
+        rows = rules.resolve_points_rule(frames.bookings, _rules(frames)).select("id", "rule_id", "percent_of_payment", "tier_multiplier_override")
+        return sorted((r["id"], r["rule_id"], r["percent_of_payment"], str(r["tier_multiplier_override"])) for r in rows.collect())
+
+    few = found()
+    monkeypatch.setattr(sizing, "MAX_ROWS", 0)
+    assert found() == few and any(r[1] is not None for r in few)
+
+
+def test_one_booking_from_payment_to_balance(spark):
+    """A stay of 1 000 by a gold member, booked directly: posting, bonus, ledger row, balance."""
+    from stayledger.operators import ledger
+    members = spark.createDataFrame([(1, 1, 1, 30)], "id int, chain_group_id int, program_id int, current_tier_id int")
+    tiers = spark.createDataFrame([(30, "gold", D("1.50"))], "id int, code string, multiplier_default decimal(5,2)")
+    programs = spark.createDataFrame([(1, 24)], "id int, points_expiry_months int")
+    booking = spark.createDataFrame([(5, 1, 9, 1, "direct", "checked_out", NEW, D("1000.00"), D("1000.00"))],
+                                    "id int, chain_group_id int, hotel_id int, member_id int, channel string, status string, arrival_date date, "
+                                    "paid_amount decimal(14,2), total_amount decimal(14,2)") \
+        .selectExpr("*", "TIMESTAMP_NTZ '2024-01-03 11:00:00' AS check_out_at", "CAST(NULL AS TIMESTAMP_NTZ) AS cancelled_at", "'NOK' AS currency")
+    posting = rules.build_transactions(booking, members, tiers, rules.bonus_table(spark)).withColumn("id", F.col("booking_id"))
+    row = ledger.post_earnings(posting, members, programs, tiers)
+    only = row.first()
+    assert (only["points_delta"], only["applied_percent"], only["applied_multiplier"]) == (100, D("10.00"), D("1.50"))
+    assert (str(only["occurred_at"]), str(only["expires_at"])) == ("2024-01-03 23:00:00", "2026-01-03 00:00:00")
+    assert ledger.points_balances(members, row, NEW).first()["balance_posted"] == 100
