@@ -220,15 +220,14 @@ def attribute_bookings(recipients: DataFrame, bookings: DataFrame, window_days:
     events = touches.unionByName(booked, allowMissingColumns=True) \
         .withColumn("day", F.datediff("at", F.lit(date(1970, 1, 1))))
 
-    # A message precedes the bookings of its moment; the greatest so far is the last.
-    in_day = Window.partitionBy("member_id", "day").orderBy("at", F.col("booking").isNotNull()) \
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = events.withColumn("last", F.max("touch").over(in_day)).where(F.col("booking").isNotNull())
-
-    days = events.groupBy("member_id", "day").agg(F.max("touch").alias("touch"), F.count("booking").alias("n"))
+    # A message precedes the bookings of its moment; the greatest so far is the last. The
+    # last row of a day holds the last message of that day.
+    in_day = Window.partitionBy("member_id", "day").orderBy("at", F.col("booking").isNotNull())
+    stepped = events.withColumn("last", F.max("touch").over(in_day.rowsBetween(Window.unboundedPreceding, Window.currentRow))) \
+        .withColumn("is_last", F.lead("day").over(in_day).isNull())
     before = Window.partitionBy("member_id").orderBy("day").rangeBetween(-window_days, -1)
-    carried = days.withColumn("carried", F.max("touch").over(before)).where(F.col("n") > 0) \
-        .select("member_id", "day", "carried")
+    carried = stepped.where("is_last").select("member_id", "day", F.max("last").over(before).alias("carried"))
+    seen = stepped.where(F.col("booking").isNotNull())
 
     found = seen.join(carried, ["member_id", "day"]).withColumn("last", F.coalesce("last", "carried"))
     recent = F.col("last.sent_at") >= F.col("at") - F.make_dt_interval(F.lit(window_days))

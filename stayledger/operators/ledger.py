@@ -140,25 +140,23 @@ def expire_points(ledger: DataFrame, as_of: date | datetime) -> DataFrame:
         F.when(is_credit, 0).otherwise(1).alias("kind"), F.col("points_delta").cast("bigint").alias("net"),
     ).where(F.col("at") <= now).withColumn("day", F.col("at").cast("date"))
 
-    order = [F.col("at"), F.col("kind"), F.col("id")]
-    in_day = Window.partitionBy("member_id", "day").orderBy(*order) \
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    stepped = moves.withColumn("net_in_day", F.sum("net").over(in_day)) \
-        .withColumn("peak_in_day", F.max("net_in_day").over(in_day))
-
-    days = stepped.groupBy("member_id", "day").agg(F.sum("net").alias("day_net"), F.max("net_in_day").alias("day_peak"))
-    by_day = Window.partitionBy("member_id").orderBy("day")
-    before = by_day.rowsBetween(Window.unboundedPreceding, -1)
-    opening = days.withColumn("open_net", F.coalesce(F.sum("day_net").over(before), F.lit(0))) \
-        .withColumn("peak", F.col("open_net") + F.col("day_peak")) \
+    queue = ["member_id", "program_id", "chain_group_id"]
+    in_day = Window.partitionBy(*queue, "day").orderBy("at", "kind", "id")
+    so_far = in_day.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    stepped = moves.withColumn("net_in_day", F.sum("net").over(so_far)) \
+        .withColumn("peak_in_day", F.max("net_in_day").over(so_far)) \
+        .withColumn("peak_before", F.lag("peak_in_day").over(in_day)) \
+        .withColumn("is_last", F.lead("net").over(in_day).isNull())
+
+    # The last row of a day holds the day's totals; both uses of the rows share one shuffle.
+    before = Window.partitionBy(*queue).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    opening = stepped.where("is_last").select(*queue, "day", "net_in_day", "peak_in_day") \
+        .withColumn("open_net", F.coalesce(F.sum("net_in_day").over(before), F.lit(0))) \
+        .withColumn("peak", F.col("open_net") + F.col("peak_in_day")) \
         .withColumn("open_peak", F.greatest(F.lit(0), F.max("peak").over(before))) \
-        .select("member_id", "day", "open_net", "open_peak")
-
-    # Only the rows that lapse need the day's opening values, and each is compared with
-    # the peak just before it: the day's peak up to the previous row.
-    previous = Window.partitionBy("member_id", "day").orderBy(*order)
-    lapses = stepped.withColumn("peak_before", F.lag("peak_in_day").over(previous)).where(F.col("kind") == 0)
-    full = lapses.join(opening, ["member_id", "day"])
+        .select(*queue, "day", "open_net", "open_peak")
+    lapses = stepped.where(F.col("kind") == 0)
+    full = lapses.join(opening, [*queue, "day"])
     reached = F.greatest(F.col("open_peak"), F.col("open_net") + F.col("peak_before"))
     lost = F.col("open_net") + F.col("net_in_day") - reached
     return full.withColumn("lost", lost).where(F.col("lost") > 0).select(

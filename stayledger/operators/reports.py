@@ -24,8 +24,13 @@ def _chains(chains: DataFrame, *extra: str) -> DataFrame:
     return chains.select(F.col("id").alias("chain_group_id"), F.col("name").alias("chain_name"), *extra)
 
 
-def _in_reporting_currency(transactions: DataFrame, chains: DataFrame, fx: RateBook) -> DataFrame:
-    with_ccy = transactions.join(small(_chains(chains, "reporting_currency")), "chain_group_id")
+def _reporting(chains: DataFrame) -> DataFrame:
+    """Chains with their reporting currency, checked to be small enough to meet the facts."""
+    return small(_chains(chains, "reporting_currency"))
+
+
+def _in_reporting_currency(transactions: DataFrame, reporting: DataFrame, fx: RateBook) -> DataFrame:
+    with_ccy = transactions.join(reporting, "chain_group_id")
     return fx.convert(with_ccy, "posted_amount", "posted_currency", "reporting_currency", "posting_date", "reporting")
 
 
@@ -61,7 +66,8 @@ def member_360(members: DataFrame, chains: DataFrame, tiers: DataFrame, ledger:
 
     spend = transactions.where(F.col("member_id").isNotNull() & (status == "posted")
                                & F.col("transaction_type").isin("charge", "adjustment"))
-    revenue = _in_reporting_currency(spend, chains, fx).groupBy("member_id") \
+    reporting = _reporting(chains)
+    revenue = _in_reporting_currency(spend, reporting, fx).groupBy("member_id") \
         .agg(F.sum("reporting").alias("revenue_lifetime_reporting"))
 
     levels = tiers.select(F.col("id").alias("current_tier_id"), F.col("code").alias("tier_code"),
@@ -72,7 +78,7 @@ def member_360(members: DataFrame, chains: DataFrame, tiers: DataFrame, ledger:
         "recruited_via_ota", "current_tier_id")
     wide = people.join(points, "member_id", "left").join(stays, "member_id", "left") \
         .join(revenue, "member_id", "left") \
-        .join(small(_chains(chains, "reporting_currency")), "chain_group_id", "left") \
+        .join(reporting, "chain_group_id", "left") \
         .join(small(levels), "current_tier_id", "left")
 
     cutoff = months_before(as_of, 12)
@@ -125,7 +131,7 @@ def revenue_per_member(transactions: DataFrame, chains: DataFrame, fx: RateBook)
     Rows without a member add to the revenue but not to the divisor.
     ``fx_missing`` counts the rows left out because no rate was known.
     """
-    posted = _in_reporting_currency(transactions.where(F.col("status") == "posted"), chains, fx)
+    posted = _in_reporting_currency(transactions.where(F.col("status") == "posted"), _reporting(chains), fx)
     grouped = posted.groupBy("chain_group_id", "chain_name", month_of("posting_date").alias("month"),
                              "reporting_currency").agg(
         F.sum("reporting").alias("revenue_total_reporting"),
@@ -167,7 +173,8 @@ def clv(members: DataFrame, chains: DataFrame, transactions: DataFrame, redempti
     """Lifetime value per member: posted charges minus redeemed points at one unit each."""
     charges = transactions.where(F.col("member_id").isNotNull() & (F.col("status") == "posted")
                                  & (F.col("transaction_type") == "charge"))
-    gross = _in_reporting_currency(charges, chains, fx).groupBy("member_id").agg(F.sum("reporting").alias("gross_revenue"))
+    reporting = _reporting(chains)
+    gross = _in_reporting_currency(charges, reporting, fx).groupBy("member_id").agg(F.sum("reporting").alias("gross_revenue"))
     spent = redemptions.where(F.col("status") == "fulfilled").groupBy("member_id") \
         .agg(F.sum("points_spent").cast("bigint").alias("redemption_value"))
     completed = F.col("status") == "checked_out"
@@ -177,7 +184,7 @@ def clv(members: DataFrame, chains: DataFrame, transactions: DataFrame, redempti
         F.min("arrival_date").alias("first_booking_at"), F.max("arrival_date").alias("last_booking_at"))
     rows = members.select(F.col("id").alias("member_id"), "chain_group_id", "full_name") \
         .join(gross, "member_id", "left").join(spent, "member_id", "left").join(stays, "member_id", "left") \
-        .join(small(_chains(chains, "reporting_currency")), "chain_group_id") \
+        .join(reporting, "chain_group_id") \
         .fillna(0, ["gross_revenue", "redemption_value", "bookings_completed", "nights_total"])
     return rows.select("member_id", "chain_group_id", "chain_name", "full_name", "reporting_currency",
                        "gross_revenue", "redemption_value",
@@ -234,7 +241,7 @@ def chain_overview(chains: DataFrame, hotels: DataFrame, members: DataFrame, boo
         _count(is_upcoming).alias("bookings_upcoming"),
         _count(counts_recent & (F.col("channel") == "direct")).alias("_direct"))
     posted = transactions.where((F.col("status") == "posted") & recent("posting_date"))
-    revenue = _in_reporting_currency(posted, chains, fx).groupBy("chain_group_id") \
+    revenue = _in_reporting_currency(posted, _reporting(chains), fx).groupBy("chain_group_id") \
         .agg(F.sum("reporting").alias("revenue_last_365d_reporting"))
 
     rows = _chains(chains, "status", "reporting_currency")
@@ -265,11 +272,12 @@ def hotel_comparison(hotels: DataFrame, chains: DataFrame, bookings: DataFrame,
         _count(kept & F.col("is_member_booking")).alias("member_bookings_365d"))
 
     counted = (F.col("status") == "posted") & (F.col("posting_date") >= since)
-    revenue = _in_reporting_currency(transactions.where(counted), chains, fx).groupBy("hotel_id") \
+    reporting = _reporting(chains)
+    revenue = _in_reporting_currency(transactions.where(counted), reporting, fx).groupBy("hotel_id") \
         .agg(F.sum("reporting").alias("revenue_365d_reporting"))
     rows = hotels.select(F.col("id").alias("hotel_id"), "chain_group_id", F.col("name").alias("hotel_name"),
                          "country_code", "room_count") \
-        .join(_chains(chains, "reporting_currency"), "chain_group_id") \
+        .join(reporting, "chain_group_id") \
         .join(stays, "hotel_id", "left").join(revenue, "hotel_id", "left")
     measures = ["bookings_completed_365d", "nights_365d", "member_bookings_365d"]
     rows = rows.fillna(0, [*measures, "revenue_365d_reporting"])
