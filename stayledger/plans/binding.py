@@ -91,7 +91,7 @@ JOIN (VALUES ('01', '1.000'), ('04', '1.011'), ('07', '0.993'), ('10', '1.003'))
 
 FRAMES["members"] = """
 SELECT c_custkey AS id, n_regionkey AS chain_group_id, 100 + n_regionkey AS program_id,
-  CASE WHEN c_custkey % 17 <> 0 THEN 'GM-' || CAST(c_custkey AS STRING) END AS member_number,
+  CASE WHEN c_custkey % 17 <> 0 THEN 'M-' || CAST(c_custkey AS STRING) END AS member_number,
   CASE c_custkey % 7 WHEN 0 THEN 'Anna' WHEN 1 THEN 'Bjørn' WHEN 2 THEN 'Carl Erik' WHEN 3 THEN 'Dagny' WHEN 4 THEN 'Eva'
     WHEN 5 THEN 'Finn' END AS first_name,
   CASE c_custkey % 11 WHEN 0 THEN 'Hansen' WHEN 1 THEN 'Olsen' WHEN 2 THEN 'Sørensen' WHEN 3 THEN 'Lund' WHEN 4 THEN 'Berg'
