@@ -37,19 +37,20 @@ _HOTEL_INDEX = "(n_nationkey + CAST(FLOOR(n_nationkey / 5) AS INT)) % 5"
 FRAMES: dict[str, str] = {}
 
 FRAMES["chain_groups"] = """
-SELECT r_regionkey AS id, r_name AS name, CASE WHEN r_regionkey = 4 THEN 'paused' ELSE 'active' END AS status,
+SELECT CAST(r_regionkey AS BIGINT) AS id, r_name AS name, CASE WHEN r_regionkey = 4 THEN 'paused' ELSE 'active' END AS status,
   """ + _CURRENCY.replace("{k}", "r_regionkey") + """ AS default_currency,
   CASE r_regionkey WHEN 2 THEN 'EUR' WHEN 3 THEN 'SEK' WHEN 4 THEN 'DKK' ELSE 'NOK' END AS reporting_currency
 FROM {region}"""
 
 FRAMES["loyalty_programs"] = """
-SELECT 100 + r_regionkey AS id, r_regionkey AS chain_group_id,
+SELECT CAST(100 + r_regionkey AS BIGINT) AS id, CAST(r_regionkey AS BIGINT) AS chain_group_id,
   CASE WHEN r_regionkey = 1 THEN 'SEK' ELSE 'NOK' END AS points_currency,
   CASE WHEN r_regionkey <> 4 THEN 24 END AS points_expiry_months
 FROM {region}"""
 
 FRAMES["tiers"] = """
-SELECT (100 + r_regionkey) * 10 + t.sort_order AS id, 100 + r_regionkey AS program_id, r_regionkey AS chain_group_id,
+SELECT CAST((100 + r_regionkey) * 10 + t.sort_order AS BIGINT) AS id, CAST(100 + r_regionkey AS BIGINT) AS program_id,
+  CAST(r_regionkey AS BIGINT) AS chain_group_id,
   t.code, upper(t.code) AS name, t.sort_order, CAST(t.mult AS DECIMAL(5,2)) AS multiplier_default,
   t.sort_order = 1 AS is_default_initial
 FROM {region} JOIN (VALUES ('bronze', 1, '1.0'), ('silver', 2, '1.2'), ('gold', 3, '1.5'), ('platinum', 4, '1.8'),
@@ -63,7 +64,7 @@ FROM {tiers} JOIN (VALUES (2, 'points', 5000, 12, NULL), (3, 'points', 15000, 12
   (5, 'revenue', 900000, 12, NULL)) AS t(step, metric, min_value, months, valid_to) ON sort_order = t.step"""
 
 FRAMES["hotels"] = """
-SELECT n_nationkey AS id, n_regionkey AS chain_group_id, n_name AS name,
+SELECT CAST(n_nationkey AS BIGINT) AS id, CAST(n_regionkey AS BIGINT) AS chain_group_id, n_name AS name,
   CASE WHEN n_nationkey % 8 = 7 THEN 'closed' ELSE 'active' END AS status,
   CASE n_nationkey % 5 WHEN 0 THEN 'NO' WHEN 1 THEN 'SE' WHEN 2 THEN 'DK' WHEN 3 THEN 'FI' ELSE 'IS' END AS country_code,
   50 + 3 * n_nationkey AS room_count,
@@ -90,7 +91,7 @@ JOIN (VALUES (1996, '1.000'), (1997, '1.013'), (1998, '0.991'), (1999, '1.024'),
 JOIN (VALUES ('01', '1.000'), ('04', '1.011'), ('07', '0.993'), ('10', '1.003')) AS q(q, w) ON length(q.q) = 2"""
 
 FRAMES["members"] = """
-SELECT c_custkey AS id, n_regionkey AS chain_group_id, 100 + n_regionkey AS program_id,
+SELECT c_custkey AS id, CAST(n_regionkey AS BIGINT) AS chain_group_id, CAST(100 + n_regionkey AS BIGINT) AS program_id,
   CASE WHEN c_custkey % 17 <> 0 THEN 'M-' || CAST(c_custkey AS STRING) END AS member_number,
   CASE c_custkey % 7 WHEN 0 THEN 'Anna' WHEN 1 THEN 'Bjørn' WHEN 2 THEN 'Carl Erik' WHEN 3 THEN 'Dagny' WHEN 4 THEN 'Eva'
     WHEN 5 THEN 'Finn' END AS first_name,
@@ -108,8 +109,8 @@ SELECT c_custkey AS id, n_regionkey AS chain_group_id, 100 + n_regionkey AS prog
   CASE WHEN c_custkey % 20 < 17 THEN 'active' WHEN c_custkey % 20 = 17 THEN 'inactive' WHEN c_custkey % 20 = 18
     THEN 'suspended' ELSE 'archived' END AS status,
   CAST(CAST('1994-01-01' AS DATE) + CAST(c_custkey % 850 AS INT) AS {ts}) + INTERVAL '10' HOUR AS joined_at,
-  CASE WHEN c_custkey % 40 <> 0 THEN (100 + n_regionkey) * 10 + CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 1
-    WHEN 'BUILDING' THEN 2 WHEN 'FURNITURE' THEN 3 WHEN 'HOUSEHOLD' THEN 4 ELSE 5 END END AS current_tier_id,
+  CASE WHEN c_custkey % 40 <> 0 THEN CAST((100 + n_regionkey) * 10 + CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 1
+    WHEN 'BUILDING' THEN 2 WHEN 'FURNITURE' THEN 3 WHEN 'HOUSEHOLD' THEN 4 ELSE 5 END AS BIGINT) END AS current_tier_id,
   CASE c_custkey % 4 WHEN 0 THEN 'widget_signup' WHEN 1 THEN 'referral' WHEN 2 THEN 'admin_manual' ELSE 'AuthOtp' END
     AS recruitment_source,
   c_custkey % 10 < 3 AS recruited_via_ota,
@@ -124,8 +125,8 @@ FRAMES["named_members"] = """
 SELECT *, nullif(trim(coalesce(first_name, '') || ' ' || coalesce(last_name, '')), '') AS full_name FROM {members}"""
 
 FRAMES["bookings"] = """
-SELECT o.id, n_regionkey AS chain_group_id, n_nationkey AS hotel_id,
-  CASE WHEN o.id % 20 < 13 THEN c_custkey END AS member_id, 100 + n_regionkey AS program_id,
+SELECT o.id, CAST(n_regionkey AS BIGINT) AS chain_group_id, CAST(n_nationkey AS BIGINT) AS hotel_id,
+  CASE WHEN o.id % 20 < 13 THEN c_custkey END AS member_id, CAST(100 + n_regionkey AS BIGINT) AS program_id,
   CASE n_nationkey % 4 WHEN 0 THEN 'stayntouch' WHEN 1 THEN 'mews' WHEN 2 THEN 'protel_air' ELSE 'visbook' END AS pms_code,
   CAST(1000000 + o.id AS STRING) AS pms_reservation_no, upper(substring(md5(CAST(1000000 + o.id AS STRING)), 1, 8))
     AS pms_confirmation_code,
@@ -177,7 +178,7 @@ FROM {transactions} t
 WHERE t.bonus_earned_amount > 0 AND t.status = 'posted' AND t.transaction_type = 'charge'"""
 
 FRAMES["event_ledger"] = """
-SELECT event_id AS id, n_regionkey AS chain_group_id, 100 + n_regionkey AS program_id, user_id AS member_id,
+SELECT event_id AS id, CAST(n_regionkey AS BIGINT) AS chain_group_id, CAST(100 + n_regionkey AS BIGINT) AS program_id, user_id AS member_id,
   CASE event_type WHEN 'purchase' THEN 'earn_release' WHEN 'view' THEN 'earn_pending' WHEN 'click' THEN 'redeem'
     WHEN 'signup' THEN 'manual_adjustment' ELSE 'reverse' END AS type,
   CASE event_type WHEN 'view' THEN 'pending' WHEN 'error' THEN 'reversed' ELSE 'posted' END AS status,
@@ -187,9 +188,9 @@ SELECT event_id AS id, n_regionkey AS chain_group_id, 100 + n_regionkey AS progr
 FROM {events} JOIN {customer} ON user_id = c_custkey JOIN {nation} ON c_nationkey = n_nationkey"""
 
 FRAMES["rewards"] = """
-SELECT r_regionkey * 100 + t.no AS id, 100 + r_regionkey AS program_id, t.code, t.code AS name, t.cost AS cost_points,
-  CASE WHEN t.step IS NOT NULL THEN (100 + r_regionkey) * 10 + t.step END AS min_tier_id,
-  CASE WHEN t.no = 6 THEN r_regionkey END AS hotel_id, t.stock AS inventory_remaining,
+SELECT CAST(r_regionkey * 100 + t.no AS BIGINT) AS id, CAST(100 + r_regionkey AS BIGINT) AS program_id, t.code, t.code AS name, t.cost AS cost_points,
+  CASE WHEN t.step IS NOT NULL THEN CAST((100 + r_regionkey) * 10 + t.step AS BIGINT) END AS min_tier_id,
+  CASE WHEN t.no = 6 THEN CAST(r_regionkey AS BIGINT) END AS hotel_id, t.stock AS inventory_remaining,
   CAST(t.valid_from AS DATE) AS valid_from, CAST(t.valid_to AS DATE) AS valid_to, t.no <> 7 AS is_active
 FROM {region} JOIN (VALUES (0, 'free-night', 1200, NULL, NULL, '1997-01-01', '2000-12-31'), (1, 'late-checkout', 80, 2, NULL, NULL, NULL),
   (2, 'room-upgrade', 350, 3, NULL, NULL, NULL), (3, 'restaurant', 500, NULL, 0, NULL, NULL), (4, 'spa', 900, 3, 5, NULL, NULL),
@@ -197,7 +198,7 @@ FROM {region} JOIN (VALUES (0, 'free-night', 1200, NULL, NULL, '1997-01-01', '20
   (7, 'retired', 10, NULL, NULL, NULL, NULL)) AS t(no, code, cost, step, stock, valid_from, valid_to) ON r_regionkey >= 0"""
 
 FRAMES["point_redemptions"] = """
-SELECT event_id AS id, n_regionkey AS chain_group_id, user_id AS member_id, n_regionkey * 100 + event_id % 8 AS reward_id,
+SELECT event_id AS id, CAST(n_regionkey AS BIGINT) AS chain_group_id, user_id AS member_id, n_regionkey * 100 + event_id % 8 AS reward_id,
   CAST(1 + floor(value) AS BIGINT) AS points_spent, ts AS redemption_date,
   CASE WHEN event_id % 10 < 7 THEN 'fulfilled' WHEN event_id % 10 = 7 THEN 'pending' ELSE 'cancelled' END AS status
 FROM {events} JOIN {customer} ON user_id = c_custkey JOIN {nation} ON c_nationkey = n_nationkey
@@ -231,8 +232,8 @@ SELECT l_orderkey % 8 AS campaign_id, o_custkey AS member_id,
 FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey"""
 
 FRAMES["points_rules"] = """
-SELECT r_regionkey * 1000 + t.no AS id, 100 + r_regionkey AS program_id,
-  CASE WHEN t.at_hotel THEN r_regionkey + 5 * (t.no % 5) END AS hotel_id, t.channel, t.segment AS market_segment_code,
+SELECT CAST(r_regionkey * 1000 + t.no AS BIGINT) AS id, CAST(100 + r_regionkey AS BIGINT) AS program_id,
+  CASE WHEN t.at_hotel THEN CAST(r_regionkey + 5 * (t.no % 5) AS BIGINT) END AS hotel_id, t.channel, t.segment AS market_segment_code,
   t.rate_group AS rate_group_code, CAST(t.pct AS DECIMAL(5,2)) AS percent_of_payment, t.priority,
   CAST(t.valid_from AS DATE) AS valid_from, CAST(t.valid_to AS DATE) AS valid_to, t.no <> 9 AS is_active,
   t.silver AS silver_multiplier
@@ -286,7 +287,7 @@ SELECT user_id AS member_id, CASE event_id % 4 WHEN 0 THEN 'email' WHEN 1 THEN '
   event_type <> 'error' AS granted, CAST(CAST(ts AS DATE) AS {ts}) AS granted_at FROM {events}"""
 
 FRAMES["communications"] = """
-SELECT event_id AS id, n_regionkey AS chain_group_id, n_nationkey AS hotel_id, user_id AS member_id,
+SELECT event_id AS id, CAST(n_regionkey AS BIGINT) AS chain_group_id, CAST(n_nationkey AS BIGINT) AS hotel_id, user_id AS member_id,
   CASE WHEN event_type IN ('view', 'click') THEN 'email' ELSE 'sms' END AS channel,
   CASE WHEN event_type <> 'error' THEN ts END AS sent_at, 1 AS sms_logical_count,
   CAST(1 + event_id % 3 AS INT) AS sms_real_count

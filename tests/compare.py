@@ -55,8 +55,7 @@ def differences(spark_df, con, sql: str) -> str | None:
     kinds = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "DATE": "date",
              "TIMESTAMP": "timestamp_ntz", "BOOLEAN": "boolean"}
     mine = dict(spark_df.dtypes)
-    wrong = [f"{n}: {mine[n]} != {t}" for n, t in zip(names, types) if kinds.get(t, t) != mine[n]
-             and not (t == "INTEGER" and mine[n] == "bigint")]
+    wrong = [f"{n}: {mine[n]} != {t}" for n, t in zip(names, types) if kinds.get(t, t) != mine[n]]
     if wrong:
         return f"types {wrong}"
     if len(got[1]) != len(want[1]):
