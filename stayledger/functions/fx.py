@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from stayledger.functions.scalars import col
 
 RATE = "decimal(23,15)"
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 500_000
 
 
 def rate_spans(rates: DataFrame) -> DataFrame:

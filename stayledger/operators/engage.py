@@ -179,7 +179,7 @@ def ota_invitation_queue(bookings: DataFrame, members: DataFrame, consents: Data
         F.when(nordic, "nb").otherwise("en").alias("language"),
         later(F.col("booked_at"), mins=5).alias("queued_at"), later(F.col("booked_at"), mins=6).alias("sent_at"),
         F.concat(F.lit("msg-"), F.substring(F.md5(F.concat(key, F.lit("inv"))), 1, 12)).alias("external_message_id"),
-        F.coalesce(nordic, F.lit(False)).alias("scandinavia_flag"))
+        nordic.alias("scandinavia_flag"))
 
 
 def booking_confirmation_queue(bookings: DataFrame, members: DataFrame, hotels: DataFrame,

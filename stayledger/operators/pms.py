@@ -170,11 +170,14 @@ def segment_from_channel(bookings: DataFrame, mapping: DataFrame) -> DataFrame:
 
 
 def room_stays_from_bookings(bookings: DataFrame) -> DataFrame:
-    """One row per room: the first at the nightly rate, a second one at 85 % of it; one pass."""
+    """One row per room: the first at the nightly rate, a second one at 85 % of it; one pass.
+
+    Each amount is rounded once, from the exact nightly rate.
+    """
     rate = F.col("total_amount") / F.nullif(F.col("nights"), F.lit(0)).cast("decimal(10,0)")
-    # The second room takes its share of the rate already rounded to cents.
     first = F.round(rate, 2).cast("decimal(14,2)")
-    second = F.round(first * F.lit("0.85").cast("decimal(3,2)"), 2).cast("decimal(14,2)")
+    second = F.round(F.col("total_amount") * F.lit("0.85").cast("decimal(3,2)")
+                     / F.nullif(F.col("nights"), F.lit(0)).cast("decimal(10,0)"), 2).cast("decimal(14,2)")
 
     def room(no: int, amount: Column) -> Column:
         return F.struct(F.lit(no).alias("room_index"), amount.alias("rate_amount_per_night"))

@@ -18,7 +18,10 @@ def _lexemes(field: str, text: Column) -> Column:
     lowered = F.lower(F.coalesce(text, F.lit("")))
     if field in _WHOLE_FIELDS:
         return F.filter(F.array(F.trim(lowered)), lambda t: t != "")
-    return F.filter(F.split(lowered, r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    parts = F.filter(F.split(lowered, r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    # A hyphenated word counts as a whole besides its parts.
+    compounds = F.regexp_extract_all(lowered, F.lit(r"\p{L}[\p{L}\p{N}]*(?:-\p{L}[\p{L}\p{N}]*)+"), F.lit(0))
+    return F.concat(parts, compounds)
 
 
 def search_vector(members: DataFrame) -> Column:

@@ -118,13 +118,11 @@ def segment_from_channel(f):
     return pms.segment_from_channel(f.bookings, pms.channel_segments(f.spark))
 
 
-_NIGHTLY = """CASE WHEN nights > 0 THEN (2 * CAST(total_amount * 100 AS BIGINT) + nights) // (2 * nights) END"""
-
-
-@query("room_stays", f"""
-WITH r AS (SELECT *, {_NIGHTLY} AS cents FROM {{bookings}})
-SELECT id AS booking_id, hotel_id, arrival_date, departure_date, currency, CAST(1 AS BIGINT) AS room_index, cents / 100.0 AS rate_amount_per_night FROM r
-UNION ALL SELECT id, hotel_id, arrival_date, departure_date, currency, 2, ((cents * 85 + 50) // 100) / 100.0 FROM r WHERE num_rooms > 1""")
+@query("room_stays", """
+WITH r AS (SELECT *, CASE WHEN nights > 0 THEN nights END AS n, CAST(total_amount * 100 AS BIGINT) AS cents FROM {bookings})
+SELECT id AS booking_id, hotel_id, arrival_date, departure_date, currency, CAST(1 AS BIGINT) AS room_index,
+  ((2 * cents + n) // (2 * n)) / 100.0 AS rate_amount_per_night FROM r
+UNION ALL SELECT id, hotel_id, arrival_date, departure_date, currency, 2, ((170 * cents + 100 * n) // (200 * n)) / 100.0 FROM r WHERE num_rooms > 1""")
 def room_stays(f):
     return pms.room_stays_from_bookings(f.bookings)
 

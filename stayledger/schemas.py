@@ -9,7 +9,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+
+from stayledger.functions.scalars import full_name, nights
 
 MONEY, RATE, PERCENT = "decimal(14,2)", "decimal(14,6)", "decimal(5,2)"
 
@@ -170,6 +172,30 @@ ENUMS: dict[tuple[str, str], list[str]] = {
                                  "amenity", "gift_card", "experience"],
 }
 
+# What a column holds when a row is added without it.
+DEFAULTS: dict[tuple[str, str], str] = {
+    ("currencies", "decimals"): "2", ("chain_groups", "default_locale"): "nb-NO", ("chain_groups", "status"): "active",
+    ("hotels", "status"): "active", ("hotels", "timezone"): "Europe/Oslo", ("hotel_pms_connections", "is_active"): "true",
+    ("loyalty_programs", "is_active"): "true",
+    ("tiers", "multiplier_default"): "1.00", ("tiers", "is_default_initial"): "false",
+    ("tier_thresholds", "qualifying_period_months"): "12", ("tier_thresholds", "valid_from"): "1970-01-01",
+    ("tier_benefits", "is_active"): "true", ("tier_benefits", "sort_order"): "0",
+    ("points_rules", "priority"): "0", ("points_rules", "valid_from"): "1970-01-01", ("points_rules", "is_active"): "true",
+    ("rewards", "is_active"): "true",
+    ("members", "gender"): "unknown", ("members", "status"): "active", ("members", "recruited_via_ota"): "false",
+    ("member_external_ids", "is_valid"): "true",
+    ("bookings", "channel"): "other", ("bookings", "status"): "upcoming", ("bookings", "is_member_booking"): "false",
+    ("transactions", "transaction_type"): "charge", ("transactions", "status"): "posted",
+    ("transactions", "bonus_released_amount"): "0", ("transactions", "is_ota"): "false",
+    ("transaction_lines", "quantity"): "1", ("transaction_lines", "bonus_factor"): "1",
+    ("point_transactions", "status"): "posted", ("point_redemptions", "status"): "fulfilled",
+    ("communication_templates", "language"): "nb", ("communications", "direction"): "outbound",
+    ("communications", "status"): "queued", ("segments", "definition"): '{"type":"all"}', ("segments", "is_dynamic"): "true",
+    ("campaigns", "status"): "draft", ("campaigns", "recipient_count"): "0", ("campaign_recipients", "status"): "queued",
+    ("automations", "status"): "draft", ("automation_runs", "status"): "queued", ("admin_users", "is_active"): "true",
+    ("pms_imports", "status"): "queued", ("pms_imports", "rows_succeeded"): "0", ("pms_imports", "rows_failed"): "0",
+}
+
 # Row conditions as Spark SQL; an unknown result passes.
 CHECKS: dict[str, list[str]] = {
     "hotels": ["room_count >= 0"], "currency_rates": ["rate > 0"],
@@ -252,6 +278,26 @@ def schema_of(table: str, key_type: str = "string") -> T.StructType:
     return T.StructType(fields)
 
 
+def conform(df: DataFrame, table: str, key_type: str = "string") -> DataFrame:
+    """Rows in the shape of a table: its columns in order, cast, with defaults for absent columns.
+
+    A value that cannot be cast becomes NULL and is found by ``check_model``. Full names
+    and nights are formed here, as the table forms them.
+    """
+    present, out = set(df.columns), []
+    for c in columns_of(table, key_type):
+        if c.name in present:
+            value = F.col(c.name).try_cast(c.type)
+        elif (table, c.name) == ("members", "full_name") and {"first_name", "last_name"} <= present:
+            value = full_name("first_name", "last_name")
+        elif (table, c.name) == ("bookings", "nights") and {"arrival_date", "departure_date"} <= present:
+            value = nights(F.col("arrival_date").try_cast("date"), F.col("departure_date").try_cast("date"))
+        else:
+            value = F.lit(DEFAULTS.get((table, c.name))).cast(c.type)
+        out.append(value.alias(c.name))
+    return df.select(*out)
+
+
 def references_of(table: str) -> list[tuple[str, str, str]]:
     """(column, parent table, parent key) of every reference of a table."""
     return [(c.name, c.foreign_table, c.foreign_column) for c in columns_of(table) if c.foreign_table]
@@ -259,10 +305,10 @@ def references_of(table: str) -> list[tuple[str, str, str]]:
 
 def data_dictionary(spark: SparkSession, tables: list[str] | None = None, key_type: str = "string") -> DataFrame:
     """One row per column of the model: type, nullability, description, key and reference."""
-    rows = [(c.table, DESCRIPTIONS.get(c.table), c.position, c.name, c.type, c.nullable, c.description,
-             c.is_primary_key, c.foreign_table, c.foreign_column)
+    rows = [(c.table, DESCRIPTIONS.get(c.table), c.position, c.name, c.type, c.nullable,
+             DEFAULTS.get((c.table, c.name)), c.description, c.is_primary_key, c.foreign_table, c.foreign_column)
             for t in (tables or sorted(TABLES)) for c in columns_of(t, key_type)]
     return spark.createDataFrame(rows, """table_name string, table_description string, ordinal_position int,
-        column_name string, data_type string, is_nullable boolean, column_description string,
+        column_name string, data_type string, is_nullable boolean, column_default string, column_description string,
         is_primary_key boolean, foreign_table string, foreign_column string""") \
         .orderBy("table_name", "ordinal_position")

@@ -18,6 +18,16 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
     return reader.parquet(path)
 
 
+def read_since(spark: SparkSession, path: str, business_date: str, since: date,
+               schema: T.StructType | None = None) -> DataFrame:
+    """The rows from ``since`` on of a table kept in month folders; earlier folders are not read.
+
+    For the reports that look back a year from a given day.
+    """
+    rows = read_table(spark, path, None if schema is None else T.StructType([*schema.fields, T.StructField("month", T.DateType())]))
+    return rows.where((F.col("month") >= F.lit(since.replace(day=1))) & (F.col(business_date) >= F.lit(since))).drop("month")
+
+
 def literal_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A small inline relation, e.g. a lookup table."""
     return spark.createDataFrame(rows, schema)

@@ -89,6 +89,16 @@ def test_tables_and_snapshots(spark, tmp_path):
     assert [tables.load_snapshot(spark, folder, date(2024, 1, d)).count() for d in (1, 2)] == [1, 2]
 
 
+def test_recent_months_only(spark, tmp_path):
+    rows = spark.createDataFrame([(m, date(2024, m, 20)) for m in range(1, 7)], "id int, arrival_date date")
+    path = str(tmp_path / "t")
+    tables.append(rows, path, "arrival_date")
+    got = tables.read_since(spark, path, "arrival_date", date(2024, 4, 21), rows.schema)
+    assert sorted(r["id"] for r in got.collect()) == [5, 6] and got.columns == rows.columns
+    scan = got._jdf.queryExecution().executedPlan().toString()
+    assert "month" in scan.split("PartitionFilters: [")[1].split("]")[0]
+
+
 def test_feeds(spark, tmp_path):
     (tmp_path / "a.csv").write_text("Reservation Number;Department ID;Amount\n100;2401;12,5\n101;2402;\n", encoding="utf-8")
     got = feeds.read_csv_feed(spark, str(tmp_path / "a.csv"), "`Reservation Number` string, `Department ID` string, Amount string",
@@ -164,6 +174,7 @@ def test_model(spark, frames):
     words = {r["column_name"]: r for r in schemas.data_dictionary(spark, ["point_transactions"], "bigint").collect()}
     assert (words["member_id"]["data_type"], words["member_id"]["foreign_table"], words["id"]["is_primary_key"]) == ("bigint", "members", True)
     assert words["expires_at"]["is_nullable"] and words["expires_at"]["column_description"]
+    assert words["status"]["column_default"] == "posted"
     assert schemas.data_dictionary(spark).select("table_name").distinct().count() == 40
     assert all(schemas.schema_of(t) for t in schemas.TABLES)
     broken = quality.check_model("bookings", {"bookings": frames.bookings, "hotels": frames.hotels, "members": frames.members,
@@ -173,13 +184,27 @@ def test_model(spark, frames):
     assert [tuple(r)[1:] for r in quality.check_model("bookings", {"bookings": wrong}).collect()] == [("values: status", 1)]
 
 
+def test_rows_take_the_shape_of_their_table(spark):
+    rows = spark.createDataFrame([("1", "2", "5", "2024-01-05", "2024-01-03", "12.345"), ("2", "2", "x", "soon", "2024-01-09", None)],
+                                 "id string, chain_group_id string, hotel_id string, arrival_date string, departure_date string, total_amount string")
+    shaped = schemas.conform(rows, "bookings", "bigint")
+    assert shaped.columns == schemas.schema_of("bookings").fieldNames()
+    first, second = shaped.orderBy("id").collect()
+    assert (first["nights"], first["status"], first["channel"], first["total_amount"]) == (0, "upcoming", "other", D("12.35"))
+    assert (second["hotel_id"], second["arrival_date"], second["is_member_booking"]) == (None, None, False)
+    found = {r["rule"] for r in quality.check_model("bookings", {"bookings": shaped}).collect()}
+    assert {"not null: hotel_id", "not null: arrival_date", "check: departure_date >= arrival_date"} <= found
+    people = schemas.conform(spark.createDataFrame([(1, " ", "Berg")], "id int, first_name string, last_name string"), "members", "bigint")
+    assert people.first()["full_name"] == "Berg"
+
+
 def test_search(spark):
     rows = spark.createDataFrame([(1, "a", "Anna-Lise", "Berg", "Anna@X.no", None, "M-7", "Oslo", "Anna-Lise Berg"), (2, "a", "Bo", None, None, "+47123", None, "Annaberg", "Bo")],
                                  "id int, chain_group_id string, first_name string, last_name string, email string, phone_e164 string, "
                                  "member_number string, city string, full_name string")
     terms = search.member_search_terms(rows)
     got = {(r["lexeme"], r["weight"]) for r in terms.where("member_id = 1").collect()}
-    assert got == {("anna", "A"), ("lise", "A"), ("berg", "A"), ("anna@x.no", "B"), ("m", "B"), ("7", "B"), ("oslo", "C")}
+    assert got == {("anna-lise", "A"), ("anna", "A"), ("lise", "A"), ("berg", "A"), ("anna@x.no", "B"), ("m", "B"), ("7", "B"), ("oslo", "C")}
     assert [(r["member_id"], r["score"]) for r in search.member_search(terms, "Berg oslo").collect()] == [(1, 1.2)]
     assert search.member_search(terms, "berg bo").count() == 0
     # Word "cat" has the pieces "  c", " ca", "cat", "at "; "cats" shares three of six.
