@@ -227,9 +227,8 @@ SELECT b.id AS booking_id, n.member_id FROM {bookings} b JOIN (SELECT id AS memb
   count(*) OVER () AS n FROM {members}) n ON n.position = (b.id * 13 + 17) % n.n + 1""")
 def numbered_members(f):
     people = tables.numbered(f.members.select("id"), "id")
-    total = f.members.agg(F.count("*").alias("n"))
-    rows = f.bookings.select(F.col("id").alias("booking_id")).join(total, F.lit(True))
-    spot = (F.col("booking_id") * 13 + 17) % F.col("n") + 1
+    rows = f.bookings.select(F.col("id").alias("booking_id"))
+    spot = (F.col("booking_id") * 13 + 17) % F.lit(f.members.count()) + 1
     return rows.withColumn("position", spot).join(people.withColumnRenamed("id", "member_id"), "position") \
         .select("booking_id", "member_id")
 

@@ -19,6 +19,22 @@ def test_matches_sql(name, spark, duck, small_folder):
     assert compare.differences(found, duck, ORACLES[name]) is None
 
 
+@pytest.mark.parametrize("name", ["build_transactions", "earn_points", "qualify_tiers", "tier_history", "eligible_rewards", "audience_sample",
+                                  "sync_errors", "segment_from_channel", "campaign_performance", "member_360"])
+def test_matches_sql_without_broadcasts(name, spark, duck, small_folder, monkeypatch):
+    """Configuration beyond the size limit takes the plain joins; the rows stay the same."""
+    from stayledger.functions import sizing
+    monkeypatch.setattr(sizing, "MAX_ROWS", 0)
+    settings = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    for s in settings:
+        spark.conf.set(s, "-1")
+    try:
+        assert compare.differences(QUERIES[name](spark, small_folder), duck, ORACLES[name]) is None
+    finally:
+        for s in settings:
+            spark.conf.unset(s)
+
+
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLES)
 
