@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -32,19 +33,23 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
     return spark
 
 
+@cache
+def _local_folder(application: str) -> str:
+    return tempfile.mkdtemp(prefix="stayledger-")
+
+
 def work_folder(spark: SparkSession) -> str:
     """Shared folder for written intermediate tables and stream checkpoints.
 
     It is the folder named by ``spark.checkpoint.dir``. Only a local master may
-    go without that setting; it then gets a temporary folder.
+    go without that setting; each application then gets one temporary folder.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) \
         or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="stayledger-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = _local_folder(spark.sparkContext.applicationId)
     return folder.rstrip("/")
 
 
