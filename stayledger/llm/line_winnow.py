@@ -72,7 +72,7 @@ def without_repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataF
             yield pa.record_batch({"_row": batch.column("_row"), "_new": pa.array(texts, pa.string()),
                                    "_n_lines": pa.array(totals, pa.int64()), "_n_removed": pa.array(removed, pa.int64())})
 
-    found = removed_spans(docs, min_lines, 1, winnowing_matches, lines=True).select("_row", "_text", "_ranges")
+    found = removed_spans(docs, min_lines, 1, winnowing_matches, lines=True, whole_rows=True).select("_row", "_text", "_ranges")
     schema = T.StructType([found.schema["_row"], T.StructField("_new", T.StringType()),
                            T.StructField("_n_lines", T.LongType()), T.StructField("_n_removed", T.LongType())])
     built = found.mapInArrow(rebuild, schema)

@@ -133,10 +133,10 @@ def _runs(mask: np.ndarray, segment: np.ndarray, offset: np.ndarray) -> tuple[np
 
 
 def removed_spans(docs: DataFrame, window: int, gram: int, matcher: Matcher, lines: bool = False,
-                  id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Every row of ``docs``, packed as ``_row``, with ``_id``, ``_text`` and ``_ranges``.
+                  id_column: str = "doc_id", text_column: str = "text", whole_rows: bool = False) -> DataFrame:
+    """``_id``, ``_text`` and ``_ranges`` of every row of ``docs``; with ``whole_rows`` the row itself too, as ``_row``.
 
-    ``_ranges`` has the repeated windows of the row as numbers ``start << 32 | count`` (count
+    Without whole rows the text is shuffled once, for segments and result alike. ``_ranges`` has the repeated windows of the row as numbers ``start << 32 | count`` (count
     windows from token ``start`` on), in no order, and is null where there are none.
     """
     def emit_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,16 +161,21 @@ def removed_spans(docs: DataFrame, window: int, gram: int, matcher: Matcher, lin
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")).select(
         "_row", F.col(f"_row.`{id_column}`").cast("long").alias("_id"), F.col(f"_row.`{text_column}`").alias("_text"),
         F.xxhash64(F.col(f"_row.`{text_column}`")).alias("_hash"))
-    anchors = keyed.select("_id", "_hash", "_text").mapInArrow(emit_anchors, "anchor long, _id long, _hash long, number int")
+    texts = keyed.select("_id", "_text", "_hash")
+    anchors = texts.mapInArrow(emit_anchors, "anchor long, _id long, _hash long, number int")
     common = anchors.groupBy("anchor").count().where("count > 1").select("anchor", (F.col("count") > HOT).alias("hot"))
     kept = anchors.join(common, "anchor").groupBy("_id", "_hash").agg(
         F.collect_set((F.col("number").cast("long") * 2 + F.col("hot").cast("long"))).alias("_numbers"))
     kept = materialize(kept, "repeat-anchors")
-    carried = keyed.alias("a").join(kept.alias("b"), _same_row()).select("_row", "a._id", "_text", "a._hash", "_numbers") \
+    carried = texts.alias("a").join(kept.alias("b"), _same_row()).select("a._id", "_text", "a._hash", "_numbers") \
         .mapInArrow(emit_segments, "shard long, content_hash long, _id long, _hash long, start int, n int, content binary")
     ranges = carried.repartition("shard").sortWithinPartitions("shard").mapInArrow(match, "_id long, _hash long, range long")
     gathered = ranges.groupBy("_id", "_hash").agg(F.collect_set("range").alias("_ranges"))
-    return keyed.alias("a").join(gathered.alias("b"), _same_row(), "left").select("_row", "a._id", "_text", "_ranges")
+    if not whole_rows:
+        return texts.alias("a").join(gathered.alias("b"), _same_row(), "left").select("a._id", "_text", "_ranges")
+    rows = keyed.select("_row", "_id", "_hash")  # has the text once
+    return rows.alias("a").join(gathered.alias("b"), _same_row(), "left").select(
+        "_row", "a._id", F.col(f"_row.`{text_column}`").alias("_text"), "_ranges")
 
 
 def _same_row() -> Column:

@@ -103,6 +103,6 @@ def without_passages(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GR
             return " ".join(w for w, g in zip(words, gone) if not g)
         return text.combine(ranges, one)
 
-    found = removed_spans(docs, min_words, gram, suffix_matches)
+    found = removed_spans(docs, min_words, gram, suffix_matches, whole_rows=True)
     return found.withColumn("_text", cut("_text", "_ranges")).select(
         *[(F.col("_text") if c == "text" else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
