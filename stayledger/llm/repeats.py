@@ -136,7 +136,7 @@ def removed_spans(docs: DataFrame, window: int, gram: int, matcher: Matcher, lin
                   id_column: str = "doc_id", text_column: str = "text", whole_rows: bool = False) -> DataFrame:
     """``_id``, ``_text`` and ``_ranges`` of every row of ``docs``; with ``whole_rows`` the row itself too, as ``_row``.
 
-    Without whole rows the text is shuffled once, for segments and result alike. ``_ranges`` has the repeated windows of the row as numbers ``start << 32 | count`` (count
+    The rows are shuffled once, for segments and result alike. ``_ranges`` has the repeated windows of the row as numbers ``start << 32 | count`` (count
     windows from token ``start`` on), in no order, and is null where there are none.
     """
     def emit_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,18 +164,21 @@ def removed_spans(docs: DataFrame, window: int, gram: int, matcher: Matcher, lin
     texts = keyed.select("_id", "_text", "_hash")
     anchors = texts.mapInArrow(emit_anchors, "anchor long, _id long, _hash long, number int")
     common = anchors.groupBy("anchor").count().where("count > 1").select("anchor", (F.col("count") > HOT).alias("hot"))
-    kept = anchors.join(common, "anchor").groupBy("_id", "_hash").agg(
+    # Written, so that the join with it is one of two plain shuffles, whose hot anchors can be split.
+    common = materialize(common, "repeat-anchors")
+    kept = anchors.join(common.hint("merge"), "anchor").groupBy("_id", "_hash").agg(
         F.collect_set((F.col("number").cast("long") * 2 + F.col("hot").cast("long"))).alias("_numbers"))
-    kept = materialize(kept, "repeat-anchors")
-    carried = texts.alias("a").join(kept.alias("b"), _same_row()).select("a._id", "_text", "a._hash", "_numbers") \
-        .mapInArrow(emit_segments, "shard long, content_hash long, _id long, _hash long, start int, n int, content binary")
+    kept = materialize(kept, "repeat-segments")
+    # Both joins of the rows have one shuffle in common; a broadcast at small sizes would only hide it.
+    rows = keyed.select("_row", "_id", "_hash") if whole_rows else texts
+    text = F.col(f"_row.`{text_column}`").alias("_text") if whole_rows else F.col("_text")
+    met = rows.alias("a").join(kept.hint("merge").alias("b"), _same_row())
+    carried = met.select(*["_row"][:whole_rows], "a._id", text, "a._hash", "_numbers").mapInArrow(
+        emit_segments, "shard long, content_hash long, _id long, _hash long, start int, n int, content binary")
     ranges = carried.repartition("shard").sortWithinPartitions("shard").mapInArrow(match, "_id long, _hash long, range long")
     gathered = ranges.groupBy("_id", "_hash").agg(F.collect_set("range").alias("_ranges"))
-    if not whole_rows:
-        return texts.alias("a").join(gathered.alias("b"), _same_row(), "left").select("a._id", "_text", "_ranges")
-    rows = keyed.select("_row", "_id", "_hash")  # has the text once
-    return rows.alias("a").join(gathered.alias("b"), _same_row(), "left").select(
-        "_row", "a._id", F.col(f"_row.`{text_column}`").alias("_text"), "_ranges")
+    met = rows.alias("a").join(gathered.hint("merge").alias("b"), _same_row(), "left")
+    return met.select(*["_row"][:whole_rows], "a._id", text, "_ranges")
 
 
 def _same_row() -> Column:
