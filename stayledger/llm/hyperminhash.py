@@ -4,12 +4,13 @@ A document's set is its distinct shingles of ``WORDS`` words, A-Z lowered (all i
 buckets keeps the least of its hash over the set, as the number of leading zeros and the ``MANTISSA`` bits after the leading one:
 16 bits. Documents with equal sets form a class, and only classes go on.
 
-1. Bands of registers are keys. In each bucket of a band every class is paired with the smallest one only.
-2. Pairs whose estimate of the Jaccard similarity, corrected for registers that agree by chance, lies far below the threshold
-   go; the others are confirmed on their full sets. Confirmed pairs give components.
-3. A bucket whose other members are not all in one component is searched again, in blocks: pairs that cross components,
-   and these alone, are estimated and confirmed likewise. So no link between components is lost to the pairing of step 1,
-   and members of one component are never paired up.
+1. Bands of registers are keys of buckets. Each class is paired with the smallest one it shares a bucket with. Pairs whose
+   estimate of the Jaccard similarity, corrected for registers that agree by chance, lies far below the threshold go; the others
+   are confirmed on their full sets. Confirmed pairs give components.
+2. Where the smallest class of a bucket is in another component than a member, that pair is tried likewise.
+3. A bucket whose other members are not all in one component by then is searched in blocks: pairs that cross components, and these
+   alone, are estimated and confirmed. So every pair that shares a band is tried or already connected, and members
+   of one component are never paired up.
 
 Two sets at the threshold share a band with probability 1 - (1 - 0.85**8)**36, over 0.99998.
 
@@ -170,7 +171,10 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> Data
                     both = np.bincount(owner[1:][twice], minlength=n)
                     yield part.select(["a", "b"]).filter(pa.array((100 * both >= percent * (size - both)) & (both > 0)))
 
-    side = lambda x: docs.select(F.col("doc_id").cast("long").alias(x), F.col("text").alias(f"text_{x}"))
+    pairs = materialize(pairs, "near-pairs")
+    asked = materialize(pairs.select("a").union(pairs.select("b")).distinct(), "near-asked")
+    texts = docs.select(F.col("doc_id").cast("long").alias("a"), "text").join(asked, "a", "left_semi")
+    side = lambda x: texts.select(F.col("a").alias(x), F.col("text").alias(f"text_{x}"))
     met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
     return met.mapInArrow(check, "a long, b long")
 
@@ -220,6 +224,20 @@ def crossing_pairs(rows: DataFrame) -> DataFrame:
         .mapInArrow(search, "a long, b long")
 
 
+def _labelled(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """The bucket members with their component and that of their center."""
+    of = lambda x, name: labels.select(F.col("node").alias(x), F.col("label").alias(name))
+    met = shared.join(of("node", "label"), "node", "left").join(of("center", "center_label"), "center", "left")
+    return met.withColumns({"label": F.coalesce("label", "node"), "center_label": F.coalesce("center_label", "center")})
+
+
+def _joined_up(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The components that more links make of known ones."""
+    if links.isEmpty():
+        return labels
+    return components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(links))
+
+
 def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable), kept."""
     rows = materialize(features(docs), "near-features")
@@ -228,30 +246,33 @@ def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         F.min("doc_id").alias("node"), F.max("sketch").alias("sketch")), "near-classes")
     bands = band_table(classes)
     centers = bands.groupBy("key").agg(F.min("node").alias("center"), F.count("*").alias("size")).where("size > 1")
-    shared = materialize(bands.join(centers, "key"), "near-buckets")
-    starred = shared.where("node != center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
+    centers = materialize(centers, "near-centers")
+    shared = materialize(bands.join(centers.hint("merge"), "key"), "near-buckets")
     texts = docs.where("doc_id is not null")
-    links = materialize(confirmed(_close(starred, classes), texts, percent), "near-links")
-    labels = components(links)
 
-    labelled = shared.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    open_keys = labelled.where("size > 2 and node != center").groupBy("key").agg(
+    def linked(pairs: DataFrame) -> DataFrame:
+        return materialize(confirmed(_close(materialize(pairs, "near-pairs"), classes), texts, percent), "near-links")
+
+    first = shared.where("node != center").groupBy(F.col("node").alias("b")).agg(F.min("center").alias("a"))
+    first = materialize(first.select("a", "b"), "near-pairs")
+    labels = components(linked(first))
+    apart = _labelled(shared, labels).where("label != center_label").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
+    labels = _joined_up(labels, linked(apart.join(first, ["a", "b"], "left_anti")))
+
+    rest = _labelled(shared, labels)
+    open_keys = rest.where("size > 2 and node != center").groupBy("key").agg(
         F.min("label").alias("least"), F.max("label").alias("most")).where("least != most").select("key")
-    open_rows = labelled.join(open_keys, "key").join(classes.select("node", "sketch", "n_shingles"), "node")
-    crossing = crossing_pairs(open_rows).distinct().join(starred, ["a", "b"], "left_anti")
-    more = confirmed(crossing, texts, percent)
-    label_of = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}"))
-    lifted = more.join(label_of("a"), "a", "left").join(label_of("b"), "b", "left").select(
-        F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b"))
+    open_keys = materialize(open_keys, "near-open")
+    open_rows = rest.join(open_keys, "key").join(classes.select("node", "sketch", "n_shingles"), "node")
+    crossing = crossing_pairs(open_rows).distinct().join(apart.unionByName(first), ["a", "b"], "left_anti")
+    extra = linked(crossing)
     member = named.select("doc_id", "n_shingles", "set_a", "set_b").join(
         classes.select("n_shingles", "set_a", "set_b", "node"), ["n_shingles", "set_a", "set_b"]).select("doc_id", "node").distinct()
     member = materialize(member, "near-members")
     # Rows that share an id are one node, so their classes are linked too.
     lowest = member.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("most")).where("a != most")
     renamed = member.join(lowest, "doc_id").where("a != node").select("a", F.col("node").alias("b"))
-    extra = materialize(lifted.unionByName(renamed), "near-links")
-    if not extra.isEmpty():
-        labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(extra))
+    labels = _joined_up(labels, materialize(extra.unionByName(renamed), "near-links"))
     found = member.join(labels, "node", "left").select("doc_id", F.coalesce("label", "node").alias("label")).distinct()
     joined = rows.select("doc_id", "n_shingles").join(found, "doc_id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id"))
