@@ -9,8 +9,8 @@ buckets keeps the least of its hash over the set, as the number of leading zeros
    are confirmed on their full sets. Confirmed pairs give components.
 2. Where the smallest class of a bucket is in another component than a member, that pair is tried likewise.
 3. A bucket whose other members are not all in one component by then is searched in blocks: pairs that cross components, and these
-   alone, are estimated and confirmed. So every pair that shares a band is tried or already connected, and members
-   of one component are never paired up.
+   alone, are estimated and confirmed inside the block. So every pair that shares a band is tried or already connected,
+   members of one component are never paired up, and no row per pair is formed.
 
 Two sets at the threshold share a band with probability 1 - (1 - 0.85**8)**36, over 0.99998.
 
@@ -34,7 +34,7 @@ WORDS, PERCENT = 5, 85
 BANDS, ROWS, MANTISSA = 36, 8, 10
 #: Estimates under this are left out before confirmation: over seven standard errors below the threshold.
 LEAST_ESTIMATE = 0.70
-BLOCK = 128
+BLOCK = 512
 _BUCKETS = BANDS * ROWS
 _FACTORS = mix(np.arange(1, _BUCKETS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -179,10 +179,11 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> Data
     return met.mapInArrow(check, "a long, b long")
 
 
-def crossing_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs of classes of one bucket in different components, by estimate, from (key, size, node, label, sketch, n_shingles).
+def crossing_links(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Links (a, b) of classes of one bucket in different components, from (key, size, node, label, sketch, n_shingles, text).
 
-    A bucket is cut into blocks of about ``BLOCK`` members, and each pair of blocks is a group of its own.
+    A bucket is cut into blocks of about ``BLOCK`` members, and each pair of blocks is a group of its own. Pairs are estimated
+    and confirmed in the group, so that no row per pair is formed; a pair that shares several bands is taken in the first.
     """
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -203,27 +204,48 @@ def crossing_pairs(rows: DataFrame) -> DataFrame:
         node, label, block, n = (_ints(rows.column(c)) for c in ("node", "label", "block", "n_shingles"))
         low, high = rows.column("low")[0].as_py(), rows.column("high")[0].as_py()
         sketch = _sketch_rows(rows.column("sketch"))
+        bands = np.ascontiguousarray(sketch).view(np.uint64).reshape(len(sketch), BANDS, ROWS // 4)
+        here = int(np.flatnonzero(band_keys(sketch[:1])[0].view(np.int64) == rows.column("key")[0].as_py())[0])
         left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        sets: dict[int, np.ndarray] = {}
+
+        def shingles(i: int) -> np.ndarray:
+            if i not in sets:
+                sets[i] = shingle_sets(rows.column("text").slice(i, 1))[1]
+            return sets[i]
+
         found = []
         for i in left.tolist():
             others = right[label[right] != label[i]]
             if low == high:
                 others = others[node[others] > node[i]]
             match = (sketch[others] == sketch[i]).mean(axis=1)
-            near = others[estimated(match, n[others], n[i]) >= LEAST_ESTIMATE]
-            found.append(np.stack([np.minimum(node[near], node[i]), np.maximum(node[near], node[i])]))
-        a, b = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+            others = others[estimated(match, n[others], n[i]) >= LEAST_ESTIMATE]
+            earlier = (bands[others, :here] == bands[i, :here]).all(axis=2).any(axis=1)
+            for j in others[~earlier].tolist():
+                both = np.sort(np.concatenate([shingles(i), shingles(j)]), kind="stable")
+                shared = int((both[1:] == both[:-1]).sum())
+                if 100 * shared >= percent * (len(both) - shared):
+                    found.append((node[i], node[j]))
+        a, b = np.array(found, np.int64).reshape(-1, 2).T
         return pa.record_batch({"a": pa.array(a), "b": pa.array(b)})
 
     blocks = F.ceil(F.col("size") / BLOCK).cast("long")
     cut = rows.withColumn("block", F.pmod(F.xxhash64("node"), blocks))
     spread = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).select(
         "key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "label", "block",
-        "sketch", "n_shingles")
+        "sketch", "n_shingles", "text")
     return spread.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high") \
         .mapInArrow(search, "a long, b long")
 
 
+def _members(nodes: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """node, sketch, n_shingles and text of the given classes; a node whose id has several texts comes with each of them."""
+    nodes = materialize(nodes, "near-asked")
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(nodes, "node", "left_semi")
+    return texts.join(classes.select("node", "sketch", "n_shingles"), "node")
+
+
 def _labelled(shared: DataFrame, labels: DataFrame) -> DataFrame:
     """The bucket members with their component and that of their center."""
     of = lambda x, name: labels.select(F.col("node").alias(x), F.col("label").alias(name))
@@ -263,9 +285,9 @@ def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     open_keys = rest.where("size > 2 and node != center").groupBy("key").agg(
         F.min("label").alias("least"), F.max("label").alias("most")).where("least != most").select("key")
     open_keys = materialize(open_keys, "near-open")
-    open_rows = rest.join(open_keys, "key").join(classes.select("node", "sketch", "n_shingles"), "node")
-    crossing = crossing_pairs(open_rows).distinct().join(apart.unionByName(first), ["a", "b"], "left_anti")
-    extra = linked(crossing)
+    open_rows = materialize(rest.join(open_keys, "key").select("key", "size", "node", "label"), "near-open")
+    members = _members(open_rows.select("node").distinct(), classes, texts)
+    extra = materialize(crossing_links(open_rows.join(members, "node"), percent), "near-links")
     member = named.select("doc_id", "n_shingles", "set_a", "set_b").join(
         classes.select("n_shingles", "set_a", "set_b", "node"), ["n_shingles", "set_a", "set_b"]).select("doc_id", "node").distinct()
     member = materialize(member, "near-members")
