@@ -192,26 +192,7 @@ def parse(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
         yield headers, block
 
 
-def read_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    """The chunked record table as read: record, page_id, record_type, refers_to, target, digest, length, chunk, payload."""
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("record", "page_id", "record_type", "refers_to", "target", "digest", "length", "chunk", "payload")
-        kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.binary())
-        for batch in batches:
-            for value in batch.column("content"):
-                rows, size = [], 0
-                for headers, block in parse(_inflated(memoryview(value.as_buffer()))):
-                    rows.append(_chunk_row(headers, block))
-                    size += len(block)
-                    if size > 1 << 20:
-                        yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
-                        rows, size = [], 0
-                if rows:
-                    yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(folder).select("content")
-    return files.mapInArrow(cut, "record string, page_id long, record_type string, refers_to long, target string, digest string, "
-                                 "length long, chunk int, payload binary")
+_CHUNK_NAMES = ("record", "page_id", "record_type", "refers_to", "target", "digest", "length", "chunk", "payload")
 
 
 def _page(urn: str | None) -> int | None:
@@ -235,44 +216,67 @@ def _chunk_row(headers: dict[str, str], block: bytes) -> tuple:
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """One row per record: page_id, payload_bytes, payload_digest, record_type, refers_to, valid (payload as announced).
 
-    A record in one segment is checked where it is read. The chunks of longer ones are sorted by record and
+    A record in one segment is checked where it is read. The chunks of longer ones are written, sorted by record and
     number, and a digest runs over them one after the other.
     """
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield _records((r, [r["payload"]]) for r in batch.to_pylist())
-
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, sha1, size = None, None, 0
         for batch in batches:
             done = []
-            for row in batch.to_pylist():
-                if row["record_type"] != "continuation":
-                    if head is not None:
-                        done.append((head, sha1, size))
-                    head, sha1, size = row, hashlib.sha1(), 0
-                sha1.update(row["payload"])
-                size += len(row["payload"])
+            for part in slices(batch, "payload", 1 << 20):
+                for row in part.to_pylist():
+                    if row["record_type"] != "continuation":
+                        if head is not None:
+                            done.append((head, sha1, size))
+                        head, sha1, size = row, hashlib.sha1(), 0
+                    sha1.update(row["payload"])
+                    size += len(row["payload"])
             yield _checked(done)
         if head is not None:
             yield _checked([(head, sha1, size)])
 
-    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, valid boolean"
-    chunks = read_chunks(spark, folder)
-    single = chunks.where("chunk = 0").mapInArrow(whole, schema)
-    several = chunks.where("chunk > 0").repartition("record").sortWithinPartitions("record", "chunk").mapInArrow(joined, schema)
-    return single.unionByName(several)
-
-
-def _records(rows) -> pa.RecordBatch:
-    done = []
-    for row, chunks in rows:
-        sha1, size = hashlib.sha1(), 0
-        for chunk in chunks:
-            sha1.update(chunk)
-            size += len(chunk)
-        done.append((row, sha1, size))
-    return _checked(done)
+    rows = materialize(_read_segments(spark, folder), "warc-segments")
+    several = rows.where("record is not null").select("record", "page_id", "record_type", "refers_to", "digest", "length", "chunk", "payload")
+    several = several.repartition("record").sortWithinPartitions("record", "chunk").mapInArrow(joined, _RECORD)
+    return rows.where("record is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "valid") \
+        .unionByName(several)
+
+
+_RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, valid boolean"
+
+
+def _read_segments(spark: SparkSession, folder: str) -> DataFrame:
+    """Finished records, and with ``record`` the chunks of those in several segments."""
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for value in batch.column("content"):
+                done, chunks, size = [], [], 0
+                for headers, block in parse(_inflated(memoryview(value.as_buffer()))):
+                    row = dict(zip(_CHUNK_NAMES, _chunk_row(headers, block)))
+                    if row["chunk"]:
+                        chunks.append(row)
+                        size += len(block)
+                    else:
+                        done.append((row, hashlib.sha1(row["payload"]), len(row["payload"])))
+                    if size > 1 << 20 or len(done) >= 1000:
+                        yield both(done, chunks)
+                        done, chunks, size = [], [], 0
+                yield both(done, chunks)
+
+    def both(done: list, chunks: list) -> pa.RecordBatch:
+        checked = _checked(done)
+        columns, names = [], []
+        for name, column in zip(checked.schema.names, checked.columns):
+            more = [c.get(name) for c in chunks]
+            columns.append(pa.concat_arrays([column, pa.array(more, column.type)]))
+            names.append(name)
+        for name, kind in (("record", pa.string()), ("digest", pa.string()), ("length", pa.int64()), ("chunk", pa.int32()), ("payload", pa.binary())):
+            columns.append(pa.array([None] * len(done) + [c[name] for c in chunks], kind))
+            names.append(name)
+        return pa.record_batch(columns, names)
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(folder).select("content")
+    return files.mapInArrow(scan, _RECORD + ", record string, digest string, length long, chunk int, payload binary")
 
 
 def _checked(done: list) -> pa.RecordBatch:
