@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 WHITE = " \t\n\x0b\x0c\r"
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 _BLANK = np.zeros(256, bool)
 _BLANK[[ord(c) for c in WHITE]] = True
 _BREAK = np.zeros(256, bool)
