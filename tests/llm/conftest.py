@@ -3,3 +3,4 @@ import sys
 
 HERE = os.path.dirname(os.path.abspath(__file__))
 sys.path[:0] = [os.path.dirname(os.path.dirname(HERE)), HERE]
+sys.path.append(os.path.dirname(HERE))
