@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from stayledger.llm.batches import bound_batches
 from stayledger.llm.graph import components
 from stayledger.llm.tokens import Tokens, mix, range_hash, slices
 from stayledger.sources.tables import materialize
@@ -262,6 +263,7 @@ def _joined_up(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable), kept."""
+    bound_batches(docs.sparkSession)
     rows = materialize(features(docs), "near-features")
     named = rows.where("doc_id is not null and n_shingles > 0")
     classes = materialize(named.groupBy("n_shingles", "set_a", "set_b").agg(

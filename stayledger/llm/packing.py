@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tokenizers import Tokenizer
 
 from stayledger.functions.sizing import small
+from stayledger.llm.batches import bound_batches
 from stayledger.llm.tokens import slices
 from stayledger.session import fresh_path
 
@@ -106,6 +107,7 @@ def pieces(docs: DataFrame, length: int = LENGTH, tokenizer: str | None = None,
     doc_id, start (ids of its document before it), length, ids_crc32 (of little-endian unsigned 32-bit ids),
     doc_tokens, sequence_id, offset, sequence_length (padding included); with ``with_ids`` the ids.
     """
+    bound_batches(docs.sparkSession)
     path = tokenizer or public_tokenizers.path(VOCABULARY)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

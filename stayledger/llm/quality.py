@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from stayledger.llm.batches import bound_batches
 from stayledger.llm.tokens import Tokens, mix, range_hash, slices
 from stayledger.sources.tables import materialize
 
@@ -182,6 +183,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network |
         .where("doc_id is not null and quality in (0, 1)").where(fold() != 0)
     chosen = usable.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     chosen = materialize(chosen, "quality-sample")
+    bound_batches(docs.sparkSession)
     table = context_vectors(docs)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,6 +219,7 @@ def scored(docs: DataFrame, model: Network | float) -> DataFrame:
                 scores = np.full(part.num_rows, model) if isinstance(model, float) else model.score(part.column("_text"))
                 yield pa.record_batch([part.column("_row"), pa.array(scores)], ["_row", "_score"])
 
+    bound_batches(docs.sparkSession)
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")).select("_row", F.col("_row.text").alias("_text"))
     return packed.mapInArrow(score, packed.select("_row", F.lit(0.0).alias("_score")).schema)
 

@@ -32,6 +32,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
+from stayledger.llm.batches import bound_batches
 from stayledger.llm.tokens import Tokens, range_hash, sliding_min, slices
 from stayledger.sources.tables import materialize
 
@@ -158,6 +159,7 @@ def removed_spans(docs: DataFrame, window: int, gram: int, matcher: Matcher, lin
         for shard in _shards(batches):
             yield _matched(shard, lines, window, gram, matcher)
 
+    bound_batches(docs.sparkSession)
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")).select(
         "_row", F.col(f"_row.`{id_column}`").cast("long").alias("_id"), F.col(f"_row.`{text_column}`").alias("_text"),
         F.xxhash64(F.col(f"_row.`{text_column}`")).alias("_hash"))

@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from stayledger.llm.batches import bound_batches
 from stayledger.llm.tokens import slices
 from stayledger.session import fresh_path
 from stayledger.sources.tables import materialize
@@ -96,6 +97,7 @@ def record_table(pages: DataFrame, min_bytes: int = 0, chunk_bytes: int = CHUNK_
                 yield pa.record_batch({"page_id": pa.array(ids, pa.int64()), "chunk": pa.array(numbers, pa.int32()),
                                        "segment": pa.array(texts, pa.binary()).cast(pa.string())})
 
+    bound_batches(pages.sparkSession)
     digests = materialize(with_digests(pages), "warc-digests")
     winners = digests.where(F.col("payload_bytes") >= min_bytes).groupBy("strong", "payload_bytes").agg(F.max("page_id").alias("winner"))
     # Payloads are equal if SHA-256 and length are.
