@@ -318,8 +318,18 @@ def tier_change_candidates(changes: DataFrame, direction: str = "promote") -> Da
 
 
 def status_candidates(history: DataFrame, to_status: str) -> DataFrame:
-    """Bookings that entered a status (check-in, check-out, cancellation) and when."""
-    return history.where((F.col("to_status") == to_status) & F.col("occurred_at").isNotNull()) \
+    """Bookings that entered a status (check-in, check-out, cancellation) and when.
+
+    A completed stay goes from upcoming to checked_out at check-in and from in_house to checked_out at check-out;
+    so the first of these counts as check-in and only the second as check-out.
+    """
+    entered = F.col("to_status") == to_status
+    arrived = (F.col("from_status") == "upcoming") & (F.col("to_status") == "checked_out")
+    if to_status == "in_house":
+        entered = entered | arrived
+    elif to_status == "checked_out":
+        entered = entered & (F.col("from_status") == "in_house")
+    return history.where(entered & F.col("occurred_at").isNotNull()) \
         .groupBy("booking_id").agg(F.min("occurred_at").alias("due_at"))
 
 

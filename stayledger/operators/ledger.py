@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stayledger.functions.scalars import at_midnight, later, moment, whole
 from stayledger.functions.sizing import small
+from stayledger.schemas import columns_of
 
 LEDGER_COLUMNS = [
     "chain_group_id", "program_id", "member_id", "type", "status", "points_delta",
@@ -44,8 +45,10 @@ def points_balances(members: DataFrame, ledger: DataFrame, as_of: date | datetim
 
 
 def _padded(df: DataFrame) -> DataFrame:
-    missing = [F.lit(None).alias(c) for c in LEDGER_COLUMNS if c not in df.columns]
-    return df.select("*", *missing).select(*LEDGER_COLUMNS)
+    """The ledger's columns, those without a value as typed NULLs, so that all writers fill one table."""
+    types = {"metadata": "string"} | {c.name: c.type for c in columns_of("point_transactions", dict(df.dtypes)["member_id"])}
+    missing = [F.lit(None).cast(types[c]).alias(c) for c in LEDGER_COLUMNS if c not in df.columns]
+    return df.select("*", *missing).select(*[F.col(c).cast(types[c]).alias(c) for c in LEDGER_COLUMNS])
 
 
 def _member_side(members: DataFrame, tiers: DataFrame) -> DataFrame:

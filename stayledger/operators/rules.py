@@ -36,9 +36,10 @@ def valid_range_join(facts: DataFrame, config: DataFrame, keys: list[str], on_da
     return facts.join(terms, match, how).drop(*[f"_{k}" for k in keys], "_from", "_to")
 
 
-# Specificity of a rule: the weight of each field it pins down. A hotel outweighs
-# everything else together, so hotel rules and program-wide rules can be searched apart.
-_FIELDS = {"market_segment_code": 4, "rate_group_code": 2, "channel": 1}
+# Fields a rule may pin down besides the hotel. Only the hotel and the segment make it more specific: hotel and segment,
+# hotel, segment, default; then priority decides. Rate group and channel are conditions. Hotel rules and
+# program-wide rules can be searched apart.
+_FIELDS = {"market_segment_code": 1, "rate_group_code": 0, "channel": 0}
 
 
 def _rule_entry() -> Column:

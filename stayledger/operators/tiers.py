@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stayledger.functions.fx import RateBook
 from stayledger.functions.scalars import at_midnight, day, later
@@ -102,8 +102,11 @@ def tier_progress_pct(members: DataFrame, tiers: DataFrame, thresholds: DataFram
     before the first one.
     """
     order = small(tiers.select(F.col("id").alias("current_tier_id"), F.col("sort_order").alias("_current")))
-    tests = _tier_tests(members, tiers, thresholds, metrics, as_of).join(order, "current_tier_id", "left")
-    is_next = (F.col("sort_order") == F.coalesce("_current", F.lit(0)) + 1) & (F.col("min_value") > 0)
+    steps = small(tiers.groupBy("program_id").agg(F.collect_set("sort_order").alias("_steps")))
+    tests = _tier_tests(members, tiers, thresholds, metrics, as_of).join(order, "current_tier_id", "left").join(steps, "program_id", "left")
+    # Orders are unique in a program but may have gaps.
+    higher = F.array_min(F.filter("_steps", lambda s: s > F.coalesce(F.col("_current"), F.lit(0))))
+    is_next = (F.col("sort_order") == higher) & (F.col("min_value") > 0)
     ratio = F.round(F.col("reached") * F.lit(100).cast("decimal(3,0)") / F.col("min_value"), 2).cast("decimal(24,2)")
     return tests.groupBy(*_MEMBER).agg(
         (F.max if combine == "any" else F.min)(F.when(is_next, ratio)).alias("tier_progress_pct"),
@@ -118,9 +121,8 @@ def tier_history(members: DataFrame, tiers: DataFrame, promoted: Column | None =
     step below follows for the members chosen by ``promoted`` (default: everyone above
     the first step). Both rows come from one pass over the members.
     """
-    step = tiers.select(F.col("id").alias("current_tier_id"), "program_id", "sort_order")
-    below = tiers.select("program_id", (F.col("sort_order") + 1).alias("sort_order"), F.col("id").alias("prev_tier_id"))
-    levels = small(step.join(below, ["program_id", "sort_order"], "left").select("current_tier_id", "prev_tier_id"))
+    below = F.lag("id").over(Window.partitionBy("program_id").orderBy("sort_order"))
+    levels = small(tiers.select(F.col("id").alias("current_tier_id"), below.alias("prev_tier_id")))
     chosen = F.lit(True) if promoted is None else promoted
     rows = members.where(F.col("current_tier_id").isNotNull()) \
         .withColumn("_chosen", chosen).join(levels, "current_tier_id", "left")

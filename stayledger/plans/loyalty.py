@@ -23,8 +23,8 @@ def _ratio_cents(amount: str, n: str) -> str:
 
 
 _BEST_RULE = """SELECT b.id AS booking_id, r.id AS rule_id, r.percent_of_payment, r.silver_multiplier,
-    row_number() OVER (PARTITION BY b.id ORDER BY (r.hotel_id IS NOT NULL)::INT * 8 + (r.market_segment_code IS NOT NULL)::INT * 4
-      + (r.rate_group_code IS NOT NULL)::INT * 2 + (r.channel IS NOT NULL)::INT DESC, r.priority DESC, r.id) AS place
+    row_number() OVER (PARTITION BY b.id ORDER BY CASE WHEN r.hotel_id IS NOT NULL AND r.market_segment_code IS NOT NULL THEN 1
+      WHEN r.hotel_id IS NOT NULL THEN 2 WHEN r.market_segment_code IS NOT NULL THEN 3 ELSE 4 END, r.priority DESC, r.id) AS place
   FROM {bookings} b JOIN {points_rules} r ON r.program_id = b.program_id AND r.is_active
     AND b.arrival_date >= r.valid_from AND b.arrival_date <= coalesce(r.valid_to, b.arrival_date)
     AND coalesce(r.hotel_id = b.hotel_id, r.hotel_id IS NULL) AND coalesce(r.channel = b.channel, r.channel IS NULL)

@@ -283,7 +283,7 @@ def _by_hotel(landed):
 WITH d(position, column_name, data_type, is_nullable, foreign_table) AS (VALUES (1, 'id', 'bigint', false, NULL),
   (2, 'chain_group_id', 'bigint', false, 'chain_groups'), (3, 'program_id', 'bigint', false, 'loyalty_programs'),
   (4, 'member_id', 'bigint', false, 'members'), (5, 'type', 'string', false, NULL), (6, 'status', 'string', false, NULL),
-  (7, 'points_delta', 'int', false, NULL), (14, 'occurred_at', 'timestamp_ntz', false, NULL), (16, 'expires_at', 'timestamp_ntz', true, NULL)),
+  (7, 'points_delta', 'bigint', false, NULL), (14, 'occurred_at', 'timestamp_ntz', false, NULL), (16, 'expires_at', 'timestamp_ntz', true, NULL)),
 n AS (SELECT count(*) AS every, count(expires_at) AS expiring FROM {event_ledger})
 SELECT CAST(position AS BIGINT) AS ordinal_position, column_name, data_type, is_nullable, column_name = 'id' AS is_primary_key, foreign_table,
   CASE column_name WHEN 'expires_at' THEN every - expiring ELSE 0 END AS nulls FROM d, n""")

@@ -23,7 +23,8 @@ _RULES = [
     (lambda n: n.endswith(("_amount", "_revenue")) or n in ("min_value",), MONEY),
     (lambda n: n.endswith("_percent") or n.startswith("percent_"), PERCENT),
     (lambda n: n.endswith(("_count", "_order", "_index", "_months", "_points")) or n.startswith("num_")
-        or n.startswith("rows_") or n in ("nights", "priority", "points_delta", "points_spent"), "int"),
+        or n.startswith("rows_") or n in ("nights", "priority", "points_spent"), "int"),
+    (lambda n: n == "points_delta", "bigint"),
 ]
 
 # Tables with their columns.

@@ -86,8 +86,12 @@ def insert_ignore(batch: DataFrame, target: DataFrame | None, keys: list[str], o
 
 
 def update_from(df: DataFrame, source: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """``df`` with ``columns`` replaced by the values of the matching ``source`` row, if there is one."""
-    new = source.select(*keys, *[F.col(c).alias(f"_{c}") for c in columns], F.lit(True).alias("_hit"))
+    """``df`` with ``columns`` replaced by the values of the matching ``source`` row, if there is one.
+
+    Each row of ``df`` changes once: of several source rows with a key the one that sorts first by ``columns`` is taken.
+    """
+    one = source.groupBy(*keys).agg(F.min(F.struct(*columns)).alias("_new"))
+    new = one.select(*keys, *[F.col("_new")[c].alias(f"_{c}") for c in columns], F.lit(True).alias("_hit"))
     joined = df.join(new, keys, "left")
     set_to = {c: F.when(F.col("_hit"), F.col(f"_{c}")).otherwise(F.col(c)) for c in columns}
     return joined.withColumns(set_to).select(*df.columns)
@@ -110,16 +114,15 @@ def hash_pick(df: DataFrame, choices: DataFrame, group: str, key: str = "id", ou
     return df.join(F.broadcast(lists), group, "left").withColumn(out, lowest["id"]).drop("_ids")
 
 
-def numbered(df: DataFrame, key: str, out: str = "position", pieces: int = 64) -> DataFrame:
-    """Add the 1-based position of each row in the order of the unique, numeric ``key``.
+def numbered(df: DataFrame, key: str, out: str = "position", pieces: int | None = None) -> DataFrame:
+    """Add the 1-based position of each row in the order of the unique ``key`` of any sortable type.
 
-    The key range is cut at approximate quantiles (``pieces`` numbers reach the driver);
-    rows are numbered within a piece and shifted by the sizes of the pieces before it, so
-    no task sorts the whole table.
+    The rows are dealt out by ranges of the key, into as many pieces as the session has shuffle partitions or as
+    asked for, and written; they are numbered within a piece and shifted by the sizes of the pieces before
+    it, so no task sorts the whole table.
     """
-    cuts = sorted(set(df.approxQuantile(key, [i / pieces for i in range(1, pieces)], 0.5 / pieces)))
-    piece = sum((F.when(F.col(key) > c, 1).otherwise(0) for c in cuts), F.lit(0)) if cuts else F.lit(0)
-    rows = df.withColumn("_piece", piece)
+    ranged = df.repartitionByRange(key) if pieces is None else df.repartitionByRange(pieces, key)
+    rows = materialize(ranged.withColumn("_piece", F.spark_partition_id()), "numbered")
     sizes = rows.groupBy("_piece").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     shifts = sizes.select("_piece", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))

@@ -23,7 +23,8 @@ def rule_table(spark):
         rule(4, "4.0", hotel=7), rule(5, "5.0", hotel=7, segment="CGN"), rule(6, "6.0", hotel=7, segment="CGN", until=date(2023, 12, 31)),
         rule(7, "7.0", hotel=8, channel="direct", priority=1), rule(8, "8.0", hotel=8, channel="direct", priority=2),
         rule(9, "9.0", hotel=8, channel="direct", priority=2), rule(10, "10.0", hotel=9, active=False, priority=999),
-        rule(11, "11.0", group="BAR", priority=500), rule(12, "12.0", channel="group", over={"gold": D("2.5")}),
+        rule(11, "11.0", group="BAR", priority=500), rule(12, "12.0", channel="group", priority=1, over={"gold": D("2.5")}),
+        rule(13, "13.0", group="MEMBER", priority=50),
     ], RULE)
 
 
@@ -32,6 +33,8 @@ CASES = [
     (1, "direct", None, None, 1), (1, "ota", None, None, 2), (1, "ota", "CGN", None, 3), (7, "ota", None, None, 4),
     (7, "ota", "CGN", None, 5), (8, "direct", "CGN", "BAR", 8), (8, "walk_in", None, "BAR", 11), (9, "direct", None, None, 1),
     (1, "direct", "CGN", "BAR", 3),
+    # Rate group and channel add no level: the priority of the agency rule wins, and of the group rule over the default.
+    (1, "ota", None, "MEMBER", 2), (1, "direct", None, "MEMBER", 13),
 ]
 
 
