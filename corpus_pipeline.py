@@ -12,6 +12,10 @@ from stayledger.llm import hyperminhash, line_winnow, packing, pfair, quality
 from stayledger.sources.tables import materialize
 
 
+#: Similarity in percent from which documents are near copies.
+NEAR_PERCENT = 80
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents that the classifier accepts; it learns from the labels of the documents at hand."""
     return quality.good_documents(docs, spark.read.parquet(f"{folder}/labels.parquet"))
@@ -23,8 +27,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return hyperminhash.without_near_copies(docs)
+    """One document of each group of near copies, from a similarity of 0.8."""
+    return hyperminhash.without_near_copies(docs, NEAR_PERCENT)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

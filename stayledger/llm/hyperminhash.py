@@ -1,8 +1,8 @@
 """MinHash near-dedup with HyperMinHash sketches.
 
-A document's set is its distinct shingles of ``WORDS`` words, A-Z lowered (all its words, if fewer). Each of ``BANDS * ROWS``
-buckets keeps the least of its hash over the set, as the number of leading zeros and the ``MANTISSA`` bits after the leading one:
-16 bits. Documents with equal sets form a class, and only classes go on.
+A document's set is its distinct shingles of ``WORDS`` words, A-Z lowered (all its words, if fewer). Each bucket keeps the
+least of its hash over the set, as the number of leading zeros and the ``MANTISSA`` bits after the leading one: 16 bits. ``ROWS``
+buckets make a band, and the threshold gives the number of bands. Documents with equal sets form a class, and only classes go on.
 
 1. Bands of registers are keys of buckets. Each class is paired with the smallest one it shares a bucket with. Pairs whose
    estimate of the Jaccard similarity, corrected for registers that agree by chance, lies far below the threshold go; the others
@@ -12,7 +12,7 @@ buckets keeps the least of its hash over the set, as the number of leading zeros
    alone, are estimated and confirmed inside the block. So every pair that shares a band is tried or already connected,
    members of one component are never paired up, and no row per pair is formed.
 
-Two sets at the threshold share a band with probability 1 - (1 - 0.85**8)**36, over 0.99998.
+Two sets at the threshold t share none of b bands with probability (1 - t**8)**b, under ``MISSED``: 36 bands for 0.85, 63 for 0.8.
 
 A null or empty text has an empty set and is linked with nothing. A null doc_id has no component and stays. Rows that share
 an id are one node: what either text links to, both are linked to.
@@ -20,6 +20,7 @@ an id are one node: what either text links to, both are linked to.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,12 +33,18 @@ from stayledger.llm.tokens import Tokens, mix, range_hash, slices
 from stayledger.sources.tables import materialize
 
 WORDS, PERCENT = 5, 85
-BANDS, ROWS, MANTISSA = 36, 8, 10
-#: Estimates under this are left out before confirmation: over seven standard errors below the threshold.
-LEAST_ESTIMATE = 0.70
+ROWS, MANTISSA = 8, 10
+#: The most that banding may miss of pairs at the threshold.
+MISSED = 1.1e-5
+#: Estimates this far under the threshold are left out before confirmation: over seven standard errors.
+MARGIN = 0.15
 BLOCK = 512
-_BUCKETS = BANDS * ROWS
-_FACTORS = mix(np.arange(1, _BUCKETS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
+def bands_for(percent: int) -> int:
+    """The bands that find a pair at the threshold but for a share of ``MISSED``."""
+    found = (percent / 100) ** ROWS
+    return 1 if found >= 1 else math.ceil(math.log(MISSED) / math.log1p(-found))
 
 
 def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -66,22 +73,28 @@ def registers(least: np.ndarray) -> np.ndarray:
     return (((np.uint64(63) - top) << np.uint64(MANTISSA)) | (below >> np.uint64(64 - MANTISSA))).astype(np.uint16)
 
 
-def sketches(owner: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+def sketches(owner: np.ndarray, hashes: np.ndarray, bands: int = bands_for(PERCENT)) -> np.ndarray:
     """Registers of each text that has a shingle, one row a text."""
     start = np.flatnonzero(np.diff(owner, prepend=-1))
-    out = np.empty((len(start), _BUCKETS), np.uint16)
+    factors = mix(np.arange(1, bands * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+    out = np.empty((len(start), len(factors)), np.uint16)
     if len(start):
         product = np.empty_like(hashes)
-        for bucket, factor in enumerate(_FACTORS):
+        for bucket, factor in enumerate(factors):
             np.multiply(hashes, factor, out=product)
             out[:, bucket] = registers(np.minimum.reduceat(product, start))
     return out
 
 
+def _bands(sketch: np.ndarray) -> np.ndarray:
+    """The registers by row and band, four to a 64-bit number."""
+    return np.ascontiguousarray(sketch).view(np.uint64).reshape(len(sketch), sketch.shape[1] // ROWS, ROWS // 4)
+
+
 def band_keys(sketch: np.ndarray) -> np.ndarray:
     """One 64-bit key for each band, from its eight registers and its number."""
-    halves = np.ascontiguousarray(sketch).view(np.uint64).reshape(len(sketch), BANDS, ROWS // 4)
-    keys = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), halves.shape[:2])
+    halves = _bands(sketch)
+    keys = np.broadcast_to(np.arange(1, halves.shape[1] + 1, dtype=np.uint64), halves.shape[:2])
     for i in range(halves.shape[2]):
         keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + halves[:, :, i])
     return keys
@@ -99,11 +112,15 @@ def _ints(column: pa.Array) -> np.ndarray:
 
 
 def _sketch_rows(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), _BUCKETS)
+    if not len(column):
+        return np.empty((0, ROWS), np.uint16)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), -1)
 
 
-def features(docs: DataFrame) -> DataFrame:
+def features(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, set_a and set_b (128-bit hash of the set), sketch; the last three null for an empty set."""
+    bands = bands_for(percent)
+
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
@@ -119,7 +136,7 @@ def features(docs: DataFrame) -> DataFrame:
                         values[full] = np.add.reduceat(mixed, start)
                     sums.append(pa.array(values.view(np.int64), mask=n == 0))
                 sketch: list[bytes | None] = [None] * part.num_rows
-                for row, x in zip(full.tolist(), sketches(owner, hashes)):
+                for row, x in zip(full.tolist(), sketches(owner, hashes, bands)):
                     sketch[row] = x.tobytes()
                 yield pa.record_batch({"doc_id": part.column("doc_id"), "n_shingles": pa.array(n.astype(np.int64)),
                                        "set_a": sums[0], "set_b": sums[1], "sketch": pa.array(sketch, pa.binary())})
@@ -136,19 +153,21 @@ def band_table(classes: DataFrame) -> DataFrame:
                 part = batch.slice(start, 1000)
                 keys = band_keys(_sketch_rows(part.column("sketch")))
                 yield pa.record_batch({"key": pa.array(keys.ravel().view(np.int64)),
-                                       "node": pa.array(np.repeat(_ints(part.column("node")), BANDS))})
+                                       "node": pa.array(np.repeat(_ints(part.column("node")), keys.shape[1]))})
 
     return classes.select("node", "sketch").mapInArrow(explode, "key long, node long")
 
 
-def _close(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def _close(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose estimate does not rule the link out."""
+    least = percent / 100 - MARGIN
+
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 2000):
                 part = batch.slice(start, 2000)
                 match = (_sketch_rows(part.column("sketch_a")) == _sketch_rows(part.column("sketch_b"))).mean(axis=1)
-                near = estimated(match, _ints(part.column("n_a")), _ints(part.column("n_b"))) >= LEAST_ESTIMATE
+                near = estimated(match, _ints(part.column("n_a")), _ints(part.column("n_b"))) >= least
                 yield part.select(["a", "b"]).filter(pa.array(near))
 
     side = lambda x: classes.select(F.col("node").alias(x), F.col("sketch").alias(f"sketch_{x}"), F.col("n_shingles").alias(f"n_{x}"))
@@ -205,7 +224,7 @@ def crossing_links(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
         node, label, block, n = (_ints(rows.column(c)) for c in ("node", "label", "block", "n_shingles"))
         low, high = rows.column("low")[0].as_py(), rows.column("high")[0].as_py()
         sketch = _sketch_rows(rows.column("sketch"))
-        bands = np.ascontiguousarray(sketch).view(np.uint64).reshape(len(sketch), BANDS, ROWS // 4)
+        bands = _bands(sketch)
         here = int(np.flatnonzero(band_keys(sketch[:1])[0].view(np.int64) == rows.column("key")[0].as_py())[0])
         left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
         sets: dict[int, np.ndarray] = {}
@@ -221,7 +240,7 @@ def crossing_links(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
             if low == high:
                 others = others[node[others] > node[i]]
             match = (sketch[others] == sketch[i]).mean(axis=1)
-            others = others[estimated(match, n[others], n[i]) >= LEAST_ESTIMATE]
+            others = others[estimated(match, n[others], n[i]) >= percent / 100 - MARGIN]
             earlier = (bands[others, :here] == bands[i, :here]).all(axis=2).any(axis=1)
             for j in others[~earlier].tolist():
                 both = np.sort(np.concatenate([shingles(i), shingles(j)]), kind="stable")
@@ -264,7 +283,7 @@ def _joined_up(labels: DataFrame, links: DataFrame) -> DataFrame:
 def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable), kept."""
     bound_batches(docs.sparkSession)
-    rows = materialize(features(docs), "near-features")
+    rows = materialize(features(docs, percent), "near-features")
     named = rows.where("doc_id is not null and n_shingles > 0")
     classes = materialize(named.groupBy("n_shingles", "set_a", "set_b").agg(
         F.min("doc_id").alias("node"), F.max("sketch").alias("sketch")), "near-classes")
@@ -275,7 +294,7 @@ def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     texts = docs.where("doc_id is not null")
 
     def linked(pairs: DataFrame) -> DataFrame:
-        return materialize(confirmed(_close(materialize(pairs, "near-pairs"), classes), texts, percent), "near-links")
+        return materialize(confirmed(_close(materialize(pairs, "near-pairs"), classes, percent), texts, percent), "near-links")
 
     first = shared.where("node != center").groupBy(F.col("node").alias("b")).agg(F.min("center").alias("a"))
     first = materialize(first.select("a", "b"), "near-pairs")

@@ -58,6 +58,13 @@ def test_against_all_pairs(spark, monkeypatch, seed, block):
     assert sorted(tuple(r) for r in got) == brute(rows)
 
 
+def test_lower_threshold(spark):
+    assert [hmh.bands_for(p) for p in (100, 85, 80)] == [1, 36, 63]
+    rows = corpus(4)
+    got = hmh.near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 80).collect()
+    assert sorted(tuple(r) for r in got) == brute(rows, 80)
+
+
 def test_one_large_group(spark):
     """Hundreds of variants of one text, at the threshold from each other, and many copies of one of them."""
     rnd = random.Random(5)

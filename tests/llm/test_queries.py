@@ -46,7 +46,7 @@ def stage_by_stage(spark, docs, folder):
         assert solid_lines(got[r.doc_id].text) == [x for x, g in zip(lines, gone) if not g]
         assert (got[r.doc_id].lang, got[r.doc_id].source) == (r.lang, r.source)
     single = corpus_pipeline.drop_near_copies(spark, lined, folder)
-    want = {i for i, _, _, stays in brute([(r.doc_id, r.text) for r in got.values()]) if stays}
+    want = {i for i, _, _, stays in brute([(r.doc_id, r.text) for r in got.values()], corpus_pipeline.NEAR_PERCENT) if stays}
     assert {r.doc_id for r in single.collect()} == want and single.count() == len(want)
     mixed = corpus_pipeline.mix_sources(spark, single, folder)
     assert mixed.columns == docs.columns and Counter(r.doc_id for r in mixed.collect()) == Counter(want)
