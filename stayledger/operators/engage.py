@@ -7,7 +7,7 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from stayledger.functions.scalars import day, later, month_of
+from stayledger.functions.scalars import day, later, moment, month_of
 from stayledger.functions.sizing import small
 
 # --- audience rules ---------------------------------------------------------------
@@ -281,7 +281,7 @@ def ota_to_direct_converts(bookings: DataFrame) -> DataFrame:
 # --- automation triggers ----------------------------------------------------------
 
 def ota_booking_candidates(bookings: DataFrame, delay_minutes: int = 5, channel: str = "ota") -> DataFrame:
-    """Members to contact after a booking of the given channel, once the delay is over."""
+    """Members to contact after a booking of the given channel; due when the delay is over."""
     return bookings.where((F.col("channel") == channel) & F.col("member_id").isNotNull()
                           & F.col("booked_at").isNotNull()) \
         .select("member_id", F.col("id").alias("booking_id"),
@@ -341,15 +341,18 @@ def anniversary_candidates(members: DataFrame, as_of: date) -> DataFrame:
         .select(F.col("id").alias("member_id"), (F.lit(as_of.year) - F.year(joined)).alias("years"))
 
 
-def automation_candidates(trigger: str, frames: dict[str, DataFrame], as_of: date, **config) -> DataFrame:
+def automation_candidates(trigger: str, frames: dict[str, DataFrame], as_of: date, due_only: bool = False,
+                          **config) -> DataFrame:
     """Who a flow applies to, by the name of its trigger.
 
     ``frames`` names what the trigger reads: members, bookings, balances, status_history
-    or tier_changes. ``config`` goes to the trigger, e.g. ``days_inactive``.
+    or tier_changes. ``config`` goes to the trigger, e.g. ``days_inactive``. With ``due_only``
+    the triggers that fall due at a moment give only those due by ``as_of``.
     """
     entered = {"booking_cancelled": "cancelled", "check_in": "in_house", "check_out": "checked_out"}
     if trigger in entered:
-        return status_candidates(frames["status_history"], entered[trigger])
+        found = status_candidates(frames["status_history"], entered[trigger])
+        return found.where(F.col("due_at") <= moment(as_of)) if due_only else found
     triggers = {
         "ota_booking_received": lambda: ota_booking_candidates(frames["bookings"], **config),
         "direct_booking_received": lambda: ota_booking_candidates(frames["bookings"], channel="direct", **config),
@@ -362,4 +365,5 @@ def automation_candidates(trigger: str, frames: dict[str, DataFrame], as_of: dat
     }
     if trigger not in triggers:
         raise ValueError(f"unknown trigger {trigger!r}")
-    return triggers[trigger]()
+    found = triggers[trigger]()
+    return found.where(F.col("due_at") <= moment(as_of)) if due_only and "due_at" in found.columns else found

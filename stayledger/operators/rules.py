@@ -101,7 +101,7 @@ def resolve_points_rule(bookings: DataFrame, rules: DataFrame, on_date: str = "a
     """Add the one earning rule that applies to each booking; NULLs where none does.
 
     A NULL field of a rule matches anything, a filled one must agree. The most specific
-    rule wins (hotel, then segment, rate group, channel), then the higher priority, then
+    rule wins (hotel and segment, hotel, segment, default), then the higher priority, then
     the lower id. ``bookings`` needs program_id, hotel_id, channel, market_segment_code,
     rate_group_code and ``on_date``, and a unique ``key``. The rules are counted first: up
     to the limit they are sorted into arrays and bookings are not shuffled at all, beyond

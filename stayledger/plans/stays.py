@@ -138,9 +138,11 @@ def order_lines(f):
 
 
 @query("status_history", """
-SELECT id AS booking_id, CAST(NULL AS VARCHAR) AS from_status, 'upcoming' AS to_status, booked_at AS occurred_at FROM {bookings} WHERE booked_at IS NOT NULL
-UNION ALL SELECT id, 'upcoming', status, CASE status WHEN 'cancelled' THEN cancelled_at
-  WHEN 'no_show' THEN CAST(arrival_date AS TIMESTAMP) + INTERVAL 23 HOUR ELSE check_in_at END FROM {bookings} WHERE status <> 'upcoming'
-UNION ALL SELECT id, 'in_house', 'checked_out', check_out_at FROM {bookings} WHERE check_out_at IS NOT NULL""")
+SELECT id AS booking_id, CASE step WHEN 1 THEN 'upcoming' WHEN 2 THEN 'in_house' END AS from_status,
+  CASE step WHEN 0 THEN 'upcoming' ELSE status END AS to_status,
+  CASE WHEN step = 0 THEN booked_at WHEN step = 2 THEN check_out_at WHEN status = 'cancelled' THEN cancelled_at
+    WHEN status = 'no_show' THEN CAST(arrival_date AS TIMESTAMP) + INTERVAL 23 HOUR ELSE check_in_at END AS occurred_at
+FROM {bookings}, (VALUES (0), (1), (2)) AS s(step)
+WHERE CASE step WHEN 0 THEN booked_at IS NOT NULL WHEN 1 THEN status <> 'upcoming' ELSE status = 'checked_out' END""")
 def status_history(f):
     return pms.status_history_from_bookings(f.bookings)

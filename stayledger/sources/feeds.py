@@ -2,25 +2,61 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+_BROKEN = "_broken_line"
 
-def _landed(rows: DataFrame, import_id: str, pms_code: str, source_id: str | None) -> DataFrame:
-    payload = F.to_json(F.struct(*[c for c in rows.columns if c != "_source_file"]))
+
+def _landed(rows: DataFrame, payload: Column, source: Column, raw_row: Column, import_id: str, pms_code: str) -> DataFrame:
     return rows.select(F.lit(import_id).alias("import_id"), F.lit(pms_code).alias("pms_code"),
-                       (F.col(source_id) if source_id else F.lit(None)).cast("string").alias("source_id"),
-                       payload.alias("payload"), F.sha2(payload, 256).alias("payload_hash"), "_source_file")
+                       source.cast("string").alias("source_id"), payload.alias("payload"),
+                       F.sha2(payload, 256).alias("payload_hash"), raw_row.alias("raw_row"), "_source_file")
 
 
 def read_csv_feed(spark: SparkSession, path: str, schema: str, import_id: str, pms_code: str,
                   source_id: str | None = None, sep: str = ";") -> DataFrame:
-    """A delimited export with a header; spreadsheets arrive converted to this form."""
-    rows = spark.read.schema(schema).options(sep=sep, header=True, encoding="UTF-8", enforceSchema=False).csv(path)
-    return _landed(rows.withColumn("_source_file", F.input_file_name()), import_id, pms_code, source_id)
+    """A delimited export with a header; spreadsheets arrive converted to this form.
+
+    The payload holds every field of the file, those of ``schema`` in its types and the others as text. ``raw_row`` is
+    NULL but for a line that has too few or too many fields (the line) or a value that is not of its type (all fields as text).
+    """
+    options = {"sep": sep, "header": True, "encoding": "UTF-8"}
+    names = spark.read.options(**options).csv(path).columns
+    types = {f.name: f.dataType for f in T.DataType.fromDDL(schema).fields}
+    if absent := sorted(set(types) - set(names)):
+        raise ValueError(f"columns {absent} are not in the header")
+    texts = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _BROKEN]])
+    rows = spark.read.schema(texts).options(**options, enforceSchema=False, columnNameOfCorruptRecord=_BROKEN).csv(path) \
+        .withColumn("_source_file", F.input_file_name())
+    text = {n: F.col(f"`{n}`") for n in names}
+    typed = {n: c.try_cast(types[n]) if n in types else c for n, c in text.items()}
+    unfit = F.lit(False)
+    for n in types:
+        unfit = unfit | (text[n].isNotNull() & typed[n].isNull())
+    raw_row = F.coalesce(F.col(_BROKEN), F.when(unfit, F.to_json(F.struct(*text.values()))))
+    payload = F.to_json(F.struct(*[c.alias(n) for n, c in typed.items()]))
+    return _landed(rows, payload, text[source_id] if source_id else F.lit(None), raw_row, import_id, pms_code)
 
 
 def read_json_feed(spark: SparkSession, path: str, schema: str, import_id: str, pms_code: str,
                    source_id: str | None = None, multi_line: bool = False) -> DataFrame:
-    """A JSON export, one object per line or one array per file."""
-    rows = spark.read.schema(schema).option("multiLine", multi_line).json(path)
-    return _landed(rows.withColumn("_source_file", F.input_file_name()), import_id, pms_code, source_id)
+    """A JSON export, one object per line or one array per file.
+
+    The payload is the object with all its fields, on lines exactly as it came. ``raw_row`` is NULL but for text that is no
+    object or does not fit ``schema``; a file that should be an array and is none is one such row.
+    """
+    rows = spark.read.text(path, wholetext=multi_line).select("value", F.input_file_name().alias("_source_file"))
+    if multi_line:
+        listed = F.coalesce(F.from_json("value", "array<string>"), F.array("value"))
+        rows = rows.select(F.explode(listed).alias("value"), "_source_file")
+    rows = rows.where(F.trim("value") != "")
+    parsed = F.from_json("value", f"{schema}, {_BROKEN} string", {"columnNameOfCorruptRecord": _BROKEN})
+    rows = rows.withColumn("_parsed", parsed)
+    source = F.col("_parsed")[source_id] if source_id else F.lit(None)
+    return _landed(rows, F.col("value"), source, F.col("_parsed")[_BROKEN], import_id, pms_code)
+
+
+def feed_errors(landed: DataFrame) -> DataFrame:
+    """One error row for each landed row that did not fit the feed."""
+    return landed.where(F.col("raw_row").isNotNull()).select(
+        "import_id", "pms_code", "source_id", F.lit("BAD_ROW").alias("error_code"), "raw_row", "_source_file")

@@ -100,18 +100,17 @@ def update_from(df: DataFrame, source: DataFrame, keys: list[str], columns: list
 def hash_pick(df: DataFrame, choices: DataFrame, group: str, key: str = "id", out: str = "picked_id") -> DataFrame:
     """Give each row one choice of its group: the one with the lowest md5 of both keys.
 
-    ``choices`` is a small dimension, and its size is checked. Its ids are met as one array
-    per group and compared within the row, so no row per combination is formed.
+    ``choices`` is a dimension. Its ids are met as one array per group and compared within the row,
+    so no row per combination is formed. Up to the size limit the arrays are broadcast, beyond it they are joined by group.
     """
-    if not is_small(choices):
-        raise ValueError("too many rows to choose from; pick from a dimension table")
     lists = choices.groupBy(group).agg(F.sort_array(F.collect_list("id")).alias("_ids"))
+    lists = F.broadcast(lists) if is_small(choices) else lists
 
     def scored(c: Column) -> Column:
         return F.struct(F.md5(F.concat(F.col(key).cast("string"), c.cast("string"))).alias("h"), c.alias("id"))
 
     lowest = F.array_min(F.transform("_ids", scored))
-    return df.join(F.broadcast(lists), group, "left").withColumn(out, lowest["id"]).drop("_ids")
+    return df.join(lists, group, "left").withColumn(out, lowest["id"]).drop("_ids")
 
 
 def numbered(df: DataFrame, key: str, out: str = "position", pieces: int | None = None) -> DataFrame:

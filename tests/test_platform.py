@@ -112,6 +112,23 @@ def test_feeds(spark, tmp_path):
     assert [(r["pms_reservation_no"], r["total_amount"], r["currency"]) for r in normal] == [("VB-1", D("5.50"), "SEK"), ("VB-2", None, None)]
 
 
+def test_feeds_keep_all_fields_and_report_bad_rows(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("no;amount;note\n1;5.5;x\n2;many;y\n3\n4;1.0;z;more\n", encoding="utf-8")
+    landed = feeds.read_csv_feed(spark, str(tmp_path / "a.csv"), "no string, amount decimal(14,2)", "imp1", "other", "no")
+    rows = {r["source_id"]: r for r in landed.collect()}
+    assert json.loads(rows["1"]["payload"]) == {"no": "1", "amount": 5.5, "note": "x"} and rows["1"]["raw_row"] is None
+    assert json.loads(rows["2"]["raw_row"]) == {"no": "2", "amount": "many", "note": "y"}
+    assert rows["3"]["raw_row"] == "3" and rows["4"]["raw_row"] == "4;1.0;z;more"
+    assert sorted(r["source_id"] for r in feeds.feed_errors(landed).collect()) == ["2", "3", "4"]
+    lines = ['{"no":"1","extra":"kept?","nested":{"a":1}}', '{"no":"2","amount":"many"}', "no json"]
+    (tmp_path / "b.json").write_text("\n".join([*lines, ""]))
+    landed = feeds.read_json_feed(spark, str(tmp_path / "b.json"), "no string, amount decimal(14,2)", "imp2", "other", "no")
+    assert sorted(r["payload"] for r in landed.collect()) == sorted(lines)
+    assert sorted(r["raw_row"] for r in feeds.feed_errors(landed).collect()) == sorted(lines[1:])
+    with pytest.raises(ValueError):
+        feeds.read_csv_feed(spark, str(tmp_path / "a.csv"), "absent string", "imp1", "other")
+
+
 def test_bad_payloads_are_reported_not_lost(spark):
     raw = spark.createDataFrame([(1, 1, "visbook", '{"booking_id":"A","department_id":"5","amount":1,"currency":"NOK"}'), (2, 1, "visbook", "no json"),
                                  (3, 1, "visbook", '{"booking_id":"A","department_id":"5","amount":1,"currency":"SEK"}'), (4, 1, "unknown", "{}")],
