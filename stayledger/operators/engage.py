@@ -147,8 +147,8 @@ def _consenting(members: DataFrame, consents: DataFrame | None, consent_type: st
 
 
 def localized_templates(templates: DataFrame, languages: DataFrame) -> DataFrame:
-    """One row per template and language; both are small configuration tables."""
-    return templates.join(languages, F.lit(True))
+    """One row per template and language, as asked; the languages go to the templates after a check of their size."""
+    return templates.join(small(languages), F.lit(True))
 
 
 def pick_template(queue: DataFrame, templates: DataFrame, code: str) -> DataFrame:

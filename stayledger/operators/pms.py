@@ -104,14 +104,16 @@ def sync_errors(reservations: DataFrame, hotels: DataFrame, need_email: bool = T
 
     Expects ``hotel_id`` from the property lookup. The rows are read twice, so pass a
     table in which the payloads are already parsed. Of several rows with one reservation
-    number the lowest id is kept; counting copies is a partial aggregate, so a number
-    that fills a large part of a feed collapses before the shuffle.
+    number the lowest id is kept. Counting copies is a partial aggregate. Rows without a
+    number are no copies of each other and spread over all tasks of the join by their id; those of a
+    number that fills a large part of a feed meet one row in the join, where AQE splits them.
     """
     key = ["pms_code", "pms_reservation_no"]
     copies = reservations.groupBy(*key).agg(F.count("*").alias("_n"), F.min("id").alias("_first")) \
-        .where(F.col("_n") > 1).drop("_n")
+        .where(F.col("pms_reservation_no").isNotNull() & (F.col("_n") > 1)).drop("_n").withColumn("_spread", F.lit(0).cast("bigint"))
+    spread = F.when(F.col("pms_reservation_no").isNull(), F.xxhash64("id")).otherwise(0)
     local = small(hotels.select(F.col("id").alias("hotel_id"), F.col("default_currency").alias("_ccy")))
-    rows = reservations.join(copies, key, "left").join(local, "hotel_id", "left")
+    rows = reservations.withColumn("_spread", spread).join(copies, [*key, "_spread"], "left").drop("_spread").join(local, "hotel_id", "left")
     tests = {
         "MAP_MISSING": F.col("hotel_id").isNull() | F.col("pms_reservation_no").isNull(),
         "CCY_MISMATCH": F.col("_ccy").isNotNull() & ~F.col("currency").eqNullSafe(F.col("_ccy")),
@@ -144,11 +146,18 @@ def dedupe_payloads(raw: DataFrame) -> DataFrame:
                 "payload_hash", "copies")
 
 
-def import_summary(checked: DataFrame) -> DataFrame:
-    """Rows seen, taken over and refused per import, with the resulting status."""
+def import_summary(checked: DataFrame, imports: DataFrame | None = None) -> DataFrame:
+    """Rows seen, taken over and refused per import, with the resulting status.
+
+    With ``imports`` (id), an import that brought no rows has a line as well, and counts as completed;
+    rows of an import that is not listed keep theirs.
+    """
     ok = F.size("error_codes") == 0
     counted = checked.groupBy("import_id").agg(
         F.count("*").alias("rows_total"), F.count_if(ok).alias("rows_succeeded"), F.count_if(~ok).alias("rows_failed"))
+    if imports is not None:
+        counted = counted.join(imports.select(F.col("id").alias("import_id")).distinct(), "import_id", "full") \
+            .na.fill(0, ["rows_total", "rows_succeeded", "rows_failed"])
     status = F.when(F.col("rows_failed") == 0, "completed").when(F.col("rows_succeeded") == 0, "failed") \
         .otherwise("partial")
     return counted.withColumn("status", status)

@@ -97,28 +97,41 @@ def check_model(table: str, frames: dict[str, DataFrame]) -> DataFrame:
     """Every rule of the data model for one table, as one row per broken rule with the rows it concerns.
 
     Required columns, row conditions and allowed values are counted in a single pass;
-    unique keys and references take one aggregation each.
+    unique keys and references take one aggregation each. A rule on a column that the frame lacks, or a reference
+    whose parent is not among ``frames``, comes as ``not checked: ...`` without a number of rows.
     """
     df = frames[table]
     present = set(df.columns)
     passes: dict[str, Column] = {}
+    skipped: list[str] = []
     for c in schemas.columns_of(table):
         if not c.nullable and c.name in present:
             passes[f"not null: {c.name}"] = F.col(c.name).isNotNull()
+        elif not c.nullable:
+            skipped.append(f"not null: {c.name}")
     for condition in schemas.CHECKS.get(table, []):
         passes[f"check: {condition}"] = F.coalesce(F.expr(condition), F.lit(True))
     for (t, column), allowed in schemas.ENUMS.items():
         if t == table and column in present:
             passes[f"values: {column}"] = F.coalesce(F.col(column).isin(allowed), F.lit(True))
+        elif t == table:
+            skipped.append(f"values: {column}")
+    keys = [(schemas.PRIMARY_KEYS.get(table, ["id"]), None)] + [(k, w) for t, k, w in schemas.UNIQUE_KEYS if t == table]
     counted = df.agg(*[F.count_if(~ok).alias(f"c{i}") for i, ok in enumerate(passes.values())])
+    for key, _ in keys:
+        if not all(k in present or "(" in k for k in key):
+            skipped.append(f"unique: {', '.join(key)}")
+    for column, parent, _ in schemas.references_of(table):
+        if column not in present or parent not in frames:
+            skipped.append(f"reference: {column}")
     pairs = [F.struct(F.lit(rule).alias("rule"), F.col(f"c{i}").alias("offending_rows")) for i, rule in enumerate(passes)]
+    pairs += [F.struct(F.lit(f"not checked: {rule}").alias("rule"), F.lit(None).cast("bigint").alias("offending_rows")) for rule in skipped]
     parts = [counted.select(F.inline(F.array(*pairs)))]
 
     def total(rule: str, found: DataFrame, column: str) -> DataFrame:
         return found.agg(F.coalesce(F.sum(column), F.lit(0)).alias("offending_rows")) \
             .select(F.lit(rule).alias("rule"), "offending_rows")
 
-    keys = [(schemas.PRIMARY_KEYS.get(table, ["id"]), None)] + [(k, w) for t, k, w in schemas.UNIQUE_KEYS if t == table]
     for key, where in keys:
         if all(k in present or "(" in k for k in key):
             found = check_unique(df, [F.expr(k) for k in key], None if where is None else F.expr(where))
@@ -126,5 +139,5 @@ def check_model(table: str, frames: dict[str, DataFrame]) -> DataFrame:
     for column, parent, parent_key in schemas.references_of(table):
         if column in present and parent in frames:
             parts.append(total(f"reference: {column}", check_fk(df, column, frames[parent], parent_key), "references"))
-    return reduce(DataFrame.unionByName, parts).where(F.col("offending_rows") > 0) \
+    return reduce(DataFrame.unionByName, parts).where(F.col("offending_rows").isNull() | (F.col("offending_rows") > 0)) \
         .select(F.lit(table).alias("table_name"), "rule", F.col("offending_rows").cast("bigint"))

@@ -71,7 +71,8 @@ def check_same_tenant(f):
 SELECT 'members' AS table_name, rule, n AS offending_rows FROM (
   SELECT 'check: email = lower(email)' AS rule, count(*) AS n FROM {members} WHERE email <> lower(email)
   UNION ALL SELECT 'unique: chain_group_id, phone_e164', CAST(coalesce(sum(c), 0) AS BIGINT) FROM (SELECT count(*) AS c FROM {members}
-    WHERE phone_e164 IS NOT NULL GROUP BY chain_group_id, phone_e164) WHERE c > 1) WHERE n > 0""")
+    WHERE phone_e164 IS NOT NULL GROUP BY chain_group_id, phone_e164) WHERE c > 1) WHERE n > 0
+UNION ALL SELECT 'members', 'not checked: reference: ' || c, NULL FROM (VALUES ('country_code'), ('recruitment_hotel_id')) AS t(c)""")
 def check_model_members(f):
     return quality.check_model("members", {"members": f.members, "tiers": f.tiers, "chain_groups": f.chain_groups,
                                            "loyalty_programs": f.loyalty_programs})

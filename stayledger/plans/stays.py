@@ -84,10 +84,12 @@ def sync_errors(f):
 
 
 @query("import_summary", _NORMAL + """, s AS (SELECT import_id, count(*) AS n, sum((len(codes) = 0)::INT) AS ok FROM c GROUP BY 1)
-SELECT import_id, n AS rows_total, CAST(ok AS BIGINT) AS rows_succeeded, CAST(n - ok AS BIGINT) AS rows_failed,
-  CASE ok WHEN n THEN 'completed' WHEN 0 THEN 'failed' ELSE 'partial' END AS status FROM s""")
+SELECT i.id AS import_id, coalesce(n, 0) AS rows_total, CAST(coalesce(ok, 0) AS BIGINT) AS rows_succeeded,
+  CAST(coalesce(n - ok, 0) AS BIGINT) AS rows_failed,
+  CASE WHEN n IS NULL OR ok = n THEN 'completed' WHEN ok = 0 THEN 'failed' ELSE 'partial' END AS status
+FROM {pms_imports} i LEFT JOIN s ON s.import_id = i.id""")
 def import_summary(f):
-    return pms.import_summary(checked(f))
+    return pms.import_summary(checked(f), f.pms_imports)
 
 
 @query("dedupe_payloads", """

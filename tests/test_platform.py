@@ -142,6 +142,19 @@ def test_bad_payloads_are_reported_not_lost(spark):
     assert {(r["id"], r["error_code"]) for r in errors.collect()} == {(2, "MAP_MISSING"), (3, "CCY_MISMATCH"), (3, "DUP_RESV"), (4, "MAP_MISSING")}
     summary = pms.import_summary(checked).first()
     assert (summary["rows_total"], summary["rows_succeeded"], summary["rows_failed"], summary["status"]) == (4, 1, 3, "partial")
+    imports = spark.createDataFrame([(1,), (7,)], "id int")
+    assert {tuple(r) for r in pms.import_summary(checked, imports).collect()} == {(1, 4, 1, 3, "partial"), (7, 0, 0, 0, "completed")}
+    assert {tuple(r) for r in pms.import_summary(checked, imports.where("id = 7")).collect()} == {(1, 4, 1, 3, "partial"), (7, 0, 0, 0, "completed")}
+
+
+def test_rows_without_a_number_are_no_copies(spark):
+    rows = spark.createDataFrame([(i, "visbook", None if i % 2 else "A", 9, "NOK", "g@example.com") for i in range(1, 7)],
+                                 "id long, pms_code string, pms_reservation_no string, hotel_id int, currency string, guest_email string")
+    hotels = spark.createDataFrame([(9, "NOK")], "id int, default_currency string")
+    checked = pms.sync_errors(rows, hotels)
+    assert set(checked.columns) == {*rows.columns, "error_codes"}
+    assert {r["id"]: r["error_codes"] for r in checked.collect()} == {
+        1: ["MAP_MISSING"], 2: [], 3: ["MAP_MISSING"], 4: ["DUP_RESV"], 5: ["MAP_MISSING"], 6: ["DUP_RESV"]}
 
 
 def test_channel_rules_in_order(spark):
@@ -196,9 +209,11 @@ def test_model(spark, frames):
     assert all(schemas.schema_of(t) for t in schemas.TABLES)
     broken = quality.check_model("bookings", {"bookings": frames.bookings, "hotels": frames.hotels, "members": frames.members,
                                               "chain_groups": frames.chain_groups})
-    assert broken.count() == 0
+    assert {(r["rule"], r["offending_rows"]) for r in broken.collect()} == {("not checked: reference: pms_code", None), ("not checked: reference: currency", None)}
     wrong = frames.bookings.withColumn("status", F.when(F.col("id") == 3, "lost").otherwise(F.col("status")))
-    assert [tuple(r)[1:] for r in quality.check_model("bookings", {"bookings": wrong}).collect()] == [("values: status", 1)]
+    found = [tuple(r)[1:] for r in quality.check_model("bookings", {"bookings": wrong.drop("chain_group_id")}).collect()]
+    assert [r for r in found if r[1] is not None] == [("values: status", 1)]
+    assert {("not checked: not null: chain_group_id", None), ("not checked: reference: hotel_id", None)} <= set(found)
 
 
 def test_rows_take_the_shape_of_their_table(spark):
