@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stayledger.llm import (
-    cover_tree, exact_dedup, fm_index, hyperminhash, line_winnow, packing, pfair, quality, sparse_suffix, warc,
+    cover_tree, exact_dedup, fm_index, histogram_sort, hyperminhash, infill, letter_trie, line_winnow, packing, pfair, quality, sparse_suffix,
+    warc,
 )
 
 _BLANK = r"[\x20\x09-\x0D]+"
@@ -68,6 +69,23 @@ def op10_fm_index_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return fm_index.without_repeats(_table(spark, folder, "documents")).drop("kept_text")
 
 
+def op11_histogram_sort(spark: SparkSession, folder: str) -> DataFrame:
+    text = F.coalesce("_row.text", F.lit(""))
+    return histogram_sort.sharded(_table(spark, folder, "documents")).select(
+        F.col("_row.doc_id").alias("doc_id"), F.col("_size").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("bytes").alias("law"),
+        F.col("_shard").alias("shard"), F.col("_slot").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op12_letter_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return letter_trie.variants(_table(spark, folder, "documents")).select("word", "n", "n_near", "form", "form_n", "root")
+
+
+def op13_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    done = infill.restored(infill.transformed(_table(spark, folder, "documents").select("doc_id", "text")))
+    return done.select(F.col("_row.doc_id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars",
+                       F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
 def _repeats_sql(tokens: str, size: int) -> str:
     """CTEs: ``t`` (doc_id, w), and ``covered`` (doc_id, q), the numbers from 1 of tokens in a repeated window."""
     return f"""WITH t AS ({tokens}),
@@ -124,6 +142,36 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(
   FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM
   (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20""",
+    "op12_letter_trie": """WITH RECURSIVE table_ AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
+runs AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+  FROM documents),
+coded AS (SELECT run, list_concat([4294967295], flatten(list_transform(string_split(concat(doc_id, ':', run), ''),
+  lambda x: CASE WHEN unicode(x) < 128 THEN [CAST(unicode(x) AS BIGINT)] ELSE [CAST(195 AS BIGINT), unicode(x) - 64] END))) AS b FROM runs WHERE length(run) >= 7),
+hashed AS (SELECT run, xor(4294967295, list_reduce(b, lambda c, x: xor(c // 256, t[xor(c % 256, x) + 1]))) AS h FROM coded, table_),
+slipped AS (SELECT CASE WHEN h % 31 = 0 THEN concat(substr(run, 1, CAST(h % length(run) AS BIGINT)), substr(run, CAST(h % length(run) AS BIGINT) + 2)) ELSE run END AS word
+  FROM hashed),
+v AS (SELECT word, count(*) AS n FROM slipped WHERE length(word) >= 7 GROUP BY word HAVING count(*) >= 2),
+cut AS (SELECT word, n, i, concat(substr(word, 1, i - 1), substr(word, i + 1)) AS rest FROM v, unnest(range(1, length(word) + 1)) u(i)),
+longer AS (SELECT DISTINCT cut.word AS a, cut.n AS an, v.word AS b, v.n AS bn FROM cut JOIN v ON cut.rest = v.word),
+near AS (SELECT a, an, b, bn FROM longer UNION ALL SELECT b, bn, a, an FROM longer
+  UNION ALL SELECT x.word, x.n, y.word, y.n FROM cut x JOIN cut y ON x.i = y.i AND x.rest = y.rest AND x.word <> y.word),
+best AS (SELECT a, count(*) AS n_near, arg_min(b, (-bn, b)) AS form, max(bn) AS form_n FROM near GROUP BY a),
+named AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 10 * n THEN form END AS form, CASE WHEN form_n >= 10 * n THEN form_n END AS form_n
+  FROM v LEFT JOIN best ON v.word = best.a),
+chain AS (SELECT word, word AS root FROM named UNION ALL SELECT chain.word, named.form FROM chain JOIN named ON chain.root = named.word WHERE named.form IS NOT NULL)
+SELECT named.word, named.n, named.n_near, named.form, named.form_n, chain.root FROM named JOIN chain ON named.word = chain.word
+  JOIN named last ON last.word = chain.root WHERE last.form IS NULL""",
+    "op13_fill_in_middle": """WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256(concat('42:', doc_id)) AS h,
+  regexp_extract_all(coalesce(text, ''), '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+') AS u FROM documents),
+k AS (SELECT *, list_transform(range(4), lambda i: CAST('0x' || substr(h, CAST(8 * i + 1 AS BIGINT), 8) AS BIGINT)) AS r FROM d),
+c AS (SELECT *, least(r[1] % (len(u) + 1), r[2] % (len(u) + 1)) AS a, greatest(r[1] % (len(u) + 1), r[2] % (len(u) + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR r[3] % 100 >= 50 THEN 'plain' WHEN r[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM k),
+p AS (SELECT *, array_to_string(u[1:a], '') AS prefix, array_to_string(u[a + 1:b], '') AS middle, array_to_string(u[b + 1:], '') AS suffix FROM c)
+SELECT doc_id, CAST(len(u) AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN concat('<P>', prefix, '<S>', suffix, '<M>', middle) ELSE concat('<S>', suffix, '<P>', prefix, '<M>', middle) END) AS output_sha256,
+  sha256(t) AS restored_sha256 FROM p""",
     "op10_fm_index_dedup": _repeats_sql(_WORDS_SQL, fm_index.WINDOW) + """,
 kept AS (SELECT t.doc_id, string_agg(t.w[i], ' ' ORDER BY i) AS kept FROM t, unnest(range(1, len(w) + 1)) u(i)
   LEFT JOIN covered c ON t.doc_id = c.doc_id AND i = c.q WHERE c.q IS NULL GROUP BY t.doc_id),
@@ -135,7 +183,8 @@ FROM t LEFT JOIN kept ON t.doc_id = kept.doc_id LEFT JOIN gone ON t.doc_id = gon
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [op1_suffix_array_dedup, op2_line_dedup, op3_packing, op4_exact_dedup, op5_quality_classifier, op6_warc,
-             op7_pfair_mix, op8_hyperminhash, op9_cover_tree_topk, op10_fm_index_dedup]
+             op7_pfair_mix, op8_hyperminhash, op9_cover_tree_topk, op10_fm_index_dedup, op11_histogram_sort,
+             op12_letter_trie, op13_fill_in_middle]
     return {f.__name__: f for f in found}
 
 
