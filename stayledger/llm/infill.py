@@ -163,7 +163,7 @@ def restored_texts(outputs: pa.Array, changed: np.ndarray) -> pa.Array:
     place = {}
     for mark in (PREFIX, SUFFIX, MIDDLE):
         at = np.flatnonzero(letter == mark[1])
-        at = at[changed[owner[at]]]
+        at = at[changed[owner[at]] & (at + MARK <= end[owner[at]])]
         place[mark] = begin.copy()
         place[mark][owner[at]] = at
     p, s, m = place[PREFIX], place[SUFFIX], place[MIDDLE]
