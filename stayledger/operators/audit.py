@@ -50,7 +50,7 @@ def audit_diff(before: DataFrame, after: DataFrame, table: str, actor: Principal
     chain = F.coalesce("new.chain_group_id", "old.chain_group_id") if "chain_group_id" in after.columns \
         else F.lit(None).cast("string")
     return rows.select(
-        F.lit(actor.sub).alias("actor_user_id"), F.lit(actor.role).alias("actor_role"), "action",
+        F.lit(actor.sub).cast("string").alias("actor_user_id"), F.lit(actor.role).cast("string").alias("actor_role"), "action",
         F.lit(table).alias("table_name"), "record_id", chain.alias("chain_group_id"),
         _json("old").alias("before_value"), _json("new").alias("after_value"))
 

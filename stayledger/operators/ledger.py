@@ -9,10 +9,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from stayledger.functions.scalars import at_midnight, later, moment, whole
 from stayledger.functions.sizing import small
 from stayledger.schemas import columns_of
+from stayledger.sources.tables import materialize
+
+#: Rows of a member that one task sweeps in ``points_consumption``.
+STRETCH_ROWS = 20_000
 
 LEDGER_COLUMNS = [
     "chain_group_id", "program_id", "member_id", "type", "status", "points_delta",
-    "source_transaction_id", "source_booking_id", "reward_redemption_id",
+    "source_transaction_id", "source_booking_id", "rule_id", "reward_redemption_id",
     "applied_percent", "applied_multiplier", "applied_tier_id",
     "occurred_at", "effective_at", "expires_at", "reason", "metadata",
 ]
@@ -93,6 +97,42 @@ def post_earnings(transactions: DataFrame, members: DataFrame, programs: DataFra
                            F.col("external_transaction_id").alias("transaction_external_id"))).alias("metadata")))
 
 
+def post_rule_earnings(earned: DataFrame) -> DataFrame:
+    """A posted credit for every charge that earned points by a rule, with the rule that gave them.
+
+    ``earned`` comes from ``rules.earnings``. A credit lapses after the months of its program.
+    """
+    midnight = at_midnight("posting_date")
+    expiry = midnight + F.make_ym_interval(F.lit(0), F.col("points_expiry_months"))
+    rows = earned.where(F.col("points_earned") > 0).select(
+        "chain_group_id", "program_id", "member_id", F.col("points_earned").alias("points_delta"),
+        F.col("transaction_id").alias("source_transaction_id"), F.col("booking_id").alias("source_booking_id"), "rule_id",
+        "applied_percent", "applied_multiplier", F.col("current_tier_id").alias("applied_tier_id"),
+        later(midnight, hours=23).alias("occurred_at"), later(midnight, hours=23).alias("effective_at"), expiry.alias("expires_at"),
+        F.to_json(F.struct(F.lit("rule").alias("source"), "payment", F.col("points_currency").alias("currency"))).alias("metadata"))
+    return _padded(rows.select("*", F.lit("earn_release").alias("type"), F.lit("posted").alias("status"),
+                               F.lit("Points earned by rule").alias("reason")))
+
+
+def earning_trace(ledger: DataFrame, transactions: DataFrame, bookings: DataFrame, rules: DataFrame) -> DataFrame:
+    """The way of each credit that a rule gave: booking, charge, rule, ledger row.
+
+    ``in_force`` says whether the rule was valid on the day of arrival, ``recomputed`` gives the points that the posted payment,
+    percent and multiplier make; it differs from ``points`` where a ledger row was changed by hand.
+    """
+    credits = ledger.where((F.col("type") == "earn_release") & F.col("rule_id").isNotNull()) \
+        .select("member_id", F.col("source_transaction_id").alias("transaction_id"), F.col("source_booking_id").alias("booking_id"), "rule_id",
+                "applied_percent", "applied_multiplier", F.col("points_delta").alias("points"),
+                F.get_json_object("metadata", "$.payment").cast("decimal(16,2)").alias("payment"))
+    charges = transactions.select(F.col("id").alias("transaction_id"), "posted_amount", "posted_currency")
+    stays = bookings.select(F.col("id").alias("booking_id"), "hotel_id", F.col("channel").alias("booking_channel"), "arrival_date")
+    terms = rules.select(F.col("id").alias("rule_id"), F.col("percent_of_payment").alias("rule_percent"), "priority", "valid_from", "valid_to")
+    rows = credits.join(charges, "transaction_id", "left").join(stays, "booking_id", "left").join(small(terms), "rule_id", "left")
+    in_force = (F.col("arrival_date") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("arrival_date") <= F.col("valid_to")))
+    recomputed = F.floor(F.col("payment") * F.col("applied_percent") * F.col("applied_multiplier") / F.lit(100).cast("decimal(3,0)"))
+    return rows.withColumns({"in_force": in_force, "recomputed": recomputed.cast("bigint")}).drop("valid_from", "valid_to")
+
+
 def post_pending(transactions: DataFrame, bookings: DataFrame, members: DataFrame, tiers: DataFrame) -> DataFrame:
     """A pending credit for every bonus of a stay that is still in house."""
     staying = bookings.where(F.col("status") == "in_house").select(F.col("id").alias("booking_id"))
@@ -168,6 +208,72 @@ def expire_points(ledger: DataFrame, as_of: date | datetime) -> DataFrame:
         (-F.col("lost")).cast("bigint").alias("points_delta"), F.col("at").alias("occurred_at"))
 
 
+def points_consumption(ledger: DataFrame, as_of: date | datetime) -> DataFrame:
+    """Which credit each point spent or lapsed came from: credit_id, debit_id, kind, points.
+
+    Credits stand in the order in which they lapse (those that never do come last), debits (redemptions, and the expiries
+    of ``expire_points``) in the order of time. Both are laid end to end along one line of points, and what a credit and a debit
+    have in common there is what the one gave to the other. ``kind`` is redeem, expire, or open for points of a credit
+    that are left; points spent beyond all credits have no credit. ``debit_id`` is the redemption's id or, for an
+    expiry, the id of the credit that lapsed.
+
+    The places on the line are running sums in two levels, day and member. The line of a member is then cut into stretches
+    that hold about ``STRETCH_ROWS`` rows each, and every stretch is swept alone, so a member with a large part of
+    the ledger spreads over many tasks.
+    """
+    now = moment(as_of)
+    posted = ledger.where((F.col("status") == "posted") & (F.col("type") != "expire") & (F.col("points_delta") != 0))
+    owner = ["member_id", "program_id", "chain_group_id"]
+    # Credits that never lapse follow all others, in the order in which they were given.
+    never = F.make_ym_interval(F.lit(6000), F.lit(0))
+    credits = posted.where((F.col("points_delta") > 0) & (F.col("occurred_at") <= now)) \
+        .select(*owner, F.col("id").alias("item"), F.coalesce("expires_at", F.col("occurred_at") + never).alias("at"), F.lit("credit").alias("side"), F.lit(0).alias("turn"), F.col("points_delta").cast("bigint").alias("points"))
+    spent = posted.where((F.col("points_delta") < 0) & (F.col("occurred_at") <= now)) \
+        .select(*owner, F.col("id").alias("item"), F.col("occurred_at").alias("at"), F.lit("redeem").alias("side"), F.lit(1).alias("turn"),
+                (-F.col("points_delta")).cast("bigint").alias("points"))
+    lapsed = expire_points(ledger, as_of) \
+        .select(*owner, F.col("credit_id").alias("item"), F.col("occurred_at").alias("at"), F.lit("expire").alias("side"), F.lit(0).alias("turn"),
+                (-F.col("points_delta")).alias("points"))
+    rows = credits.unionByName(spent).unionByName(lapsed).withColumn("line", F.when(F.col("side") == "credit", "credit").otherwise("debit"))
+    placed = materialize(_end_to_end(rows, [*owner, "line"], ["at", "turn", "item"]), "point-line")
+
+    # Stretches of equal length per member, as many as its rows ask for; a row that crosses borders is cut at them.
+    extent = placed.groupBy(*owner).agg(F.max("stop").alias("_end"), F.count("*").alias("_n"))
+    length = F.greatest(F.lit(1), F.ceil(F.col("_end") / F.ceil(F.col("_n") / F.lit(STRETCH_ROWS)))).cast("bigint")
+    cut = placed.join(extent.select(*owner, length.alias("_length")), owner)
+    first, last = F.expr("start div _length"), F.expr("(stop - 1) div _length")
+    pieces = cut.withColumn("stretch", F.explode(F.sequence(first, last))).select(
+        *owner, "stretch", "line", "side", "item", F.greatest("start", F.col("stretch") * F.col("_length")).alias("start"),
+        F.least("stop", (F.col("stretch") + 1) * F.col("_length")).alias("stop"))
+    # Both lines are without gaps from 0 on, so within a stretch a row holds until the next one of its line starts.
+    ends = pieces.groupBy(*owner, "stretch", "line").agg(F.max("stop").alias("start")) \
+        .select(*owner, "stretch", "line", F.lit(None).cast("string").alias("side"), F.lit(None).cast(dict(ledger.dtypes)["id"]).alias("item"), "start")
+    marks = pieces.drop("stop").unionByName(ends)
+    sweep = Window.partitionBy(*owner, "stretch").orderBy("start", F.col("item").isNotNull())
+    so_far = sweep.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+    def current(line: str) -> Column:
+        return F.last(F.when(F.col("line") == line, F.struct("side", "item")), ignorenulls=True).over(so_far)
+
+    swept = marks.withColumns({"credit": current("credit"), "debit": current("debit"), "points": F.lead("start").over(sweep) - F.col("start")})
+    kind = F.coalesce("debit.side", F.lit("open"))
+    return swept.where((F.col("points") > 0) & (F.col("credit.item").isNotNull() | F.col("debit.item").isNotNull())) \
+        .groupBy(*owner, F.col("credit.item").alias("credit_id"), F.col("debit.item").alias("debit_id"), kind.alias("kind")) \
+        .agg(F.sum("points").cast("bigint").alias("points"))
+
+
+def _end_to_end(rows: DataFrame, line: list[str], order: list[str]) -> DataFrame:
+    """``rows`` with the place [start, stop) that ``points`` takes on its line, in two levels: within a day, and over the days."""
+    dated = rows.withColumn("_day", F.col(order[0]).cast("date"))
+    in_day = Window.partitionBy(*line, "_day").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy(*line).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    days = dated.groupBy(*line, "_day").agg(F.sum("points").alias("_total")) \
+        .withColumn("_before", F.coalesce(F.sum("_total").over(before), F.lit(0))).drop("_total")
+    placed = dated.withColumn("_in_day", F.sum("points").over(in_day)).join(days, [*line, "_day"])
+    stop = (F.col("_before") + F.col("_in_day")).cast("bigint")
+    return placed.select(*rows.columns, (stop - F.col("points")).alias("start"), stop.alias("stop"))
+
+
 def reconcile_bonus(ledger: DataFrame, transactions: DataFrame) -> DataFrame:
     """Transactions whose posted credits differ from the bonus stored on them."""
     credits = ledger.where((F.col("type") == "earn_release") & (F.col("status") == "posted")

@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from stayledger.functions.fx import RateBook
 from stayledger.functions.scalars import day, hash_number, hash_share
 from stayledger.functions.sizing import is_small, small
+from stayledger.operators.rule_index import rule_by_index
+
+#: Up to so many active rules a booking tries them one by one.
+LIST_RULES = 64
 
 # Bonus percent by tier and channel. Every other pair earns nothing.
 BONUS_PERCENT = [
@@ -73,51 +77,27 @@ def _rule_by_lists(bookings: DataFrame, live: DataFrame, on_date: str) -> DataFr
                                                _first_match(F.col("_program_rules"), on)))
 
 
-def _rule_by_lookup(bookings: DataFrame, live: DataFrame, on_date: str, key: str) -> DataFrame:
-    """Many rules: each booking asks for every combination of its value or "any" by an equi-join.
-
-    At most sixteen lookups per booking with spread-out keys, and the best answer by a
-    partial aggregate, whatever the number of rules in a program.
-    """
-    fields = ["hotel_id", *_FIELDS]
-    any_value = F.lit(None).cast("string")
-
-    def text(c: str) -> Column:
-        return F.col(c).cast("string")
-
-    choices = [F.array_distinct(F.array(text(f), any_value)) for f in fields]
-    asked = bookings.select(key, "program_id", F.col(on_date).alias("_on"), *[c.alias(f"_{f}s") for f, c in zip(fields, choices)])
-    for f in fields:
-        asked = asked.withColumn(f"_{f}", F.explode(f"_{f}s")).drop(f"_{f}s")
-    coded = [F.coalesce(F.concat(F.lit("="), F.col(f"_{f}")), F.lit("any")).alias(f"_{f}") for f in fields]
-    offered = live.select(F.col("program_id"), _rule_entry().alias("_rule"),
-                          *[F.coalesce(F.concat(F.lit("="), text(f)), F.lit("any")).alias(f"_{f}") for f in fields])
-    met = asked.select(key, "program_id", "_on", *coded).join(offered, ["program_id", *[f"_{f}" for f in fields]]) \
-        .where(in_force(F.col("_on"), F.col("_rule.valid_from"), F.col("_rule.valid_to")))
-    return bookings.join(met.groupBy(key).agg(F.min("_rule").alias("_rule")), key, "left")
-
-
-def resolve_points_rule(bookings: DataFrame, rules: DataFrame, on_date: str = "arrival_date", key: str = "id") -> DataFrame:
+def resolve_points_rule(bookings: DataFrame, rules: DataFrame, on_date: str = "arrival_date", indexed: bool | None = None) -> DataFrame:
     """Add the one earning rule that applies to each booking; NULLs where none does.
 
     A NULL field of a rule matches anything, a filled one must agree. The most specific
     rule wins (hotel and segment, hotel, segment, default), then the higher priority, then
     the lower id. ``bookings`` needs program_id, hotel_id, channel, market_segment_code,
-    rate_group_code and ``on_date``, and a unique ``key``. The rules are counted first: up
-    to the limit they are sorted into arrays and bookings are not shuffled at all, beyond
-    it they are looked up by an equi-join.
+    rate_group_code and ``on_date``. A handful of rules is sorted into arrays that a booking goes through; more are
+    indexed, and a booking then looks up its combination of values (``rule_index``). ``indexed`` decides between the two by hand.
     """
     live = rules.where(F.col("is_active"))
-    rows = _rule_by_lists(bookings, live, on_date) if is_small(live) else _rule_by_lookup(bookings, live, on_date, key)
+    few = is_small(live) and is_small(live, LIST_RULES) if indexed is None else not indexed
+    rows = _rule_by_lists(bookings, live, on_date) if few else rule_by_index(bookings, live, on_date)
     return rows.select(
         *bookings.columns, F.col("_rule.id").alias("rule_id"),
         F.col("_rule.percent_of_payment").alias("percent_of_payment"),
         F.map_from_entries("_rule.overrides").alias("tier_multiplier_override"))
 
 
-def earn_points(transactions: DataFrame, bookings: DataFrame, members: DataFrame, tiers: DataFrame,
-                programs: DataFrame, rules: DataFrame, fx: RateBook) -> DataFrame:
-    """Points per member transaction by the rule engine.
+def earnings(transactions: DataFrame, bookings: DataFrame, members: DataFrame, tiers: DataFrame,
+             programs: DataFrame, rules: DataFrame, fx: RateBook, indexed: bool | None = None) -> DataFrame:
+    """Member charges with the rule that applies, its multiplier, the payment in points currency and the points earned.
 
     ``floor(payment in points currency * percent / 100 * multiplier)``; the multiplier is
     the rule's value for the member's tier, else the tier's default, else one.
@@ -125,25 +105,30 @@ def earn_points(transactions: DataFrame, bookings: DataFrame, members: DataFrame
     """
     paid = transactions.where(F.col("member_id").isNotNull() & (F.col("status") == "posted")
                               & (F.col("transaction_type") == "charge")) \
-        .select(F.col("id").alias("transaction_id"), "booking_id", "member_id", "posting_date", "posted_amount",
-                "posted_currency")
+        .withColumn("transaction_id", F.col("id")).drop("id", "hotel_id", "status", "transaction_type")
     stays = bookings.select(F.col("id").alias("booking_id"), "hotel_id", "arrival_date", "channel",
                             "market_segment_code", "rate_group_code")
     levels = tiers.select(F.col("id").alias("current_tier_id"), F.col("code").alias("tier_code"), "multiplier_default")
+    terms = [c for c in ("points_expiry_months",) if c in programs.columns]
     people = members.select(F.col("id").alias("member_id"), "program_id", "current_tier_id") \
         .join(small(levels), "current_tier_id", "left") \
-        .join(small(programs.select(F.col("id").alias("program_id"), "points_currency")), "program_id")
+        .join(small(programs.select(F.col("id").alias("program_id"), "points_currency", *terms)), "program_id")
     rows = paid.join(stays, "booking_id").join(people, "member_id")
-    ruled = fx.convert(resolve_points_rule(rows, rules, key="transaction_id"), "posted_amount", "posted_currency", "points_currency",
+    ruled = fx.convert(resolve_points_rule(rows, rules, indexed=indexed), "posted_amount", "posted_currency", "points_currency",
                        "posting_date", "payment")
     override = F.try_element_at(F.col("tier_multiplier_override"), F.col("tier_code"))
     multiplier = F.coalesce(override, F.col("multiplier_default"), F.lit(1)).cast("decimal(8,4)")
     points = F.floor(F.col("payment").cast("decimal(16,2)") * F.col("percent_of_payment") * multiplier
                      / F.lit(100).cast("decimal(3,0)"))
-    return ruled.withColumn("applied_multiplier", multiplier).select(
-        "transaction_id", "booking_id", "member_id", "rule_id", "tier_code",
-        F.col("percent_of_payment").alias("applied_percent"), "applied_multiplier", "payment",
-        F.coalesce(points, F.lit(0)).cast("bigint").alias("points_earned"))
+    return ruled.withColumns({"applied_multiplier": multiplier, "points_earned": F.coalesce(points, F.lit(0)).cast("bigint")}) \
+        .withColumnRenamed("percent_of_payment", "applied_percent")
+
+
+def earn_points(transactions: DataFrame, bookings: DataFrame, members: DataFrame, tiers: DataFrame,
+                programs: DataFrame, rules: DataFrame, fx: RateBook) -> DataFrame:
+    """Points per member transaction by the rule engine; ``ledger.post_rule_earnings`` posts them."""
+    return earnings(transactions, bookings, members, tiers, programs, rules, fx).select(
+        "transaction_id", "booking_id", "member_id", "rule_id", "tier_code", "applied_percent", "applied_multiplier", "payment", "points_earned")
 
 
 def bonus_table(spark) -> DataFrame:

@@ -66,7 +66,7 @@ TABLES: dict[str, str] = {
                          "amount:decimal(14,2) currency bonus_factor:decimal(8,4)",
     "point_transactions": "id chain_group_id program_id member_id type status points_delta source_transaction_id? "
                           "source_booking_id? reward_redemption_id? applied_percent? applied_multiplier:decimal(5,2)? "
-                          "applied_tier_id? occurred_at effective_at? expires_at? reason?",
+                          "applied_tier_id? occurred_at effective_at? expires_at? reason? rule_id?",
     "point_redemptions": "id chain_group_id member_id reward_id points_spent redemption_date:timestamp_ntz status",
     "communication_templates": "id chain_group_id code name channel category subject_template? body_template language",
     "communications": "id chain_group_id hotel_id? member_id? channel direction category status to_email? to_phone? "
@@ -219,7 +219,7 @@ _REFERENCES = {
     "program_id": ("loyalty_programs", "id"), "current_tier_id": ("tiers", "id"), "from_tier_id": ("tiers", "id"),
     "to_tier_id": ("tiers", "id"), "min_tier_id": ("tiers", "id"), "applied_tier_id": ("tiers", "id"),
     "recruitment_hotel_id": ("hotels", "id"), "reward_redemption_id": ("point_redemptions", "id"),
-    "source_transaction_id": ("transactions", "id"), "source_booking_id": ("bookings", "id"),
+    "rule_id": ("points_rules", "id"), "source_transaction_id": ("transactions", "id"), "source_booking_id": ("bookings", "id"),
     "attributed_booking_id": ("bookings", "id"), "import_id": ("pms_imports", "id"),
     "pms_code": ("pms_systems", "code"), "default_pms": ("pms_systems", "code"),
     "country_code": ("regions", "code"), "headquarters_country": ("regions", "code"),

@@ -7,11 +7,13 @@ repeats no rows. Nothing passes through the driver.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import DataStreamWriter
 
 from stayledger.functions.scalars import later
 from stayledger.session import fresh_path
+from stayledger.sources import merge
 
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType | None = None, files_per_batch: int = 100) -> DataFrame:
@@ -49,11 +51,12 @@ def dedupe_stream(payloads: DataFrame, spark: SparkSession, out: str | None = No
     return spark.read.parquet(f"{path}/rows")
 
 
-def balance_stream(ledger: DataFrame, spark: SparkSession, out: str | None = None) -> DataFrame:
+def balance_stream(ledger: DataFrame, spark: SparkSession, out: str | None = None, compact_every: int = 10) -> DataFrame:
     """Running posted and pending balances per member; gives the current balance table.
 
-    Each batch writes the balances it changed under its own number. A repeated batch
-    overwrites its own folder, and the newest number per member is the current balance.
+    Totals are kept in the stream's state. Each batch writes the balances it changed under its own number, and a repeated
+    batch overwrites its own folder. Every ``compact_every`` batches, and at the end, these are merged into the table of
+    current balances, one row per member, of which only the files with changed members are rewritten.
     The 30-day expiry column depends on the clock and is left to the batch report.
     """
     path = out or fresh_path(spark, "balances")
@@ -66,18 +69,47 @@ def balance_stream(ledger: DataFrame, spark: SparkSession, out: str | None = Non
         F.max("occurred_at").alias("last_activity_at"))
 
     def save(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{path}/changes/batch={number}")
+        if (number + 1) % compact_every == 0:
+            compact_balances(batch.sparkSession, path)
 
     run_to_end(balances.writeStream.outputMode("update").foreachBatch(save), f"{path}/checkpoint")
+    compact_balances(spark, path)
     return current_balances(spark, path)
 
 
+def _uncompacted(spark: SparkSession, path: str) -> tuple[DataFrame | None, DataFrame]:
+    """The table of current balances, if there is one yet, and the newest change per member of the batches it lacks.
+
+    A row of the table holds the number of the batch it came from; the table has all batches up to the highest of them.
+    """
+    changes = spark.read.parquet(f"{path}/changes")
+    try:
+        current = merge.read(spark, f"{path}/current")
+    except AnalysisException:
+        current = None
+    if current is not None:
+        done = current.agg(F.max("batch")).first()[0]
+        changes = changes.where(F.col("batch") > F.lit(-1 if done is None else done))
+    values = [c for c in changes.columns if c not in ("member_id", "batch")]
+    newest = changes.groupBy("member_id").agg(F.max(F.struct("batch", *values)).alias("n"))
+    return current, newest.select("member_id", *[f"n.{c}" for c in values], "n.batch")
+
+
+def compact_balances(spark: SparkSession, path: str) -> None:
+    """Merge what the batches since the last call changed into the table of current balances."""
+    _, newest = _uncompacted(spark, path)
+    merge.upsert(newest, f"{path}/current", ["member_id"])
+
+
 def current_balances(spark: SparkSession, path: str) -> DataFrame:
-    """The newest balance per member of a table written by ``balance_stream``."""
-    rows = spark.read.parquet(f"{path}/rows")
-    values = [c for c in rows.columns if c not in ("member_id", "batch")]
-    newest = F.max(F.struct("batch", *values)).alias("n")
-    return rows.groupBy("member_id").agg(newest).select("member_id", *[f"n.{c}" for c in values])
+    """The balance per member of a table written by ``balance_stream``: its current rows, but for members changed since the last merge."""
+    current, newest = _uncompacted(spark, path)
+    if current is None:
+        return newest.drop("batch")
+    if newest.isEmpty():
+        return current.drop("batch")
+    return current.join(newest, "member_id", "left_anti").unionByName(newest).drop("batch")
 
 
 def invitation_stream(bookings: DataFrame, members: DataFrame, spark: SparkSession, delay_minutes: int = 5,
