@@ -12,7 +12,7 @@ group are cut into blocks as well.
 
 Ties go to the smaller vec_id. Rows whose vector is null, or holds null or non-finite components, and rows without an id
 take no part. Vectors of different lengths do not meet. Rows that share an id count once, with their best score, and
-never answer a query of that id. Scores are exact up to 2**63; components beyond 2**31 are cut to that.
+never answer a query of that id. Scores are exact for components of any size; one that does not fit 64 bits is an error.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from stayledger.sources.tables import materialize
 K, SCALE, EVERY = 20, 64, 20
 PIVOTS, BLOCK, QUERIES = 64, 256, 64
 LEVELS = 4
-_LIMIT = 2.0 ** 31
+_EXACT = 2.0 ** 53
 
 
 class CoverTree:
@@ -37,7 +37,7 @@ class CoverTree:
 
     def __init__(self, points: np.ndarray, levels: int = LEVELS) -> None:
         squares = (points * points).sum(axis=1)
-        gaps = np.sqrt(np.maximum(squares[:, None] + squares - 2 * points @ points.T, 0))
+        gaps = distances(points, points)
         self.points, self.norms = points, np.sqrt(squares)
         centers = [0]
         nearest, owner = gaps[0].copy(), np.zeros(len(points), np.int64)
@@ -70,42 +70,63 @@ def dual_search(queries: CoverTree, data: CoverTree, worst: np.ndarray) -> tuple
         need = np.full(len(cq), np.inf)
         np.minimum.at(need, of_q, worst)
         bound = queries.points[cq] @ data.points[cx].T + np.outer(queries.norms[cq], rx) + np.outer(rq, data.norms[cx]) + np.outer(rq, rx)
-        near = bound + 1e-9 * np.abs(bound) + 1e-6 >= need[:, None]
+        # Products of large numbers are rounded; the bound is raised by more than that.
+        reach_q, reach_x = queries.norms[cq] + rq, data.norms[cx] + rx
+        near = bound + 1e-9 * np.outer(reach_q, reach_x) + 1e-6 >= need[:, None]
         if not near.all():
             alive &= near[of_q[:, None], of_x]
             if not alive.any():
                 none = np.zeros(0, np.int64)
                 return none, none, none
     scores = inner(queries.points, data.points)
-    q, x = np.nonzero(alive & (scores >= worst[:, None]))
-    return q, x, scores[q, x].astype(np.int64)
+    # As doubles on both sides: rounding keeps the order.
+    q, x = np.nonzero(alive & (scores.astype(np.float64) >= worst[:, None]))
+    return q, x, _longs(scores[q, x])
+
+
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances of all pairs, never too small: where squares are rounded, by the rounding's share of the lengths more."""
+    one, two = (a * a).sum(axis=1), (b * b).sum(axis=1)
+    gaps = np.sqrt(np.maximum(one[:, None] + two - 2 * a @ b.T, 0))
+    largest = max(one.max(initial=0), two.max(initial=0))
+    return gaps if 4 * largest < _EXACT else gaps + 1e-6 * np.sqrt(largest)
 
 
 def inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact inner products: in doubles while they are whole there, else in 64-bit integers."""
-    if a.shape[1] * np.abs(a).max(initial=0) * np.abs(b).max(initial=0) < 2.0 ** 53:
+    """Exact inner products of whole numbers: in doubles while they are whole there, then in 64-bit integers, then in Python's."""
+    most_a, most_b = np.abs(a).max(initial=0), np.abs(b).max(initial=0)
+    if a.shape[1] * most_a * most_b < _EXACT:
         return a @ b.T
-    return a.astype(np.int64) @ b.astype(np.int64).T
+    if max(a.shape[1] * most_a * most_b, most_a, most_b) < 2.0 ** 62:
+        return a.astype(np.int64) @ b.astype(np.int64).T
+    whole_a, whole_b = (np.array([[int(v) for v in row] for row in x], object).reshape(x.shape) for x in (a, b))
+    return whole_a @ whole_b.T
+
+
+def _longs(scores: np.ndarray) -> np.ndarray:
+    if scores.dtype == object and any(abs(s) >= 1 << 63 for s in scores):
+        raise OverflowError("an inner product does not fit 64 bits")
+    return scores.astype(np.int64)
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.int32).reshape(len(column), -1).astype(np.float64)
+    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(len(column), -1)
 
 
 def whole_vectors(embeddings: DataFrame, scale: int = SCALE) -> DataFrame:
-    """vec_id, dim and the vector as packed 32-bit numbers, of the rows that take part."""
+    """vec_id, dim and the vector as packed doubles that are whole, of the rows that take part."""
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column("embedding")
             sizes = np.asarray(pc.list_value_length(column).fill_null(0), np.int64)
             flat = column.flatten()
             values = np.asarray(flat.cast(pa.float64()).fill_null(np.nan))
-            values = np.clip(np.floor(scale * values), -_LIMIT, _LIMIT - 1)
+            values = np.floor(scale * values)
             bad = np.append(np.cumsum(~np.isfinite(np.asarray(flat.cast(pa.float64()).fill_null(np.nan)))), 0)
             ends = np.cumsum(sizes)
             wrong = bad[ends - 1] - np.where(ends > sizes, bad[ends - sizes - 1], 0) if len(flat) else np.zeros(len(sizes))
             keep = np.flatnonzero((sizes > 0) & (wrong == 0) & np.asarray(batch.column("vec_id").is_valid()))
-            whole = np.nan_to_num(values).astype(np.int32)
+            whole = values + 0.0
             packed = [whole[e - s:e].tobytes() for s, e in zip(sizes[keep].tolist(), ends[keep].tolist())]
             yield pa.record_batch({"vec_id": batch.column("vec_id").take(pa.array(keep)),
                                    "dim": pa.array(sizes[keep]), "vector": pa.array(packed, pa.binary())})
@@ -147,7 +168,7 @@ def top_k(embeddings: DataFrame, k: int = K, every: int = EVERY, scale: int = SC
     sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id", "vector").limit(pivots).collect()
     centers: dict[int, np.ndarray] = {}
     for row in sample:
-        centers.setdefault(row.dim, []).append(np.frombuffer(row.vector, np.int32).astype(np.float64))
+        centers.setdefault(row.dim, []).append(np.frombuffer(row.vector, np.float64))
     centers = {dim: np.array(x) for dim, x in centers.items()}
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,9 +180,8 @@ def top_k(embeddings: DataFrame, k: int = K, every: int = EVERY, scale: int = SC
                 points = _vectors(batch.column("vector").take(pa.array(rows)))
                 # A length that no pivot has is a group of its own around the origin.
                 c = centers.get(dim, np.zeros((1, dim)))
-                gaps = (points * points).sum(axis=1)[:, None] + (c * c).sum(axis=1) - 2 * points @ c.T
-                group[rows] = gaps.argmin(axis=1)
-                gap[rows] = np.sqrt(np.maximum(gaps.min(axis=1), 0))
+                gaps = distances(points, c)
+                group[rows], gap[rows] = gaps.argmin(axis=1), gaps.min(axis=1)
             yield pa.record_batch([*batch.columns, pa.array(group), pa.array(gap)], [*batch.schema.names, "group", "gap"])
 
     assigned = materialize(vectors.mapInArrow(assign, "vec_id long, dim long, vector binary, group long, gap double"), "topk-groups")
@@ -205,7 +225,8 @@ def top_k(embeddings: DataFrame, k: int = K, every: int = EVERY, scale: int = SC
             targets = []
             for g in range(len(c)):
                 radius, count = blocks.get((dim, g), (0.0, 0))
-                if count and (points @ c[g] + norms * radius * (1 + 1e-9) + 1e-6 >= worst).any():
+                bound = points @ c[g] + norms * radius + 1e-9 * norms * (np.sqrt(c[g] @ c[g]) + radius) + 1e-6
+                if count and (bound >= worst).any():
                     targets += [(g, s) for s in range(count)]
             payload = _packed(rows.column("ids")), _packed(rows.column("vectors")), worst.tobytes()
             for start in range(0, len(targets), 256):
@@ -224,13 +245,13 @@ def top_k(embeddings: DataFrame, k: int = K, every: int = EVERY, scale: int = SC
                 raw = batch.column("vectors")[i].as_py()
                 if batch.column("kind")[i].as_py() == 0:
                     place, data_ids = here, ids
-                    tree = CoverTree(np.frombuffer(raw, np.int32).reshape(len(ids), -1).astype(np.float64))
+                    tree = CoverTree(np.frombuffer(raw, np.float64).reshape(len(ids), -1))
                     continue
                 assert here == place, "a data block comes before its queries"
                 if (asked := known.get(batch.column("ids")[i].as_py())) is None:
                     if len(known) > 500:
                         known.clear()
-                    asked = known[batch.column("ids")[i].as_py()] = CoverTree(np.frombuffer(raw, np.int32).reshape(len(ids), -1).astype(np.float64))
+                    asked = known[batch.column("ids")[i].as_py()] = CoverTree(np.frombuffer(raw, np.float64).reshape(len(ids), -1))
                 q, x, score = dual_search(asked, tree, np.frombuffer(batch.column("worst")[i].as_py(), np.float64))
                 other = ids[q] != data_ids[x]
                 q, x, score = q[other], x[other], score[other]

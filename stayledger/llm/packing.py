@@ -6,10 +6,12 @@ place in the stream, and pass 2 cuts every document at the borders it crosses. A
 of its cut: sequence, offset there, and its place in its document. No sequence has padding but the last, and that
 none where its fill is a power of two.
 
-Ids are those of a tokenizers file, special tokens read as ordinary text.
+Ids are those of a tokenizers file as its library gives them: an added token in the text is that token.
 
 A null text counts as empty; every document, empty ones too, ends in ``END_ID`` and so has a piece. Rows that
-repeat, or that lack an id, are packed like any other.
+repeat, or that lack an id, are packed like any other, and so are those of a file that is read twice. Texts may be of any length;
+one is held by its task as a whole. Columns other than doc_id and text are not read, so their names do not matter. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import tiktoken
+from pyspark import TaskContext
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window, functions as F
 from tokenizers import Tokenizer
@@ -49,7 +52,7 @@ class Encoder:
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
         self.ranked = _ranked(path)
@@ -63,7 +66,9 @@ class Encoder:
 
     def ids(self, texts: list[str]) -> list[bytes]:
         if self.ranked is not None:
-            found = map(self.ranked.encode_ordinary, texts)
+            # The few texts with an added token in them are left to the library.
+            found = (self.tokenizer.encode(x, add_special_tokens=False).ids if any(a in x for a in self.added) else self.ranked.encode_ordinary(x)
+                     for x in texts)
         else:
             found = (e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))
         return [np.array(x, self.kind).tobytes() for x in found]
@@ -113,20 +118,23 @@ def pieces(docs: DataFrame, length: int = LENGTH, tokenizer: str | None = None,
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(path)
         end = np.array([end_id], encoder.kind).tobytes()
-        run, before, last = None, 0, None
+        # A run is known by its task and its number there: a file that is read twice has the same rows in several.
+        task, run, first, before, last = TaskContext.get().partitionId(), -1, 0, 0, None
         for batch in batches:
             for part in slices(batch, "text"):
                 ids = [x + end for x in encoder.ids(part.column("text").fill_null("").to_pylist())]
-                runs, starts = [], []
+                runs, firsts, starts = [], [], []
                 for file, at, x in zip(part.column("_file").to_pylist(), part.column("_at").to_pylist(), ids):
                     if last is None or file != last[0] or not 0 < at - last[1] <= GAP:
-                        run, before = at, 0
+                        run, first, before = run + 1, at, 0
                     last = file, at
                     runs.append(run)
+                    firsts.append(first)
                     starts.append(before)
                     before += len(x) // encoder.width
                 yield pa.record_batch({
-                    "doc_id": part.column("doc_id"), "file": part.column("_file"), "run": pa.array(runs, pa.int64()),
+                    "doc_id": part.column("doc_id"), "file": part.column("_file"), "first": pa.array(firsts, pa.int64()),
+                    "task": pa.array([task] * len(runs), pa.int64()), "run": pa.array(runs, pa.int64()),
                     "before": pa.array(starts, pa.int64()), "n": pa.array([len(x) // encoder.width for x in ids], pa.int64()),
                     "ids": pa.array(ids, pa.binary())})
 
@@ -152,16 +160,16 @@ def pieces(docs: DataFrame, length: int = LENGTH, tokenizer: str | None = None,
                 yield pa.record_batch(out)
 
     rows = _stored(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "_file", "_at")
-    encoded = rows.mapInArrow(encode, "doc_id long, file string, run long, before long, n long, ids binary")
+    encoded = rows.mapInArrow(encode, "doc_id long, file string, first long, task long, run long, before long, n long, ids binary")
     place = fresh_path(docs.sparkSession, "packing-ids")
     encoded.write.option("compression", "zstd").parquet(place)
     ids = docs.sparkSession.read.schema(encoded.schema).parquet(place)
-    totals = ids.groupBy("file", "run").agg(F.sum("n").alias("total"))
+    totals = ids.groupBy("task", "run").agg(F.min("file").alias("file"), F.min("first").alias("first"), F.sum("n").alias("total"))
     # As many rows as tasks and files, not as documents: one task adds them up.
-    order = Window.orderBy("file", "run").rowsBetween(Window.unboundedPreceding, -1)
-    runs = totals.select("file", "run", F.coalesce(F.sum("total").over(order), F.lit(0)).alias("_runs_before"))
+    order = Window.orderBy("file", "first", "task", "run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = totals.select("task", "run", F.coalesce(F.sum("total").over(order), F.lit(0)).alias("_runs_before"))
     all_ids = totals.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
-    placed = ids.join(small(runs), ["file", "run"]).select("doc_id", "n", "ids", (F.col("_runs_before") + F.col("before")).alias("place"))
+    placed = ids.join(small(runs), ["task", "run"]).select("doc_id", "n", "ids", (F.col("_runs_before") + F.col("before")).alias("place"))
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     found = placed.mapInArrow(cut, schema + (", ids array<int>" if with_ids else ""))
     rest = all_ids % length

@@ -62,7 +62,6 @@ ODD = ["a  b", "\n\n x", "  lead", "tail ", "it's 'S", "x\x1c\x1dy", "\u0085 z",
 
 def check_pieces(rows, pieces, length, end_id=0):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for r in pieces:
         by_doc[r.doc_id].append(r)
@@ -115,6 +114,21 @@ def test_packing_edge_rows(spark):
     assert packing.pieces(docs.limit(0)).count() == 0
 
 
+def test_added_tokens(spark):
+    """An added token in a text is one id, as the library gives it."""
+    got = packing.pieces(spark.createDataFrame([(1, "hello <|endoftext|> world")], "doc_id long, text string"), with_ids=True).first()
+    assert got.ids == [31373, 220, 50256, 995, 0]
+
+
+def test_a_file_read_twice(spark, tmp_path):
+    path = str(tmp_path / "d")
+    spark.createDataFrame([(i, f"word {i}") for i in range(40)], "doc_id long, text string").coalesce(1).write.parquet(path)
+    pieces = packing.pieces(spark.read.parquet(path, path), 16).collect()
+    places = [(r.sequence_id, r.offset + k) for r in pieces for k in range(r.length)]
+    assert len(places) == len(set(places)) and len({r.doc_id for r in pieces}) == 40
+    assert sum(r.length for r in pieces) == 2 * sum(r.length for r in packing.pieces(spark.read.parquet(path), 16).collect())
+
+
 def test_other_vocabulary(spark):
     """A file that is no byte-level BPE goes through its own library."""
     path = public_tokenizers.path("word_bpe_49k.json")

@@ -45,6 +45,23 @@ def test_top_k(spark, pivots, block):
     assert cover_tree.top_k(docs.limit(0)).count() == 0
 
 
+def test_top_k_of_large_numbers(spark):
+    """Components of any size count in full; a score beyond 64 bits is an error."""
+    rnd = random.Random(8)
+    rows = [(20, [1.0, 0.0]), (1, [1e8, 0.0]), (2, [1e8 + 1, 0.0]), (3, [1e15, 1.0]), (4, [-1e15, 3.0]), (40, [3.0, -2.0])]
+    rows += [(1001 + 20 * i, [rnd.choice([1, 1e3, 1e7, 1e9, 1e12]) * rnd.uniform(-1, 1) for _ in range(2)]) for i in range(80)]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = {i: [math.floor(64 * x) for x in v] for i, v in rows}
+    want = []
+    for q in sorted(i for i in whole if i % 20 == 0):
+        scores = sorted(((-sum(a * b for a, b in zip(whole[q], whole[i])), i) for i in whole if i != q))[:4]
+        want += [(q, r, i, -s) for r, (s, i) in enumerate(scores, 1)]
+    got = sorted(tuple(r) for r in cover_tree.top_k(docs, k=4, pivots=4, block=16).collect())
+    assert got == want and (20, 1, 3, 4096 * 10**15) in got
+    with pytest.raises(Exception, match="64 bits"):
+        cover_tree.top_k(spark.createDataFrame([(20, [1e10, 1.0]), (1, [1e9, 1.0])], "vec_id long, embedding array<double>")).collect()
+
+
 def test_dual_search_prunes_nothing_needed():
     rnd = np.random.default_rng(1)
     for _ in range(30):
