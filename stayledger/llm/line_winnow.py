@@ -6,7 +6,9 @@ part and stay where they are. The fingerprint of a window of lines is the least
 equal runs are sure to share one. Positions are joined by fingerprint, and each match is extended
 line by line to the right and to the left; windows that match side by side form the run.
 
-Null texts stay null and empty ones empty; a text with fewer lines than a window stays as it is.
+Null texts stay null and empty ones empty; a text with fewer lines than a window stays as it is. A text of any length is
+cut by its task as a whole. Equal rows share a verdict, and a null id comes first.
+All columns are kept, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -57,7 +59,8 @@ def winnowing_matches(shard: Shard) -> np.ndarray:
 def without_repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     """``docs`` with repeated runs deleted from ``text``, and ``_n_lines``, ``_n_removed`` (long) besides.
 
-    ``n_chars``, where there is such a column, follows a text that changed.
+    ``n_chars``, where there is such a column, follows a text that changed. A column of ``docs`` that is itself called
+    ``_n_lines`` or ``_n_removed`` is kept in place of the count.
     """
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -84,4 +87,5 @@ def without_repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataF
             return F.when(F.col("_n_removed") > 0, F.length("_new").cast(docs.schema[c].dataType)).otherwise(F.col("_row.n_chars")).alias(c)
         return F.col(f"_row.`{c}`").alias(c)
 
-    return built.select(*[column(c) for c in docs.columns], "_n_lines", "_n_removed")
+    counts = [c for c in ("_n_lines", "_n_removed") if c not in docs.columns]
+    return built.select(*[column(c) for c in docs.columns], *counts)

@@ -111,6 +111,16 @@ def test_edge_rows(spark):
     assert line_winnow.without_repeated_lines(empty).count() == 0
 
 
+def test_line_dedup_with_columns_of_its_own_names(spark):
+    """Columns called like the counts are kept as they are; a very long text is cut like any other."""
+    run = "one\ntwo\nthree"
+    filler = "\n".join(f"line {i}" for i in range(60_000))
+    docs = spark.createDataFrame([(1, run, "x", 7), (2, f"{filler}\n{run}", "y", 8), (3, None, None, None)], "doc_id long, text string, _n_lines string, _n_removed int")
+    got = line_winnow.without_repeated_lines(docs)
+    assert got.columns == docs.columns
+    assert {tuple(r) for r in got.collect()} == {(1, run, "x", 7), (2, filler, "y", 8), (3, None, None, None)}
+
+
 def test_very_long_text(spark):
     """A text beyond a slice and a shard, with a passage of another text in its middle."""
     rnd = random.Random(0)

@@ -48,7 +48,7 @@ def test_top_k(spark, pivots, block):
 def test_top_k_of_large_numbers(spark):
     """Components of any size count in full; a score beyond 64 bits is an error."""
     rnd = random.Random(8)
-    rows = [(20, [1.0, 0.0]), (1, [1e8, 0.0]), (2, [1e8 + 1, 0.0]), (3, [1e15, 1.0]), (4, [-1e15, 3.0]), (40, [3.0, -2.0])]
+    rows = [(20, [1.0, 0.0]), (1, [1e8, 0.0]), (2, [1e8 + 1, 0.0]), (3, [1e15, 1.0]), (4, [-1e15, 3.0]), (40, [1.0, -0.5])]
     rows += [(1001 + 20 * i, [rnd.choice([1, 1e3, 1e7, 1e9, 1e12]) * rnd.uniform(-1, 1) for _ in range(2)]) for i in range(80)]
     docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     whole = {i: [math.floor(64 * x) for x in v] for i, v in rows}
