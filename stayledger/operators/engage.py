@@ -288,13 +288,18 @@ def ota_booking_candidates(bookings: DataFrame, delay_minutes: int = 5, channel:
                 later(F.col("booked_at"), mins=delay_minutes).alias("due_at"))
 
 
+def _same_day(day_of: Column, as_of: date) -> Column:
+    """Whether the calendar day comes round on ``as_of``; 29 February does so on the 28th in common years."""
+    same = (F.month(day_of) == as_of.month) & (F.dayofmonth(day_of) == as_of.day)
+    common_year = as_of.year % 4 != 0 or (as_of.year % 100 == 0 and as_of.year % 400 != 0)
+    if (as_of.month, as_of.day) == (2, 28) and common_year:
+        same = same | ((F.month(day_of) == 2) & (F.dayofmonth(day_of) == 29))
+    return same
+
+
 def birthday_candidates(members: DataFrame, as_of: date) -> DataFrame:
     """Active members whose birthday is ``as_of``; those of 29 February celebrate on the 28th in common years."""
-    birthday = (F.month("birth_date") == as_of.month) & (F.dayofmonth("birth_date") == as_of.day)
-    common_year = as_of.year % 4 != 0 or (as_of.year % 100 == 0 and as_of.year % 400 != 0)
-    if as_of.month == 2 and as_of.day == 28 and common_year:
-        birthday = birthday | ((F.month("birth_date") == 2) & (F.dayofmonth("birth_date") == 29))
-    return members.where((F.col("status") == "active") & birthday).select(F.col("id").alias("member_id"), "birth_date")
+    return members.where((F.col("status") == "active") & _same_day(F.col("birth_date"), as_of)).select(F.col("id").alias("member_id"), "birth_date")
 
 
 def inactive_candidates(members: DataFrame, bookings: DataFrame, as_of: date, days_inactive: int = 270) -> DataFrame:
@@ -336,7 +341,7 @@ def status_candidates(history: DataFrame, to_status: str) -> DataFrame:
 def anniversary_candidates(members: DataFrame, as_of: date) -> DataFrame:
     """Active members who joined on this calendar day in an earlier year."""
     joined = F.col("joined_at").cast("date")
-    same_day = (F.month(joined) == as_of.month) & (F.dayofmonth(joined) == as_of.day) & (F.year(joined) < as_of.year)
+    same_day = _same_day(joined, as_of) & (F.year(joined) < as_of.year)
     return members.where((F.col("status") == "active") & same_day) \
         .select(F.col("id").alias("member_id"), (F.lit(as_of.year) - F.year(joined)).alias("years"))
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from stayledger import schemas
 from stayledger.functions.scalars import col
+from stayledger.sources import tables
 
 
 def check_unique(df: DataFrame, keys: list[str | Column], where: Column | None = None) -> DataFrame:
@@ -93,14 +94,8 @@ def valid_transitions(history: DataFrame, allowed: list[tuple[str | None, str]])
     return history.where(~ok).groupBy("from_status", "to_status").agg(F.count("*").alias("occurrences"))
 
 
-def check_model(table: str, frames: dict[str, DataFrame]) -> DataFrame:
-    """Every rule of the data model for one table, as one row per broken rule with the rows it concerns.
-
-    Required columns, row conditions and allowed values are counted in a single pass;
-    unique keys and references take one aggregation each. A rule on a column that the frame lacks, or a reference
-    whose parent is not among ``frames``, comes as ``not checked: ...`` without a number of rows.
-    """
-    df = frames[table]
+def _row_rules(df: DataFrame, table: str) -> tuple[dict[str, Column], list[str]]:
+    """The rules of the model that a row fulfils or breaks by itself, and those on columns that the frame lacks."""
     present = set(df.columns)
     passes: dict[str, Column] = {}
     skipped: list[str] = []
@@ -116,28 +111,84 @@ def check_model(table: str, frames: dict[str, DataFrame]) -> DataFrame:
             passes[f"values: {column}"] = F.coalesce(F.col(column).isin(allowed), F.lit(True))
         elif t == table:
             skipped.append(f"values: {column}")
-    keys = [(schemas.PRIMARY_KEYS.get(table, ["id"]), None)] + [(k, w) for t, k, w in schemas.UNIQUE_KEYS if t == table]
-    counted = df.agg(*[F.count_if(~ok).alias(f"c{i}") for i, ok in enumerate(passes.values())])
-    for key, _ in keys:
+    return passes, skipped
+
+
+def broken_keys(df: DataFrame, table: str) -> tuple[DataFrame | None, list[str]]:
+    """Rows that share a key of the model which must be unique, per rule; all keys in one aggregation."""
+    present, tests, skipped = set(df.columns), [], []
+    for key, where in [(schemas.PRIMARY_KEYS.get(table, ["id"]), None)] + [(k, w) for t, k, w in schemas.UNIQUE_KEYS if t == table]:
+        rule = f"unique: {', '.join(key)}"
         if not all(k in present or "(" in k for k in key):
-            skipped.append(f"unique: {', '.join(key)}")
-    for column, parent, _ in schemas.references_of(table):
-        if column not in present or parent not in frames:
-            skipped.append(f"reference: {column}")
-    pairs = [F.struct(F.lit(rule).alias("rule"), F.col(f"c{i}").alias("offending_rows")) for i, rule in enumerate(passes)]
-    pairs += [F.struct(F.lit(f"not checked: {rule}").alias("rule"), F.lit(None).cast("bigint").alias("offending_rows")) for rule in skipped]
-    parts = [counted.select(F.inline(F.array(*pairs)))]
-
-    def total(rule: str, found: DataFrame, column: str) -> DataFrame:
-        return found.agg(F.coalesce(F.sum(column), F.lit(0)).alias("offending_rows")) \
-            .select(F.lit(rule).alias("rule"), "offending_rows")
-
-    for key, where in keys:
-        if all(k in present or "(" in k for k in key):
-            found = check_unique(df, [F.expr(k) for k in key], None if where is None else F.expr(where))
-            parts.append(total(f"unique: {', '.join(key)}", found, "copies"))
-    for column, parent, parent_key in schemas.references_of(table):
-        if column in present and parent in frames:
-            parts.append(total(f"reference: {column}", check_fk(df, column, frames[parent], parent_key), "references"))
-    return reduce(DataFrame.unionByName, parts).where(F.col("offending_rows").isNull() | (F.col("offending_rows") > 0)) \
+            skipped.append(rule)
+            continue
+        values = [F.expr(k) for k in key]
+        applies = reduce(lambda a, b: a & b, [v.isNotNull() for v in values], F.lit(True) if where is None else F.expr(where))
+        text = F.to_json(F.struct(*[v.alias(f"k{i}") for i, v in enumerate(values)]))
+        tests.append(F.when(applies, F.struct(F.lit(rule).alias("rule"), text.alias("key"))))
+    if not tests:
+        return None, skipped
+    keys = df.select(F.inline(F.array_compact(F.array(*tests))))
+    copies = keys.groupBy("rule", "key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    return copies.groupBy("rule").agg(F.sum("n").alias("offending_rows")), skipped
+
+
+def broken_references(df: DataFrame, table: str, frames: dict[str, DataFrame]) -> tuple[DataFrame | None, list[str]]:
+    """Rows that point to no parent, per reference of the model; all references in one aggregation and one join."""
+    tests, skipped, parents = [], [], {}
+    for column, parent, key in schemas.references_of(table):
+        rule = f"reference: {column}"
+        if column not in df.columns or parent not in frames:
+            skipped.append(rule)
+            continue
+        target = F.struct(F.lit(rule).alias("rule"), F.lit(f"{parent}.{key}").alias("parent"), F.col(column).cast("string").alias("key"))
+        tests.append(F.when(F.col(column).isNotNull(), target))
+        parents[f"{parent}.{key}"] = frames[parent].select(F.lit(f"{parent}.{key}").alias("parent"), F.col(key).cast("string").alias("key"))
+    if not tests:
+        return None, skipped
+    used = df.select(F.inline(F.array_compact(F.array(*tests)))).groupBy("rule", "parent", "key").agg(F.count("*").alias("n"))
+    known = reduce(DataFrame.unionByName, parents.values())
+    return used.join(known, ["parent", "key"], "left_anti").groupBy("rule").agg(F.sum("n").alias("offending_rows")), skipped
+
+
+def _report(table: str, rows: DataFrame, parts: list[DataFrame | None]) -> DataFrame:
+    found = reduce(DataFrame.unionByName, [p for p in parts if p is not None], rows)
+    return found.where(F.col("offending_rows").isNull() | (F.col("offending_rows") > 0)) \
         .select(F.lit(table).alias("table_name"), "rule", F.col("offending_rows").cast("bigint"))
+
+
+def check_model(table: str, frames: dict[str, DataFrame]) -> DataFrame:
+    """Every rule of the data model for one table, as one row per broken rule with the rows it concerns.
+
+    Required columns, row conditions and allowed values are counted in a single pass; all unique keys take one aggregation
+    and all references one more, however many there are. A rule on a column that the frame lacks, or a reference
+    whose parent is not among ``frames``, comes as ``not checked: ...`` without a number of rows.
+    """
+    df = frames[table]
+    passes, skipped = _row_rules(df, table)
+    keys, without_keys = broken_keys(df, table)
+    references, without_parents = broken_references(df, table, frames)
+    counted = df.agg(*[F.count_if(~ok).alias(f"c{i}") for i, ok in enumerate(passes.values())])
+    pairs = [F.struct(F.lit(rule).alias("rule"), F.col(f"c{i}").alias("offending_rows")) for i, rule in enumerate(passes)]
+    pairs += [F.struct(F.lit(f"not checked: {rule}").alias("rule"), F.lit(None).cast("bigint").alias("offending_rows"))
+              for rule in skipped + without_keys + without_parents]
+    return _report(table, counted.select(F.inline(F.array(*pairs))), [keys, references])
+
+
+def write_checked(table: str, frames: dict[str, DataFrame], path: str, business_date: str | None = None) -> DataFrame:
+    """Append a frame to a stored table and report as ``check_model`` does.
+
+    The row rules are counted while the rows are written, so they cost no scan of their own; keys and references are
+    checked on the written rows, new and old, since a new row can repeat an old key.
+    """
+    df, spark = frames[table], frames[table].sparkSession
+    passes, skipped = _row_rules(df, table)
+    seen = Observation()
+    tables.append(df.observe(seen, *[F.count_if(~ok).alias(f"c{i}") for i, ok in enumerate(passes.values())]), path, business_date)
+    counts = seen.get
+    rows = [(rule, counts[f"c{i}"]) for i, rule in enumerate(passes)]
+    written = spark.read.schema(df.schema).parquet(path)
+    keys, without_keys = broken_keys(written, table)
+    references, without_parents = broken_references(written, table, frames)
+    rows += [(f"not checked: {rule}", None) for rule in skipped + without_keys + without_parents]
+    return _report(table, spark.createDataFrame(rows, "rule string, offending_rows bigint"), [keys, references])

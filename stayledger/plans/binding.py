@@ -298,6 +298,25 @@ SELECT t.id, t.chain_group_id, t.code, t.trigger_type FROM (VALUES (0, 0, 'post-
   (1, 1, 'birthday-greeting', 'birthday'), (2, 2, 'inactive-winback', 'inactive_member'), (3, 3, 'unused', 'anniversary'))
   AS t(id, chain_group_id, code, trigger_type)"""
 
+# Segments and flows as stored rows; a flow may be limited to a segment.
+FRAMES["segments"] = """
+SELECT CAST(t.id AS BIGINT) AS id, CAST(t.chain_group_id AS BIGINT) AS chain_group_id, t.code, t.definition, t.code <> 'retired' AS is_active
+FROM (VALUES (1, 0, 'gold-up', '{"type":"and","children":[{"type":"member.tier_sort_order","op":">=","value":3},{"type":"member.status","value":"active"}]}'),
+  (2, 1, 'lost', '{"type":"member_attr","key":"is_churned","op":"=","value":true}'),
+  (3, 2, 'found-by-agency', '{"type":"or","children":[{"type":"member.recruited_via_ota","value":true},{"type":"member.bookings_total","op":">","value":14}]}'),
+  (4, 3, 'birthday', '{"type":"member.birthday_month","value":"current"}'), (5, 4, 'everyone', '{"type":"all"}'),
+  (6, 0, 'nobody', '{"type":"and","children":[{"type":"member.status","value":"active"},{"type":"member.status","value":"archived"}]}'),
+  (7, 1, 'not-active', '{"type":"not","children":[{"type":"member.status","op":"=","value":"active"}]}'),
+  (8, 2, 'near-upgrade', '{"type":"member_attr","key":"tier_progress_pct","op":">=","value":40}'),
+  (9, 3, 'retired', '{"type":"all"}')) AS t(id, chain_group_id, code, definition)"""
+
+FRAMES["flows"] = """
+SELECT t.id, CAST(t.chain_group_id AS BIGINT) AS chain_group_id, t.trigger_type, t.status, t.trigger_config, CAST(t.segment_id AS BIGINT) AS segment_id
+FROM (VALUES (0, 0, 'ota_booking_received', 'active', '{"delay_minutes":7,"filters":{"channel":"ota"}}', 1),
+  (1, 1, 'ota_booking_received', 'active', '{"delay_minutes":7}', NULL), (2, 1, 'inactive_member', 'active', '{"days_inactive":400}', 2),
+  (3, 3, 'birthday', 'active', '{"send_at_local":"09:00"}', 4), (4, 4, 'birthday', 'active', NULL, 5), (5, 2, 'check_out', 'active', '{}', 3),
+  (6, 0, 'birthday', 'paused', NULL, NULL)) AS t(id, chain_group_id, trigger_type, status, trigger_config, segment_id)"""
+
 FRAMES["automation_runs"] = """
 SELECT event_id % 3 AS automation_id, user_id AS member_id, CASE event_type WHEN 'view' THEN 'queued' WHEN 'click' THEN 'running'
   WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'skipped' ELSE 'completed' END AS status FROM {events}"""

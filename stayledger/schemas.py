@@ -71,8 +71,10 @@ TABLES: dict[str, str] = {
     "communication_templates": "id chain_group_id code name channel category subject_template? body_template language",
     "communications": "id chain_group_id hotel_id? member_id? channel direction category status to_email? to_phone? "
                       "queued_at? sent_at? delivered_at? sms_logical_count? sms_real_count? cost_amount:decimal(14,4)?",
-    "segments": "id chain_group_id code name definition is_dynamic",
-    "campaigns": "id chain_group_id code? name channel status start_date? end_date? recipient_count",
+    "segments": "id chain_group_id code name definition is_dynamic description? estimated_size:int? last_computed_at? is_active",
+    "campaigns": "id chain_group_id code? name channel status start_date? end_date? recipient_count segment_id? template_id? "
+                 "scheduled_send_at? delivered_count opened_count clicked_count bounced_count attributed_bookings:int "
+                 "attributed_revenue attributed_revenue_ccy?",
     "campaign_recipients": "id? campaign_id member_id status sent_at? delivered_at? opened_at? clicked_at? bounced_at? "
                            "attributed_booking_id? attributed_revenue? attributed_currency?",
     "automations": "id chain_group_id code name trigger_type trigger_config? status segment_id?",
@@ -192,6 +194,8 @@ DEFAULTS: dict[tuple[str, str], str] = {
     ("point_transactions", "status"): "posted", ("point_redemptions", "status"): "fulfilled",
     ("communication_templates", "language"): "nb", ("communications", "direction"): "outbound",
     ("communications", "status"): "queued", ("segments", "definition"): '{"type":"all"}', ("segments", "is_dynamic"): "true",
+    ("segments", "is_active"): "true",
+    **{("campaigns", c): "0" for c in ("delivered_count", "opened_count", "clicked_count", "bounced_count", "attributed_bookings", "attributed_revenue")},
     ("campaigns", "status"): "draft", ("campaigns", "recipient_count"): "0", ("campaign_recipients", "status"): "queued",
     ("automations", "status"): "draft", ("automation_runs", "status"): "queued", ("admin_users", "is_active"): "true",
     ("pms_imports", "status"): "queued", ("pms_imports", "rows_succeeded"): "0", ("pms_imports", "rows_failed"): "0",
@@ -219,7 +223,7 @@ _REFERENCES = {
     "program_id": ("loyalty_programs", "id"), "current_tier_id": ("tiers", "id"), "from_tier_id": ("tiers", "id"),
     "to_tier_id": ("tiers", "id"), "min_tier_id": ("tiers", "id"), "applied_tier_id": ("tiers", "id"),
     "recruitment_hotel_id": ("hotels", "id"), "reward_redemption_id": ("point_redemptions", "id"),
-    "rule_id": ("points_rules", "id"), "source_transaction_id": ("transactions", "id"), "source_booking_id": ("bookings", "id"),
+    "template_id": ("communication_templates", "id"), "rule_id": ("points_rules", "id"), "source_transaction_id": ("transactions", "id"), "source_booking_id": ("bookings", "id"),
     "attributed_booking_id": ("bookings", "id"), "import_id": ("pms_imports", "id"),
     "pms_code": ("pms_systems", "code"), "default_pms": ("pms_systems", "code"),
     "country_code": ("regions", "code"), "headquarters_country": ("regions", "code"),
