@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stayledger.operators import pms
+from stayledger.operators import payloads, pms
 from stayledger.plans.registry import query
+from stayledger.session import fresh_path
 from stayledger.functions.scalars import excel_serial
 from stayledger.sources.tables import materialize
 
@@ -148,3 +149,43 @@ FROM {bookings}, (VALUES (0), (1), (2)) AS s(step)
 WHERE CASE step WHEN 0 THEN booked_at IS NOT NULL WHEN 1 THEN status <> 'upcoming' ELSE status = 'checked_out' END""")
 def status_history(f):
     return pms.status_history_from_bookings(f.bookings)
+
+
+# --- whole payloads ---------------------------------------------------------------
+
+_LANDED = """landed AS (SELECT id, pms_code, payload FROM {pms_raw_payloads} UNION ALL SELECT 0 - id, pms_code, payload FROM {event_payloads}
+  UNION ALL SELECT id + 1000000000, 'broken', CASE id % 4 WHEN 0 THEN '[1,2]' WHEN 1 THEN '{"a":' WHEN 2 THEN '{"a":null,"b":{"c":[true]}}' ELSE '"text"' END
+    FROM {event_payloads} WHERE id < 40)"""
+
+
+def _landed(f):
+    broken = F.when(F.col("id") % 4 == 0, "[1,2]").when(F.col("id") % 4 == 1, '{"a":').when(F.col("id") % 4 == 2, '{"a":null,"b":{"c":[true]}}').otherwise('"text"')
+    rows = f.pms_raw_payloads.select("id", "pms_code", "payload") \
+        .unionByName(f.event_payloads.select((-F.col("id")).alias("id"), "pms_code", "payload")) \
+        .unionByName(f.event_payloads.where("id < 40").select((F.col("id") + 1000000000).alias("id"), F.lit("broken").alias("pms_code"), broken.alias("payload")))
+    path = fresh_path(f.spark, "landed-payloads")
+    payloads.landed(rows).drop("payload").write.parquet(path)
+    return f.spark.read.parquet(path)
+
+
+@query("payload_fields", f"""WITH {_LANDED},
+docs AS (SELECT id, pms_code, payload, json_valid(payload) AS ok FROM landed),
+typed AS (SELECT id, pms_code, payload, ok, CASE WHEN ok THEN json_type(payload) END AS shape FROM docs),
+fields AS (SELECT id, pms_code, unnest(json_keys(payload)) AS field, payload FROM typed WHERE shape = 'OBJECT'),
+kinds AS (SELECT id, pms_code, field, json_type(payload, '$."' || field || '"') AS t FROM fields
+  UNION ALL SELECT id, pms_code, NULL, coalesce(shape, 'invalid') FROM typed WHERE shape IS DISTINCT FROM 'OBJECT'),
+named AS (SELECT id, pms_code, field, CASE t WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean'
+  WHEN 'NULL' THEN 'null' WHEN 'invalid' THEN 'invalid' ELSE 'number' END AS kind FROM kinds)
+SELECT pms_code, field, kind, coalesce(field IN ({', '.join(repr(x) for x in payloads.KNOWN_FIELDS)}), false) AS known, count(DISTINCT id) AS payloads, min(id) AS first_id
+FROM named GROUP BY ALL""")
+def payload_fields(f):
+    return payloads.payload_fields(_landed(f))
+
+
+@query("shredded_payloads", """
+SELECT id, pms_code, CAST(payload->>'$.transaction_sum' AS DOUBLE) AS transaction_sum, payload->>'$.department_id' AS department_id,
+  payload->>'$.guest_email' AS guest_email FROM {pms_raw_payloads}""")
+def shredded_payloads(f):
+    rows = payloads.shredded(_landed(f).where("pms_code NOT IN ('broken', 'other')"), {
+        "transaction_sum": ("$.transaction_sum", "double"), "department_id": ("$.department_id", "string"), "guest_email": ("$.guest_email", "string")})
+    return rows.drop("document")

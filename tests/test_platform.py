@@ -252,6 +252,43 @@ def test_tier_history_chain(frames):
     assert rows.where("change_reason <> 'initial_assignment' AND to_tier_id <> from_tier_id + 1").count() == 0
 
 
+def array_file(spark, folder, text, block=None):
+    folder.mkdir()
+    (folder / "a.json").write_text(text)
+    if block:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(block))
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        spark.conf.set("spark.sql.files.minPartitionNum", "1")
+    try:
+        rows = feeds.read_json_array(spark, str(folder), "id int, note string", "i", "other", "id").collect()
+    finally:
+        for c in ("maxPartitionBytes", "openCostInBytes", "minPartitionNum"):
+            spark.conf.unset(f"spark.sql.files.{c}")
+    return [r.payload for r in rows if r.raw_row is None], [r.raw_row for r in rows if r.raw_row is not None]
+
+
+@pytest.mark.parametrize("block", [None, 997])
+def test_json_array_over_several_tasks(spark, tmp_path, block):
+    import random
+    pick = random.Random(1)
+    notes = ["{", "}", '"', "\\", "}{", "[],", '\\"}', "a\nb", "", 'x{"y', "é}"]
+    objects = [{"id": i, "note": "".join(pick.choices(notes, k=pick.randrange(5))), "more": {"list": [{"k": pick.choice(notes)}, {}], "deep": {"e": {}}}} for i in range(300)]
+    text = json.dumps(objects, indent=pick.choice([None, 1]), ensure_ascii=False)
+    good, bad = array_file(spark, tmp_path / "x", text, block)
+    assert sorted(map(json.dumps, map(json.loads, good))) == sorted(map(json.dumps, objects)) and bad == []
+
+
+def test_json_array_with_broken_objects(spark, tmp_path):
+    good, bad = array_file(spark, tmp_path / "a", '[{"id": 1}, {"id": , "x": {"y": 2}}, {"id": 3, "note": "a"}]')
+    assert sorted(json.loads(x)["id"] for x in good) == [1, 3] and bad == ['{"id": , "x": {"y": 2}}']
+    good, bad = array_file(spark, tmp_path / "b", '[{"id": 1}}, {"id": 2, "x": {"y": {}}}, {"id": 3}]', 7)
+    assert sorted(json.loads(x)["id"] for x in good) == [1, 2, 3] and bad == ["}"]
+    good, bad = array_file(spark, tmp_path / "c", '[{"id": 1}, {"id": 2, "x": {"y": 2}')
+    assert good == ['{"id": 1}'] and bad == ['{"id": 2, "x": {"y": 2}']
+    assert array_file(spark, tmp_path / "d", "no array") == ([], ["no array"])
+    assert array_file(spark, tmp_path / "e", "[]\n") == ([], []) and array_file(spark, tmp_path / "f", "") == ([], [])
+
+
 def test_streams_resume_without_repeating(spark, tmp_path):
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
     schema = "id int, payload string, ingested_at timestamp_ntz"
