@@ -40,7 +40,7 @@ def check_model_bookings(f):
         "hotel_id": "CASE WHEN id % 41 <> 0 THEN hotel_id END", "departure_date": "CASE WHEN id % 13 = 0 THEN arrival_date - 1 ELSE departure_date END",
         "num_rooms": "CASE WHEN id % 67 = 6 THEN 0 ELSE num_rooms END", "status": "CASE WHEN id % 29 = 0 THEN 'lost' ELSE status END",
         "pms_reservation_no": "CAST(1000000 + id - CASE WHEN id % 16 = 5 THEN 1 ELSE 0 END AS STRING)",
-        "member_id": "CASE WHEN id % 37 = 0 THEN -member_id ELSE member_id END"})
+        "member_id": "CASE WHEN id % 37 = 0 THEN -1 - member_id ELSE member_id END"})
     return quality.check_model("bookings", _frames(f, "bookings", rows))
 
 
@@ -56,7 +56,7 @@ def check_model_transactions(f):
     rows = _spoiled(f.transactions, {
         "posted_amount": "CASE WHEN id % 19 <> 1 THEN posted_amount END", "transaction_type": "CASE WHEN id % 23 = 2 THEN 'gift' ELSE transaction_type END",
         "external_transaction_id": "CASE WHEN id % 47 = 4 THEN 'twice' ELSE external_transaction_id END",
-        "booking_id": "CASE WHEN id % 31 = 3 THEN -booking_id ELSE booking_id END"})
+        "booking_id": "CASE WHEN id % 31 = 3 THEN -1 - booking_id ELSE booking_id END"})
     return quality.write_checked("transactions", _frames(f, "transactions", rows), fresh_path(f.spark, "checked"), "posting_date")
 
 
@@ -64,10 +64,10 @@ def check_model_transactions(f):
     ("not null: status", "SELECT count(*) FROM {event_ledger} WHERE id % 19 = 0"),
     ("values: type", "SELECT count(*) FROM {event_ledger} WHERE id % 17 = 0"),
     ("unique: id", "SELECT coalesce(sum(c), 0) FROM (SELECT count(*) AS c FROM {event_ledger} GROUP BY id - CASE WHEN id % 53 = 1 THEN 1 ELSE 0 END) WHERE c > 1"),
-    ("reference: member_id", "SELECT count(*) FROM {event_ledger} WHERE id % 59 = 0 AND member_id > 0")],
+    ("reference: member_id", "SELECT count(*) FROM {event_ledger} WHERE id % 59 = 0")],
     [f"reference: {c}" for c in ("source_transaction_id", "source_booking_id", "rule_id", "reward_redemption_id", "applied_tier_id")]))
 def check_model_point_transactions(f):
     rows = _spoiled(f.event_ledger, {
         "id": "id - CASE WHEN id % 53 = 1 THEN 1 ELSE 0 END", "type": "CASE WHEN id % 17 = 0 THEN 'gift' ELSE type END",
-        "status": "CASE WHEN id % 19 <> 0 THEN status END", "member_id": "CASE WHEN id % 59 = 0 THEN -member_id ELSE member_id END"})
+        "status": "CASE WHEN id % 19 <> 0 THEN status END", "member_id": "CASE WHEN id % 59 = 0 THEN -1 - member_id ELSE member_id END"})
     return quality.check_model("point_transactions", _frames(f, "point_transactions", rows))
