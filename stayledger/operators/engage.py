@@ -100,7 +100,18 @@ def audience_sample(members: DataFrame, campaigns: DataFrame, k: int = 200) -> D
 
 # --- message queues ---------------------------------------------------------------
 
+# Countries with invitations in the local language, wording around the name, link, hotel and code, and how
+# message ids begin and what is hashed into them.
 SCANDINAVIA = ("NO", "SE", "DK")
+INVITATION_BODY = ("Hi ", "! Activate your profile: ")
+CONFIRMATION_SUBJECT = ("Your reservation at ", " is confirmed")
+CONFIRMATION_BODY = "Confirmation: "
+INVITATION_ID, CONFIRMATION_ID = ("msg-", "inv"), ("em-", "conf")
+
+
+def _message_id(booking: Column, kind: tuple[str, str]) -> Column:
+    start, salt = kind
+    return F.concat(F.lit(start), F.substring(F.md5(F.concat(booking.cast("string"), F.lit(salt))), 1, 12))
 
 
 def consents_unpivot(members: DataFrame, granted: dict[str, Column] | None = None) -> DataFrame:
@@ -170,15 +181,15 @@ def ota_invitation_queue(bookings: DataFrame, members: DataFrame, consents: Data
     booked = bookings.where((F.col("channel") == "ota") & F.col("member_id").isNotNull()) \
         .select(F.col("id").alias("booking_id"), "chain_group_id", "hotel_id", "member_id", "booked_at")
     nordic = F.col("country_code").isin(*SCANDINAVIA)
-    key = F.col("booking_id").cast("string")
-    text = F.concat(F.lit("Hi "), F.col("first_name"), F.lit("! Activate your profile: "), F.lit(link),
-                    F.substring(F.md5(key), 1, 22))
+    greeting, request = map(F.lit, INVITATION_BODY)
+    token = F.substring(F.md5(F.col("booking_id").cast("string")), 1, 22)
+    text = F.concat(greeting, F.col("first_name"), request, F.lit(link), token)
     return booked.join(people, "member_id").select(
         "booking_id", "chain_group_id", "hotel_id", "member_id", F.lit("sms").alias("channel"),
         F.lit("personal_invitation").alias("category"), F.col("phone_e164").alias("to_phone"), text.alias("body"),
         F.when(nordic, "nb").otherwise("en").alias("language"),
         later(F.col("booked_at"), mins=5).alias("queued_at"), later(F.col("booked_at"), mins=6).alias("sent_at"),
-        F.concat(F.lit("msg-"), F.substring(F.md5(F.concat(key, F.lit("inv"))), 1, 12)).alias("external_message_id"),
+        _message_id(F.col("booking_id"), INVITATION_ID).alias("external_message_id"),
         nordic.alias("scandinavia_flag"))
 
 
@@ -191,14 +202,13 @@ def booking_confirmation_queue(bookings: DataFrame, members: DataFrame, hotels:
         .select(F.col("id").alias("booking_id"), "chain_group_id", "hotel_id", "member_id", "booked_at",
                 "pms_confirmation_code")
     houses = small(hotels.select(F.col("id").alias("hotel_id"), F.col("name").alias("hotel_name")))
-    key = F.col("booking_id").cast("string")
+    lead, rest = map(F.lit, CONFIRMATION_SUBJECT)
     return booked.join(houses, "hotel_id").join(people, "member_id").select(
         "booking_id", "chain_group_id", "hotel_id", "member_id", F.lit("email").alias("channel"),
         F.lit("transactional").alias("category"), "to_email",
-        F.concat(F.lit("Your reservation at "), F.col("hotel_name"), F.lit(" is confirmed")).alias("subject"),
-        F.concat(F.lit("Confirmation: "), F.col("pms_confirmation_code")).alias("body"),
+        F.concat(lead, F.col("hotel_name"), rest).alias("subject"), F.concat(F.lit(CONFIRMATION_BODY), F.col("pms_confirmation_code")).alias("body"),
         later(F.col("booked_at"), mins=1).alias("queued_at"), later(F.col("booked_at"), mins=2).alias("delivered_at"),
-        F.concat(F.lit("em-"), F.substring(F.md5(F.concat(key, F.lit("conf"))), 1, 12)).alias("external_message_id"))
+        _message_id(F.col("booking_id"), CONFIRMATION_ID).alias("external_message_id"))
 
 
 # --- attribution and counters -----------------------------------------------------

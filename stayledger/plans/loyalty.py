@@ -77,10 +77,8 @@ def open_hotel_rules(f):
         .select(F.col("id").alias("rule_id"), "hotel_id", "percent_of_payment", "bookings")
 
 
-_BONUS = """
-WITH rate(tier_code, channel, pct) AS (VALUES ('bronze', 'direct', 2.0), ('silver', 'direct', 5.0), ('gold', 'direct', 10.0),
-  ('platinum', 'direct', 15.0), ('black', 'direct', 18.0), ('bronze', 'corporate', 3.0), ('silver', 'corporate', 3.6),
-  ('gold', 'corporate', 4.5), ('platinum', 'corporate', 5.4), ('black', 'corporate', 6.0)),
+_BONUS = f"""
+WITH rate(tier_code, channel, pct) AS (VALUES {", ".join(f"('{t}', '{c}', {p})" for t, c, p in rules.BONUS_PERCENT)}),""" + """
 bonus AS (SELECT b.*, coalesce(CAST(r.pct AS DECIMAL(5,2)), 0) AS pct,
     round(b.paid_amount * coalesce(CAST(r.pct AS DECIMAL(5,2)), 0) * CAST(0.01 AS DECIMAL(3,2)), 2) AS amount
   FROM {bookings} b LEFT JOIN {members} m ON m.id = b.member_id LEFT JOIN {tiers} t ON t.id = m.current_tier_id

@@ -108,15 +108,14 @@ def excel_serial_to_ts(f):
     return rows.select("id", excel_serial(F.get_json_object("payload", "$.booking_start")).alias("starts_at"))
 
 
-@query("segment_from_channel", """
-SELECT id AS booking_id, b.channel, s.code AS market_segment_code, s.label AS market_segment_label, s.source AS source_code,
-  s.business AS business_segment, s.origin, 'Accommodation' AS service_name
-FROM {bookings} b JOIN (VALUES ('ota', 'OTA', 'OTA - Online travel agency', 'Channel Manager', 'Unqualified discount rate', 'ChannelManager'),
-  ('direct', 'WEB', 'WEB - Direct chain web booking', 'Brand.com', 'Rack rate', 'Direct'),
-  ('corporate', 'CGN', 'CGN - Corporate groups on negotiated rates', 'Company direct', 'Negotiated rate', 'Direct'),
-  ('group', 'GRP', 'GRP - Group block reservation', NULL, 'Group rate', 'Direct'),
-  ('walk_in', 'WLK', 'WLK - Walk-in guest', NULL, 'Other', 'Walk-In')) s(channel, code, label, source, business, origin)
-  ON s.channel = b.channel""")
+def _values(rows) -> str:
+    return ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" for v in r) + ")" for r in rows)
+
+
+@query("segment_from_channel", f"""
+SELECT id AS booking_id, channel, code AS market_segment_code, label AS market_segment_label, source AS source_code, business AS business_segment, origin,
+  'Accommodation' AS service_name
+FROM {{bookings}} JOIN (VALUES {_values(pms.CHANNEL_SEGMENTS)}) s(channel, code, label, source, business, origin) USING (channel)""")
 def segment_from_channel(f):
     return pms.segment_from_channel(f.bookings, pms.channel_segments(f.spark))
 
