@@ -270,6 +270,23 @@ SELECT b.id, b.hotel_id AS import_id, b.pms_code, CAST(b.arrival_date AS {ts}) A
   b.no AS reservation_no
 FROM (SELECT *, CAST(id - CASE WHEN id % 16 = 5 THEN 1 ELSE 0 END AS STRING) AS no FROM {bookings}) b"""
 
+# Users of the back office, the hotels they look after, log entries (some without a chain) and rejected feed rows.
+FRAMES["admin_users"] = """
+SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN 'platform_admin' WHEN 1 THEN 'chain_admin' ELSE 'hotel_staff' END AS app_role,
+  CASE WHEN c_custkey % 3 <> 0 THEN CAST(n_regionkey AS BIGINT) END AS chain_group_id, c_custkey % 8 <> 7 AS is_active
+FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey WHERE c_custkey % 10 = 0"""
+
+FRAMES["admin_user_hotel_assignments"] = """
+SELECT u.id * 100 + h.id AS id, u.id AS admin_user_id, h.id AS hotel_id FROM {admin_users} u JOIN {hotels} h ON h.chain_group_id = u.chain_group_id
+WHERE u.app_role = 'hotel_staff'"""
+
+FRAMES["audit_log"] = """
+SELECT event_id AS id, ts AS occurred_at, 'update' AS action, 'bookings' AS table_name, CASE WHEN event_id % 7 <> 0 THEN CAST(n_regionkey AS BIGINT) END AS chain_group_id
+FROM {events} JOIN {customer} ON user_id = c_custkey JOIN {nation} ON c_nationkey = n_nationkey"""
+
+FRAMES["pms_sync_errors"] = """
+SELECT id, import_id, 'DUP_RESV' AS error_code FROM {pms_raw_payloads} WHERE id % 16 = 5"""
+
 FRAMES["event_payloads"] = """
 SELECT event_id AS id, user_id % 25 AS import_id, 'other' AS pms_code, ts AS ingested_at, props AS payload FROM {events}"""
 

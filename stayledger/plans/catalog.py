@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stayledger.plans import audiences, engagement, loyalty, model_checks, platform, reports, stays, upkeep  # noqa: F401  (register their queries)
+from stayledger.plans import audiences, engagement, loyalty, model_checks, platform, reports, scopes, stays, upkeep  # noqa: F401  (register their queries)
 from stayledger.plans.registry import ORACLES, QUERIES, runnable
 
 
