@@ -12,18 +12,28 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from stayledger.operators.search import WEIGHT_SCORES, member_search, member_search_terms, trigrams
+from stayledger.functions.sizing import tasks
+from stayledger.operators.search import FIELD_WEIGHTS, WEIGHT_SCORES, member_search, member_search_terms, trigrams
 from stayledger.sources import merge
+from stayledger.sources.tables import materialize
 
 #: Postings in a file; a search reads about one file per word.
 FILE_ROWS = 500_000
+#: Members whose postings one task forms, some twenty or thirty each, and members that are worth a task while cores are idle.
+TASK_MEMBERS, LEAST_MEMBERS = 30_000, 3_000
 _LAST = "\U0010ffff"
 
 
 # --- words ------------------------------------------------------------------------
 
+def _spread(members: DataFrame) -> DataFrame:
+    """Members dealt out by their number: a file of a few megabytes, which one task reads, holds a million of them."""
+    return members.repartition(tasks(members.sparkSession, members.count(), TASK_MEMBERS, LEAST_MEMBERS), *members.columns)
+
+
 def _postings(members: DataFrame) -> DataFrame:
-    return member_search_terms(members).select("lexeme", "member_id", "chain_group_id", "weight")
+    used = members.select("id", "chain_group_id", *[c for c in FIELD_WEIGHTS if c in members.columns])
+    return member_search_terms(_spread(used)).select("lexeme", "member_id", "chain_group_id", "weight")
 
 
 def build_word_index(members: DataFrame, path: str, file_rows: int = FILE_ROWS) -> None:
@@ -37,9 +47,14 @@ def update_word_index(before: DataFrame, after: DataFrame, path: str, file_rows:
 
 def _replace(old: DataFrame, new: DataFrame, path: str, keys: list[str], file_rows: int) -> merge.Merged:
     """Delete the postings that only ``old`` has, write those that only ``new`` has."""
-    gone = old.join(new.select(*keys), keys, "left_anti").withColumn("_gone", F.lit(True))
-    came = new.exceptAll(old).withColumn("_gone", F.lit(False))
-    return merge.merge(gone.unionByName(came), path, keys, delete=F.col("_gone"), file_rows=file_rows)
+    sides = old.withColumn("_side", F.lit(-1)).unionByName(new.withColumn("_side", F.lit(1)))
+    # Formed once, then dealt out by the number of rows, read twice in a task: postings are far larger in memory than in files.
+    sides = materialize(sides, "postings")
+    dealt = sides.repartition(tasks(sides.sparkSession, 2 * sides.count()), *keys)
+    gone = dealt.groupBy(*keys).agg(F.max("_side").alias("_last")).where("_last < 0").select(*keys, F.lit(True).alias("_gone"))
+    more = dealt.groupBy(*new.columns).agg(F.sum("_side").alias("_more")).where("_more > 0")
+    came = more.select(*new.columns, F.explode(F.array_repeat(F.lit(False), F.col("_more").cast("int"))).alias("_gone"))
+    return merge.merge(gone.unionByName(came, allowMissingColumns=True), path, keys, delete=F.col("_gone"), file_rows=file_rows)
 
 
 def indexed_search(spark: SparkSession, path: str, query: str) -> DataFrame:
@@ -73,7 +88,7 @@ FIELDS = ("email", "full_name")
 def _pieces(members: DataFrame) -> DataFrame:
     """One row per piece of a field: gram, member_id, field, and the number of pieces of that field."""
     fields = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), trigrams(f).alias("grams")) for f in FIELDS]))
-    rows = members.select(F.col("id").alias("member_id"), "chain_group_id", fields.alias("f"))
+    rows = _spread(members.select("id", "chain_group_id", *FIELDS)).select(F.col("id").alias("member_id"), "chain_group_id", fields.alias("f"))
     return rows.select(F.explode("f.grams").alias("gram"), "member_id", "chain_group_id", F.col("f.field").alias("field"), F.size("f.grams").alias("n"))
 
 

@@ -19,6 +19,7 @@ from operator import or_
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from stayledger.functions.sizing import tasks
 from stayledger.sources.tables import materialize
 
 #: Aim for the rows of a file; a merge keeps about this size when it writes files anew.
@@ -57,12 +58,24 @@ def _commit(files: DataFrame, path: str, version: int) -> None:
 def _write(rows: DataFrame, path: str, keys: list[str], file_rows: int) -> DataFrame:
     """Write ``rows`` as new files in ranges of the first key; gives their names, ranges and sizes."""
     spark, folder = rows.sparkSession, f"{path.rstrip('/')}/data/{uuid.uuid4().hex}"
-    rows.repartitionByRange(*keys).sortWithinPartitions(*keys) \
+    # Formed once: they are counted, sampled for the ranges and dealt out.
+    rows = materialize(rows, "merge-rows")
+    rows.repartitionByRange(tasks(spark, rows.count()), *keys).sortWithinPartitions(*keys) \
         .write.option("maxRecordsPerFile", file_rows).parquet(folder)
-    stored = spark.read.schema(rows.schema).parquet(folder)
-    # Only the key column is read, of which the file's own statistics give the ends.
-    return stored.groupBy(F.col("_metadata.file_path").alias("file")).agg(
-        F.min(keys[0]).alias("low"), F.max(keys[0]).alias("high"), F.count("*").alias("rows"))
+    return _described(spark.read.schema(rows.schema).parquet(folder), keys[0])
+
+
+def _described(stored: DataFrame, key: str) -> DataFrame:
+    """The files of ``stored``, each sorted by ``key``: file, low, high, rows.
+
+    Nulls come first in a file, so its ends are the row after them and the last one. Only those are compared: the least and
+    greatest of a text column over all rows would sort every row by its file.
+    """
+    file, at = F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("_at")
+    sizes = stored.groupBy(file).agg(F.count("*").alias("rows"), F.count(key).alias("_filled"))
+    ends = stored.select(file, at, F.col(key).alias("_key")).join(F.broadcast(sizes), "file") \
+        .where((F.col("_at") == F.col("rows") - F.col("_filled")) | (F.col("_at") == F.col("rows") - 1))
+    return ends.groupBy("file").agg(F.min("_key").alias("low"), F.max("_key").alias("high"), F.max("rows").alias("rows"))
 
 
 def create(rows: DataFrame, path: str, keys: list[str], file_rows: int = FILE_ROWS) -> None:
@@ -103,12 +116,12 @@ def _touched(manifest: DataFrame, keys: DataFrame) -> DataFrame:
     """The files whose range holds a key; ``keys`` (key, piece) is dealt out by ranges.
 
     The ranges of the pieces, as many as shuffle partitions, meet those of the files first; a key is then
-    compared only with the files that meet its piece.
+    compared only with the files that meet its piece, where it is read.
     """
     spans = keys.groupBy(F.col("piece").alias("span")).agg(F.min("key").alias("from"), F.max("key").alias("to"))
     near = manifest.join(F.broadcast(spans), (F.col("low") <= F.col("to")) & (F.col("high") >= F.col("from"))).select("file", "low", "high", "span")
     holds = (F.col("span") == F.col("piece")) & (F.col("key") >= F.col("low")) & (F.col("key") <= F.col("high"))
-    return near.join(keys, holds, "left_semi").select("file").distinct()
+    return keys.join(F.broadcast(near), holds).select("file").distinct()
 
 
 def merge(source: DataFrame, path: str, keys: list[str], update: list[str] | None = None, insert: bool = True,
@@ -132,17 +145,24 @@ def merge(source: DataFrame, path: str, keys: list[str], update: list[str] | Non
     full = F.lit(True)
     for k in keys:
         full = full & F.col(k).isNotNull()
-    values = F.struct(*[F.col(c) for c in shared], goes.alias("_goes")) if shared else F.struct(goes.alias("_goes"))
-    one = source.where(full).groupBy(*keys).agg(F.min(values).alias("_new"))
-    one = materialize(one.repartitionByRange(keys[0]).withColumn("_piece", F.spark_partition_id()), "merge-source")
-    loose = source.where(~full & ~goes)
-
-    every = [r.file for r in manifest.select("file").collect()]
-    # With a single file there is nothing to choose.
-    hit = every if len(every) < 2 else [r.file for r in _touched(manifest, one.select(F.col(keys[0]).alias("key"), F.col("_piece").alias("piece"))).collect()]
-    one = one.drop("_piece")
+    # Formed once: every step below reads it again.
+    source = materialize(source.select(*keys, *shared, goes.alias("_goes")), "merge-source")
+    keyed = source.where(full)
+
+    stored = {r.file: r.rows for r in manifest.select("file", "rows").collect()}
+    every = list(stored)
+    # With a single file there is nothing to choose. A key that many rows have is looked for once.
+    if len(every) < 2:
+        hit = every
+    else:
+        first = keyed.select(F.col(keys[0]).alias("key")).distinct().repartitionByRange("key").withColumn("piece", F.spark_partition_id())
+        hit = [r.file for r in _touched(manifest, materialize(first, "merge-keys")).collect()]
+    # Both sides are dealt out alike, by their number of rows.
+    n = tasks(spark, sum(stored[x] for x in hit) + source.count())
+    values = F.struct(*shared, "_goes")
+    one = keyed.repartition(n, *keys).groupBy(*keys).agg(F.min(values).alias("_new"))
     old = _scan(spark, hit, schema)
-    old = old.select(*keys, F.struct(*names).alias("_old"))
+    old = old.select(*keys, F.struct(*names).alias("_old")).repartition(n, *keys)
     # With no rows to add, the source's strangers need not travel.
     both = old.join(one, keys, "full" if insert else "left")
     kept = both.where(F.coalesce(~F.col("_new._goes"), F.lit(True)))
@@ -158,6 +178,7 @@ def merge(source: DataFrame, path: str, keys: list[str], update: list[str] | Non
     # Keys that are null in the stored row are null in the joined one as well.
     rows = kept.select(*[column(f) for f in schema])
     if insert:
+        loose = source.where(~full & ~F.col("_goes"))
         rows = rows.unionByName(loose.select(*[F.col(c) if c in source.columns else F.lit(None).cast(schema[c].dataType).alias(c) for c in names]))
     untouched = manifest.join(F.broadcast(spark.createDataFrame([(x,) for x in hit], "file string")), "file", "left_anti") if hit else manifest
     _commit(untouched.select("file", "low", "high", "rows").unionByName(_write(rows, path, keys, file_rows)), path, version + 1)

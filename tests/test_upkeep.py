@@ -400,6 +400,34 @@ def test_gram_index_finds_what_a_scan_finds(spark, people, tmp_path):
     assert rows_of(search_index.indexed_fuzzy(now, path, "quentin quist", 0.4)) == rows_of(search.fuzzy_members(now, "quentin quist", 0.4))
 
 
+def test_postings_are_formed_and_merged_in_parts_by_rows(spark, people, tmp_path, monkeypatch):
+    from stayledger.functions import sizing
+    assert [sizing.tasks(spark, n, 100, 10) for n in (0, 9, 25, 800, 801, 5000)] == [1, 1, 2, 8, 9, 50]
+    monkeypatch.setattr(search_index, "TASK_MEMBERS", 20)
+    monkeypatch.setattr(search_index, "LEAST_MEMBERS", 20)
+    one = people.coalesce(1)
+    held = search_index._pieces(one).groupBy(F.spark_partition_id()).agg(F.countDistinct("member_id").alias("n")).collect()
+    assert len(held) > one.count() / 40 and max(r.n for r in held) < 45
+    # A piece that all members have is one key of those that files are chosen by.
+    seen = []
+    touched = merge._touched
+    monkeypatch.setattr(merge, "_touched", lambda manifest, keys: seen.append(keys.groupBy("key").count().agg(F.max("count")).first()[0]) or touched(manifest, keys))
+    path = str(tmp_path / "grams")
+    search_index.build_gram_index(one, path, file_rows=200)
+    search_index.update_gram_index(one, one.withColumn("full_name", F.lit("Quentin Quist")), path, file_rows=200)
+    now = one.withColumn("full_name", F.lit("Quentin Quist"))
+    assert seen == [1] and rows_of(merge.read(spark, path)) == rows_of(search_index._pieces(now).select(*merge.read(spark, path).columns))
+
+
+def test_ends_of_files_with_null_keys(spark, tmp_path):
+    rows = [(None, 1), (None, 2), ("å", 3), ("b", 4), ("b", 5), ("c", 6), (None, 7)]
+    path = str(tmp_path / "t")
+    merge.create(spark.createDataFrame(rows, "k string, v int"), path, ["k", "v"], file_rows=2)
+    # Sorted: three nulls, then b, b, c, å, cut into files of two.
+    got = {(r.low, r.high, r.rows) for r in merge.files(spark, path).collect()}
+    assert got == {(None, None, 2), ("b", "b", 2), ("b", "c", 2), ("å", "å", 1)}
+
+
 @pytest.mark.parametrize("least", [0.4, 0.6])
 def test_fuzzy_pairs_against_plain(spark, least):
     pick = random.Random(4)
