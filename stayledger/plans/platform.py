@@ -278,11 +278,11 @@ SELECT hotel_id, count(*) AS reservations, CAST(sum(total_amount) AS DOUBLE) AS
   sum((member_id IS NULL)::INT)::BIGINT AS guests FROM {bookings} WHERE id % 50 <> 3 GROUP BY 1
 UNION ALL SELECT NULL, count(*), NULL, NULL, NULL FROM {bookings} WHERE id % 50 = 3""")
 def json_array_feed(f):
-    """All bookings as one array in one file, read in blocks; every fiftieth object is broken and counts as a bad row."""
+    """All bookings as array files, each written by one task and read in blocks; every fiftieth object is broken and counts as a bad row."""
     path = fresh_path(f.spark, "json-array")
     object_ = F.to_json(F.struct("pms_reservation_no", "hotel_id", "member_id", "total_amount", F.struct(F.lit("{[\"}").alias("note"), F.lit(1).alias("n")).alias("extra")))
     text = F.when(F.col("id") % 50 == 3, F.concat(F.lit('{"hotel_id": , "extra": '), object_, F.lit("}"))).otherwise(object_)
-    rows = f.bookings.select(F.concat(F.lit(", "), text).alias("value")).coalesce(1)
+    rows = f.bookings.select(F.concat(F.lit(", "), text).alias("value"))
     rows.write.text(path)
     landed = feeds.read_json_array(f.spark, path, "pms_reservation_no string, hotel_id int, member_id bigint, total_amount decimal(14,2)",
                                    "import-3", "other", "pms_reservation_no")

@@ -8,6 +8,9 @@ from stayledger.sources.tables import materialize
 
 _BROKEN = "_broken_line"
 
+#: Numbers of pieces of a JSON array file that are scanned in one go.
+_STRETCH = 250_000
+
 
 def _landed(rows: DataFrame, payload: Column, source: Column, raw_row: Column, import_id: str, pms_code: str) -> DataFrame:
     return rows.select(F.lit(import_id).alias("import_id"), F.lit(pms_code).alias("pms_code"),
@@ -58,23 +61,14 @@ def read_json_array(spark: SparkSession, path: str, schema: str, import_id: str,
     """JSON array files of any size, each read by several tasks and cut at the borders of its objects.
 
     The text is read in pieces that end at a closing brace, split over tasks like any text. Whether a piece starts inside a
-    string, and how deep, depends on all before it; so every block of a file is scanned for both cases, and the
-    blocks' totals, three numbers each, settle which holds. An object ends where the depth comes back to nothing.
+    string, and how deep, depends on all before it; so every stretch of a block of a file is scanned for both cases, and the
+    stretches' totals, three numbers each, settle which holds. An object ends where the depth comes back to nothing.
 
     Columns as in ``read_json_feed``. Text that is no object, or does not fit ``schema``, has its text in ``raw_row``. Where a brace too
     many closes an object, the next one starts anew; one that lacks a brace or a quote takes what follows with it until braces are
     even again, and comes in pieces, all of them bad rows, if it spreads over more than two blocks.
     """
     meta = {c: F.col(f"_metadata.{c}") for c in ("file_path", "file_block_start", "file_size")}
-    read = spark.read.option("lineSep", "}").text(path).select(
-        "value", meta["file_path"].alias("_source_file"), meta["file_block_start"].alias("block"), meta["file_size"].alias("size"),
-        F.monotonically_increasing_id().alias("at"))
-    # Written once: the pieces keep their numbers, and the later steps read them without cutting again.
-    pieces = materialize(read, "json-pieces")
-
-    place = ["_source_file", "block"]
-    ends = pieces.groupBy("_source_file").agg(F.max(F.struct("block", "at")).alias("last"), (F.sum(F.octet_length("value") + 1) > F.max("size")).alias("open"))
-    tail = ends.where("open").select("_source_file", F.col("last.block").alias("block"), F.col("last.at").alias("at"), F.lit(0).alias("closes"))
     code = F.regexp_replace("value", r"(?s)\\.", "")
 
     def opened(text: Column) -> Column:
@@ -82,48 +76,71 @@ def read_json_array(spark: SparkSession, path: str, schema: str, import_id: str,
         bare = F.regexp_replace(text, r'"[^"]*("|$)', "")
         return F.length(bare) - F.length(F.replace(bare, F.lit("{")))
 
-    counted = pieces.join(F.broadcast(tail), [*place, "at"], "left").select(
-        *place, "at", "value", F.coalesce("closes", F.lit(1)).alias("closes"), (F.length(code) - F.length(F.replace(code, F.lit('"')))).alias("quotes"),
-        opened(code).alias("opens_0"), opened(F.concat(F.lit('"'), code)).alias("opens_1"))
+    read = spark.read.option("lineSep", "}").text(path).select(
+        "value", meta["file_path"].alias("_source_file"), meta["file_block_start"].alias("block"), meta["file_size"].alias("size"),
+        F.monotonically_increasing_id().alias("at"))
+    # Written once: the pieces keep their numbers, and the later steps read them without cutting or searching again.
+    pieces = materialize(read.select(
+        "*", F.expr(f"at div {_STRETCH}").alias("stretch"), (F.length(code) - F.length(F.replace(code, F.lit('"')))).alias("quotes"),
+        opened(code).alias("opens_0"), opened(F.concat(F.lit('"'), code)).alias("opens_1")), "json-pieces")
+
+    # Stretches of a block, in their order; only the numbers of pieces travel until each piece has its object.
+    place = ["_source_file", "block", "stretch"]
+    last = pieces.groupBy("_source_file", "block").agg(F.max("at").alias("at"), F.sum(F.octet_length("value") + 1).alias("bytes"), F.max("size").alias("size"))
+    ends = last.groupBy("_source_file").agg(F.max(F.struct("block", "at")).alias("last"), (F.sum("bytes") > F.max("size")).alias("open"))
+    tail = ends.where("open").select("_source_file", F.col("last.block").alias("block"), F.col("last.at").alias("at"), F.lit(0).alias("closes"))
+    tail = materialize(tail, "json-tails")
+
     so_far = Window.partitionBy(*place).orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = F.sum("quotes").over(so_far) - F.col("quotes")
-    scanned = counted.withColumn("before", before)
-    for h in (0, 1):
-        inside = (F.col("before") + h) % 2
-        opens = F.when(inside == 0, F.col("opens_0")).otherwise(F.col("opens_1"))
-        closes = F.when((inside + F.col("quotes")) % 2 == 0, F.col("closes")).otherwise(0)
-        scanned = scanned.withColumns({f"ends_{h}": closes, f"change_{h}": opens - closes})
-    for h in (0, 1):
-        scanned = scanned.withColumn(f"depth_{h}", F.sum(f"change_{h}").over(so_far))
-    for h in (0, 1):
-        scanned = scanned.withColumn(f"low_{h}", F.min(f"depth_{h}").over(so_far))
-    totals = scanned.groupBy(*place).agg(F.sum("quotes").alias("quotes"), *[F.sum(f"change_{h}").alias(f"change_{h}") for h in (0, 1)],
-                                         *[F.min(f"depth_{h}").alias(f"low_{h}") for h in (0, 1)])
+
+    def scan(*columns: str) -> DataFrame:
+        """Pieces with their ends, and the depth after them, for a stretch that begins outside (0) and inside (1) of a string."""
+        scanned = pieces.join(F.broadcast(tail), ["_source_file", "block", "at"], "left").select(
+            *place, "at", *columns, F.coalesce("closes", F.lit(1)).alias("closes"), "quotes", "opens_0", "opens_1") \
+            .withColumn("before", F.sum("quotes").over(so_far) - F.col("quotes"))
+        for h in (0, 1):
+            inside = (F.col("before") + h) % 2
+            opens = F.when(inside == 0, F.col("opens_0")).otherwise(F.col("opens_1"))
+            closes = F.when((inside + F.col("quotes")) % 2 == 0, F.col("closes")).otherwise(0)
+            scanned = scanned.withColumns({f"ends_{h}": closes, f"change_{h}": opens - closes})
+        scanned = scanned.withColumns({f"depth_{h}": F.sum(f"change_{h}").over(so_far) for h in (0, 1)})
+        return scanned.withColumns({f"low_{h}": F.min(f"depth_{h}").over(so_far) for h in (0, 1)})
+
+    totals = scan().groupBy(*place).agg(F.sum("quotes").alias("quotes"), *[F.sum(f"change_{h}").alias(f"change_{h}") for h in (0, 1)],
+                                        *[F.min(f"depth_{h}").alias(f"low_{h}") for h in (0, 1)])
     starts, file, inside, depth = [], None, 0, 0
-    # One row per block of a file, some hundred megabytes each.
-    for r in totals.orderBy(*place).collect():
+    # One row per stretch of a file, some tens of megabytes each.
+    for r in sorted(totals.collect(), key=lambda r: (r._source_file, r.block, r.stretch)):
         if r._source_file != file:
             file, inside, depth = r._source_file, 0, 0
-        starts.append((file, r.block, inside, depth))
+        starts.append((file, r.block, r.stretch, inside, depth))
         depth += r[f"change_{inside}"] - min(0, depth + r[f"low_{inside}"])
         inside = (inside + r.quotes) % 2
-    begun = F.broadcast(spark.createDataFrame(starts, "_source_file string, block long, inside int, start int"))
+    begun = F.broadcast(spark.createDataFrame(starts, "_source_file string, block long, stretch long, inside int, start int"))
 
     def known(name: str) -> Column:
         return F.when(F.col("inside") == 0, F.col(f"{name}_0")).otherwise(F.col(f"{name}_1"))
 
-    settled = scanned.join(begun, place).withColumn("depth", F.col("start") + known("depth") - F.least(F.lit(0), F.col("start") + known("low")))
+    settled = scan("value").join(begun, place).withColumn("depth", F.col("start") + known("depth") - F.least(F.lit(0), F.col("start") + known("low")))
     ended = settled.select(*place, "at", F.concat("value", F.repeat(F.lit("}"), F.col("closes"))).alias("text"),
                            F.when((known("ends") == 1) & (F.col("depth") == 0), 1).otherwise(0).alias("ends"))
-    per_block = ended.groupBy(*place).agg(F.sum("ends").alias("n")).withColumn(
-        "earlier", F.coalesce(F.sum("n").over(Window.partitionBy("_source_file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    numbered = ended.join(F.broadcast(per_block.drop("n")), place) \
-        .withColumn("object", F.col("earlier") + F.sum("ends").over(so_far) - F.col("ends"))
-    parts = numbered.groupBy("_source_file", "object", "block").agg(F.array_join(F.sort_array(F.collect_list(F.struct("at", "text")))["text"], "").alias("text"))
-    spread = parts.groupBy("_source_file", "object").agg(F.count("*").alias("n"))
-    whole = parts.join(spread, ["_source_file", "object"]).withColumn("piece", F.when(F.col("n") > 2, F.col("block")).otherwise(-1)) \
-        .groupBy("_source_file", "object", "piece").agg(F.array_join(F.sort_array(F.collect_list(F.struct("block", "text")))["text"], "").alias("text"))
-    rows = whole.select(F.regexp_replace("text", r"^[\s,\[]+|[\s,\]]+$", "").alias("value"), "_source_file").where("value <> ''")
+    # The pieces of an object by its number in the stretch, counted from nothing; an object that others of the stretch enclose is whole.
+    numbered = ended.withColumn("object", F.sum("ends").over(so_far) - F.col("ends"))
+    parts = materialize(numbered.groupBy(*place, "object").agg(
+        F.array_join(F.sort_array(F.collect_list(F.struct("at", "text")))["text"], "").alias("text"), F.sum("ends").alias("ends")), "json-objects")
+    before = Window.partitionBy("_source_file").orderBy("block", "stretch").rowsBetween(Window.unboundedPreceding, -1)
+    per_stretch = parts.groupBy(*place).agg(F.sum("ends").alias("n")).withColumn("earlier", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    placed = parts.join(F.broadcast(per_stretch), place)
+    inner = (F.col("object") > 0) & (F.col("object") < F.col("n"))
+    # Only the first and the last object of a stretch may go on in another one.
+    edges = placed.where(~inner).withColumn("object", F.col("earlier") + F.col("object"))
+    joined = F.array_join(F.sort_array(F.collect_list(F.struct("order", "text")))["text"], "").alias("text")
+    in_block = edges.withColumn("order", F.col("stretch")).groupBy("_source_file", "object", "block").agg(joined)
+    spread = in_block.groupBy("_source_file", "object").agg(F.count("*").alias("n"))
+    whole = in_block.join(spread, ["_source_file", "object"]).withColumn("piece", F.when(F.col("n") > 2, F.col("block")).otherwise(-1)) \
+        .withColumn("order", F.col("block")).groupBy("_source_file", "object", "piece").agg(joined)
+    texts = placed.where(inner).select("text", "_source_file").unionByName(whole.select("text", "_source_file"))
+    rows = texts.select(F.regexp_replace("text", r"^[\s,\[]+|[\s,\]]+$", "").alias("value"), "_source_file").where("value <> ''")
     return _parsed_rows(rows, schema, import_id, pms_code, source_id)
 
 

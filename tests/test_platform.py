@@ -289,6 +289,26 @@ def test_json_array_with_broken_objects(spark, tmp_path):
     assert array_file(spark, tmp_path / "e", "[]\n") == ([], []) and array_file(spark, tmp_path / "f", "") == ([], [])
 
 
+def test_json_array_in_short_stretches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(feeds, "_STRETCH", 3)
+    objects = [{"id": i, "note": '}{"' * (i % 4), "more": [{"k": {}}] * (i % 5)} for i in range(60)]
+    good, bad = array_file(spark, tmp_path / "x", json.dumps(objects), 700)
+    assert sorted(map(json.dumps, map(json.loads, good))) == sorted(map(json.dumps, objects)) and bad == []
+    # In one block, what the lost brace takes along is one bad row however many stretches it covers.
+    text = '[{"id": 1}, ' + '{"id": 2, ' + ", ".join('"a%d": {"b": {}}' % i for i in range(20)) + "]"
+    good, bad = array_file(spark, tmp_path / "y", text)
+    assert good == ['{"id": 1}'] and len(bad) == 1 and bad[0].count("{}") == 20
+
+
+def test_json_array_query_writes_by_several_tasks(spark, frames, tmp_path, monkeypatch):
+    from types import SimpleNamespace
+    from stayledger.plans import platform
+    path = tmp_path / "array"
+    monkeypatch.setattr(platform, "fresh_path", lambda spark, name: str(path))
+    got = platform.json_array_feed(SimpleNamespace(spark=spark, bookings=frames.bookings.repartition(3)))
+    assert sum(r.reservations for r in got.collect()) == frames.bookings.count() and len(list(path.glob("part-*"))) == 3
+
+
 def test_streams_resume_without_repeating(spark, tmp_path):
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
     schema = "id int, payload string, ingested_at timestamp_ntz"
